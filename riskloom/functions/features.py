@@ -8,61 +8,53 @@ from pyspark.sql import functions as F
 from riskloom import settings as S
 
 
-def _flag(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("int")
+# Reading the profile, with the defaults of a customer that has none.
+AVERAGE = f"IF(profile IS NULL, {S.DEFAULT_AVERAGE}D, profile.averageTransactionAmount)"
+LIMIT = f"IF(profile IS NULL, {S.DEFAULT_LIMIT}D, profile.dailySpendingLimit)"
+RISK = f"IF(profile IS NULL, '{S.DEFAULT_RISK}', profile.riskLevel)"
+HOME = "IF(profile IS NULL, '', profile.primaryLocation)"
+# A missing or zero count reads as one transaction.
+VELOCITY = "CAST(coalesce(nullif(velocityCount, 0), 1) AS BIGINT)"
 
 
 def has_profile() -> Column:
     return F.col("profile").isNotNull()
 
 
-def _profile(field: str, default) -> Column:
-    return F.when(has_profile(), F.col(f"profile.{field}")).otherwise(default)
-
-
-def average_amount() -> Column:
-    return _profile("averageTransactionAmount", F.lit(S.DEFAULT_AVERAGE))
-
-
 def risk_level() -> Column:
-    return _profile("riskLevel", F.lit(S.DEFAULT_RISK))
+    return F.expr(RISK)
 
 
-def effective_velocity() -> Column:
-    """A missing or zero count reads as one transaction."""
-    return F.coalesce(F.nullif(F.col("velocityCount"), F.lit(0)), F.lit(1)).cast("long")
+def _flag(condition: str) -> str:
+    return f"CAST(coalesce({condition}, false) AS INT)"
 
 
 def feature_columns(high_velocity: int = S.HIGH_VELOCITY) -> dict[str, Column]:
     """Feature name to expression over a frame of transaction, profile, velocityCount."""
-    amount, average = F.col("amount"), average_amount()
-    limit = _profile("dailySpendingLimit", F.lit(S.DEFAULT_LIMIT))
-    velocity, risk = effective_velocity(), risk_level()
-    place, home = F.lower("location"), F.lower(_profile("primaryLocation", F.lit("")))
-    unknown, at_home = place.contains("unknown"), place == home
-    typical = F.array_contains(F.col("profile.transactionCategories"), F.col("merchantCategory"))
-    hour = F.hour("timestamp")
-    return {
-        "amount_ratio": F.round(F.when(average > 0, F.try_divide(amount, average)).otherwise(1.0), 4),
-        "daily_limit_ratio": F.round(F.when(limit > 0, F.try_divide(amount, limit)).otherwise(0.0), 4),
-        "is_amount_unusual": _flag(amount > average * S.UNUSUAL_MULTIPLE),
-        "velocity_count": velocity,
-        "velocity_squared": velocity * velocity,
-        "is_high_velocity": _flag(velocity >= high_velocity),
+    unknown = "contains(lower(location), 'unknown')"
+    at_home = f"lower(location) = lower({HOME})"
+    definitions = {
+        "amount_ratio": f"round(IF({AVERAGE} > 0, try_divide(amount, {AVERAGE}), 1D), 4)",
+        "daily_limit_ratio": f"round(IF({LIMIT} > 0, try_divide(amount, {LIMIT}), 0D), 4)",
+        "is_amount_unusual": _flag(f"amount > {AVERAGE} * {S.UNUSUAL_MULTIPLE}"),
+        "velocity_count": VELOCITY,
+        "velocity_squared": f"{VELOCITY} * {VELOCITY}",
+        "is_high_velocity": _flag(f"{VELOCITY} >= {int(high_velocity)}"),
         "is_unknown_location": _flag(unknown),
         "is_primary_location": _flag(at_home),
-        "is_different_city": _flag(~at_home & ~unknown),
-        "is_online": _flag(F.col("merchantCategory") == "ONLINE"),
-        "is_typical_category": _flag(typical),
-        "is_suspicious_merchant": _flag(F.lower("merchantId").contains("suspicious")),
-        "hour": hour,
-        "is_off_hours": _flag((hour < 6) | (hour >= 22)),
-        "is_weekend": _flag(F.weekday("timestamp") >= 5),
-        "is_high_risk_customer": _flag(risk == "HIGH"),
-        "is_low_risk_customer": _flag(risk == "LOW"),
-        "is_bot_device": _flag(F.lower("metadata.deviceId").contains("bot")),
-        "is_rapid_fire": _flag(F.col("metadata.rapidFire")),
+        "is_different_city": _flag(f"NOT ({at_home}) AND NOT {unknown}"),
+        "is_online": _flag("merchantCategory = 'ONLINE'"),
+        "is_typical_category": _flag("array_contains(profile.transactionCategories, merchantCategory)"),
+        "is_suspicious_merchant": _flag("contains(lower(merchantId), 'suspicious')"),
+        "hour": "hour(timestamp)",
+        "is_off_hours": _flag("hour(timestamp) < 6 OR hour(timestamp) >= 22"),
+        "is_weekend": _flag("weekday(timestamp) >= 5"),
+        "is_high_risk_customer": _flag(f"{RISK} = 'HIGH'"),
+        "is_low_risk_customer": _flag(f"{RISK} = 'LOW'"),
+        "is_bot_device": _flag("contains(lower(metadata.deviceId), 'bot')"),
+        "is_rapid_fire": _flag("metadata.rapidFire"),
     }
+    return {name: F.expr(text) for name, text in definitions.items()}
 
 
 def with_features(enriched: DataFrame, high_velocity: int = S.HIGH_VELOCITY) -> DataFrame:

@@ -58,14 +58,9 @@ class LinearModel:
     coefficients: dict[str, float]
     intercept: float
 
-    def margin(self) -> Column:
-        total = F.lit(self.intercept)
-        for name, weight in self.coefficients.items():
-            total = total + F.lit(weight) * F.col(name)
-        return total
-
     def probability(self, digits: int = 4) -> Column:
-        return F.round(1.0 / (1.0 + F.exp(-self.margin())), digits)
+        margin = " + ".join([f"{self.intercept}D", *(f"{w}D * {name}" for name, w in self.coefficients.items())])
+        return F.expr(f"round(1D / (1D + exp(-({margin}))), {digits})")
 
     def contributions(self, means: dict[str, float]) -> Column:
         """``array<struct<feature,value>>``: coefficient times distance from the mean."""

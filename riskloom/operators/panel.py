@@ -46,15 +46,13 @@ class Agent:
         return self.name.split("_")[0].lower() + "_risk"
 
     def score(self) -> Column:
-        total = F.lit(self.base)
-        for flag, gain in self.points:
-            total = total + F.lit(gain) * F.col(flag)
-        return bounded(total)
+        gains = " + ".join(f"{gain}D * {flag}" for flag, gain in self.points)
+        return F.expr(bounded(f"{self.base}D + {gains}"))
 
     def signals(self) -> Column:
-        raised = [F.when(tx.is_set(flag), flag.removeprefix("is_").replace("_", " ")) for flag, _ in self.points]
-        found = F.concat_ws(", ", *raised)
-        return F.coalesce(F.concat(F.lit("signals: "), F.nullif(found, F.lit(""))), F.lit("no signals"))
+        raised = ", ".join(
+            f"IF({flag} = 1, '{flag.removeprefix('is_').replace('_', ' ')}', NULL)" for flag, _ in self.points)
+        return F.expr(f"coalesce('signals: ' || nullif(concat_ws(', ', {raised}), ''), 'no signals')")
 
 
 AGENTS = (
@@ -73,8 +71,8 @@ AGENTS = (
 BY_NAME = {agent.name: agent for agent in AGENTS}
 
 
-def bounded(score: Column, digits: int = 4) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), digits)
+def bounded(score: str, digits: int = 4) -> str:
+    return f"round(greatest(0D, least(1D, {score})), {digits})"
 
 
 def _follow_up_column(name: str) -> str:
@@ -83,40 +81,37 @@ def _follow_up_column(name: str) -> str:
 
 def pattern_label() -> Column:
     """Attack pattern from the current features."""
-    bot = tx.is_set("is_bot_device")
-    return (
-        F.when(tx.is_set("is_high_velocity") & bot & tx.is_set("is_rapid_fire"), "card_testing")
-        .when(bot & tx.is_set("is_unknown_location"), "vpn_bot_fraud")
-        .when(tx.is_set("is_amount_unusual") & tx.is_set("is_different_city"), "account_takeover")
-        .otherwise("general_fraud")
-    )
+    return F.expr("""
+        CASE WHEN is_high_velocity = 1 AND is_bot_device = 1 AND is_rapid_fire = 1 THEN 'card_testing'
+             WHEN is_bot_device = 1 AND is_unknown_location = 1 THEN 'vpn_bot_fraud'
+             WHEN is_amount_unusual = 1 AND is_different_city = 1 THEN 'account_takeover'
+             ELSE 'general_fraud' END""")
 
 
-def with_panel(featured: DataFrame, cases_found: Column | None = None) -> DataFrame:
-    """Append every panel answer as a column (follow-ups are null when not asked)."""
-    scored = featured.withColumns({agent.column: agent.score() for agent in AGENTS})
-    first = [F.col(agent.column) for agent in AGENTS]
-    mean = F.try_divide(
-        sum((F.col(a.column) * F.lit(a.weight) for a in AGENTS[1:]), F.col(AGENTS[0].column) * F.lit(AGENTS[0].weight)),
-        F.lit(sum(a.weight for a in AGENTS)),
-    )
-    certain = F.when(F.greatest(*first) >= 0.8, 0.1).otherwise(0.0)
-    precedent = F.when(cases_found > 0, 0.05).otherwise(0.0) if cases_found is not None else F.lit(0.0)
+AUTOMATED = "is_bot_device = 1 OR is_rapid_fire = 1"
+EXPOSED = "is_amount_unusual = 1 OR is_high_risk_customer = 1"
 
-    automated = tx.is_set("is_bot_device") | tx.is_set("is_rapid_fire")
-    exposed = tx.is_set("is_amount_unusual") | tx.is_set("is_high_risk_customer")
+
+def with_panel(featured: DataFrame, cases_found: str | None = None) -> DataFrame:
+    """Append every panel answer as a column (follow-ups are null when not asked).
+
+    ``cases_found`` names a column with the number of similar confirmed cases.
+    """
+    scored = featured.withColumns({agent.column: agent.score() for agent in AGENTS})
+    names = ", ".join(a.column for a in AGENTS)
+    mean = (" + ".join(f"{a.column} * {a.weight}D" for a in AGENTS), sum(a.weight for a in AGENTS))
+    consensus = f"({mean[0]}) / {mean[1]}D + IF(greatest({names}) >= 0.8D, 0.1D, 0D)"
+    if cases_found is not None:
+        consensus += f" + IF({cases_found} > 0, 0.05D, 0D)"
     follow_ups = {}
-    for name in VELOCITY_ROUND:
-        own = F.col(BY_NAME[name].column)
-        follow_ups[_follow_up_column(name)] = F.when(
-            tx.is_set("is_high_velocity"), bounded(own + F.when(automated, 0.10).otherwise(-0.05)))
-    for name in PROFILE_ROUND:
-        own = F.col(BY_NAME[name].column)
-        follow_ups[_follow_up_column(name)] = F.when(
-            feat.has_profile(), bounded(own + F.when(exposed, 0.05).otherwise(-0.05)))
+    for asked, when, worse, gain in ((VELOCITY_ROUND, "is_high_velocity = 1", AUTOMATED, 0.1),
+                                     (PROFILE_ROUND, "profile IS NOT NULL", EXPOSED, 0.05)):
+        for name in asked:
+            answer = bounded(f"{BY_NAME[name].column} + IF({worse}, {gain}D, -0.05D)")
+            follow_ups[_follow_up_column(name)] = F.expr(f"IF({when}, {answer}, NULL)")
     return scored.withColumns({
         **follow_ups,
-        "consensus_risk": bounded(mean + certain + precedent, 3),
+        "consensus_risk": F.expr(bounded(consensus, 3)),
         "panel_pattern": pattern_label(),
     })
 
@@ -170,35 +165,25 @@ def all_insights(*rounds: DataFrame) -> DataFrame:
 
 def weighted_risk() -> Column:
     """Weighted mean over the answers that were given (wide form)."""
-    score, weight = F.lit(0.0), F.lit(0.0)
-    for name, _, column in answer_columns():
-        risk, w = F.col(column), F.lit(WEIGHTS[name])
-        score = score + F.coalesce(risk * w, F.lit(0.0))
-        weight = weight + F.when(risk.isNotNull(), w).otherwise(0.0)
-    return F.coalesce(F.try_divide(score, weight), F.lit(0.5))
+    answers = [(column, WEIGHTS[name]) for name, _, column in answer_columns()]
+    score = " + ".join(f"coalesce({c} * {w}D, 0D)" for c, w in answers)
+    weight = " + ".join(f"IF({c} IS NULL, 0D, {w}D)" for c, w in answers)
+    return F.expr(f"coalesce(try_divide({score}, {weight}), 0.5D)")
 
 
 def streaming_bonus() -> Column:
-    return (
-        F.when(tx.is_set("is_high_velocity"), 0.25).otherwise(0.0)
-        + F.when(tx.is_set("is_amount_unusual"), 0.20).otherwise(0.0)
-        + F.when(tx.is_set("is_high_risk_customer"), 0.10).otherwise(0.0)
-    )
+    return F.expr("IF(is_high_velocity = 1, 0.25D, 0D) + IF(is_amount_unusual = 1, 0.2D, 0D)"
+                  " + IF(is_high_risk_customer = 1, 0.1D, 0D)")
 
 
 def disagreement() -> Column:
     """First-round spread above the limit, compared in exact decimals."""
-    first = [F.col(a.column) for a in AGENTS]
-    spread = F.round(F.greatest(*first) - F.least(*first), 4)
-    return spread > S.DISAGREEMENT
+    names = ", ".join(a.column for a in AGENTS)
+    return F.expr(f"round(greatest({names}) - least({names}), 4) > {S.DISAGREEMENT}D")
 
 
 def insight_count() -> Column:
-    return (
-        F.lit(6)
-        + F.when(tx.is_set("is_high_velocity"), 2).otherwise(0)
-        + F.when(feat.has_profile(), 2).otherwise(0)
-    ).cast("int")
+    return F.expr("6 + IF(is_high_velocity = 1, 2, 0) + IF(profile IS NOT NULL, 2, 0)")
 
 
 def agreement_tier(share: Column) -> Column:
@@ -208,34 +193,38 @@ def agreement_tier(share: Column) -> Column:
     )
 
 
-def agreement_share(verdict: Column) -> Column:
-    agreeing, asked = F.lit(0), F.lit(0)
-    for _, _, column in answer_columns():
-        risk = F.col(column)
-        agreeing = agreeing + F.when((risk >= S.FRAUD_RISK) == verdict, 1).otherwise(0)
-        asked = asked + F.when(risk.isNotNull(), 1).otherwise(0)
-    return F.try_divide(agreeing.cast("double"), asked)
+def agreement_share(verdict: str = "isFraudulent") -> Column:
+    columns = [column for _, _, column in answer_columns()]
+    agreeing = " + ".join(f"IF(({c} >= {S.FRAUD_RISK}D) = {verdict}, 1, 0)" for c in columns)
+    asked = " + ".join(f"IF({c} IS NULL, 0, 1)" for c in columns)
+    return F.expr(f"try_divide(CAST({agreeing} AS DOUBLE), {asked})")
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Append columns through a one-row generator.
+
+    Filters on them stay above the generator. Pushed down instead, a filter
+    on a decision would be rewritten in terms of the raw inputs, repeating
+    the whole rule panel many times over in one expression.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
 def decide(paneled: DataFrame) -> DataFrame:
-    """Verdict, confidence, pattern and counts for each transaction (no shuffle)."""
-    return (
-        paneled.withColumns({
-            "baseRisk": weighted_risk(),
-            "streamingBonus": streaming_bonus(),
-            "hasDisagreement": disagreement(),
-            "agentCount": insight_count(),
-        })
-        .withColumn("finalRiskScore", F.least(F.lit(1.0), F.col("baseRisk") + F.col("streamingBonus")))
-        .withColumn("isFraudulent", F.col("finalRiskScore") >= S.FRAUD_RISK)
-        .withColumn("agreementShare", agreement_share(F.col("isFraudulent")))
-        .withColumns({
-            "confidenceScore": F.round(
-                F.coalesce("consensus_risk", agreement_tier(F.col("agreementShare"))), 3),
-            "fraudPattern": F.when(F.col("consensus_risk").isNotNull(), F.col("panel_pattern"))
-            .otherwise("unknown"),
-        })
-    )
+    """Verdict, confidence, pattern and counts for each transaction (no shuffle).
+
+    The wide form always has a consensus answer, so the confidence is its
+    risk; :func:`agreement_tier` is the fallback of the long form.
+    """
+    summed = paneled.withColumns({"baseRisk": weighted_risk(), "streamingBonus": streaming_bonus()})
+    final = F.expr("least(1D, baseRisk + streamingBonus)")
+    return computed_once(summed, {
+        "finalRiskScore": final,
+        "isFraudulent": final >= S.FRAUD_RISK,
+        "confidenceScore": F.round("consensus_risk", 3),
+        "fraudPattern": F.col("panel_pattern"),
+    }).withColumns({"hasDisagreement": disagreement(), "agentCount": insight_count()})
 
 
 def decide_long(insights: DataFrame, flat: DataFrame) -> DataFrame:

@@ -124,8 +124,9 @@ FROM (SELECT transactionId, CAST({" + ".join(f"CASE WHEN ({c} >= {D(0.6)}) = isF
   / ({" + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in _RISKS)}) AS share FROM dec)""", "dec"))
 def agreement_confidence(f: Frames) -> DataFrame:
     """The fallback confidence: share of answers agreeing with the verdict, and its tier."""
-    share = F.col("agreementShare")
-    return f.decided().select("transactionId", F.round(share, 6).alias("share"), panel.agreement_tier(share).alias("tier"))
+    share = F.col("share")
+    decided = f.decided().withColumn("share", panel.agreement_share())
+    return decided.select("transactionId", F.round(share, 6).alias("share"), panel.agreement_tier(share).alias("tier"))
 
 
 @query(build(f"""
@@ -158,7 +159,7 @@ EXPLANATION_SQL = f"""{q(tx.EXPLANATION_TITLE)} || chr(10) || 'TRANSACTION:' ||
   || CASE WHEN isFraudulent THEN 'FRAUD DETECTED' ELSE 'LEGITIMATE' END"""
 RECORD_SQL = f"""SELECT s.*, {EXPLANATION_SQL} AS explanation,
   CASE WHEN isFraudulent THEN 'AI agents with streaming intelligence detected fraud' ELSE 'Transaction appears legitimate' END AS reason,
-  CAST(floor(confidenceScore * 100 + {D(0.5)}) AS BIGINT) AS pct, epoch_ms("timestamp") AS ms
+  CAST(floor(confidenceScore * 100 + {D(0.5)}) AS BIGINT) AS pct, CAST(epoch_us("timestamp") // 1000 AS BIGINT) AS ms
 FROM sco s JOIN ({_INSIGHT_LINES}) l USING (transactionId)"""
 
 
@@ -209,7 +210,7 @@ def approval_payloads(f: Frames) -> DataFrame:
 
 @query(build(f"""
 SELECT transactionId, isFraudulent AS predictedFraud, confidenceScore AS confidence, fraudPattern,
-  agentCount AS agentConsensus, epoch_ms("timestamp") AS "timestamp", 'AUTO_SYSTEM' AS source FROM dec""", "dec"))
+  agentCount AS agentConsensus, CAST(epoch_us("timestamp") // 1000 AS BIGINT) AS "timestamp", 'AUTO_SYSTEM' AS source FROM dec""", "dec"))
 def feedback_records(f: Frames) -> DataFrame:
     return routing.feedback_record(_records(f), _at())
 
