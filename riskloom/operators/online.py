@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.feedback import ONLINE_FEATURES
+from riskloom.session import cut_lineage
 
 MEMBERS = 10
 
@@ -29,10 +30,7 @@ def _poisson_cuts(limit: int = 6) -> list[float]:
 def poisson_copies(key: str, member: int, seed: int) -> Column:
     """How often ``member`` sees the row."""
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(member), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.lit(0)
-    for cut in _poisson_cuts():
-        copies = copies + F.when(draw >= cut, 1).otherwise(0)
-    return copies
+    return F.size(F.filter(F.array(*[F.lit(c) for c in _poisson_cuts()]), lambda cut: cut <= draw))
 
 
 @dataclass
@@ -58,14 +56,16 @@ class OnlineModel:
 
     def learn(self, batch: DataFrame, key: str = "transactionId", label: str = "label") -> "OnlineModel":
         """One gradient step from a micro-batch; returns the next model."""
-        inputs = [*_inputs(), F.lit(1.0)]
-        sums = []
-        for m in range(len(self.weights)):
-            seen = poisson_copies(key, m, self.seed)
-            error = (F.lit(1.0) / (1.0 + F.exp(-self._margin(m))) - F.col(label)) * seen
-            sums.append(F.sum(seen).alias(f"n{m}"))
-            sums.extend(F.sum(error * x).alias(f"g{m}_{j}") for j, x in enumerate(inputs))
-        row = batch.agg(F.count(F.lit(1)).alias("rows"), *sums).first()
+        inputs = {f"_x{j}": x for j, x in enumerate([*_inputs(), F.lit(1.0)])}
+        members = range(len(self.weights))
+        seen = {f"_n{m}": poisson_copies(key, m, self.seed) for m in members}
+        missed = {f"_p{m}": F.lit(1.0) / (1.0 + F.exp(-self._margin(m))) - F.col(label) for m in members}
+        rows = batch.select(*[c.alias(n) for n, c in {**inputs, **seen, **missed}.items()])
+        row = rows.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.expr(f"sum(_n{m}) AS n{m}") for m in members],
+            *[F.expr(f"sum(_n{m} * _p{m} * _x{j}) AS g{m}_{j}") for m in members for j in range(len(inputs))],
+        ).first()
         stepped = []
         for m, weights in enumerate(self.weights):
             seen = row[f"n{m}"] or 0
@@ -83,10 +83,11 @@ def learn_in_steps(labelled: DataFrame, step: str, steps: list, model: OnlineMod
     """Walk the steps in order and score each one.
 
     By default rows are scored before the model learns from them;
-    ``reference_order`` scores after. Each step filters its own rows, so time
-    partitioned input reads only that partition.
+    ``reference_order`` scores after. The input is checkpointed once, because
+    every step reads it again.
     """
     model, scored = model or OnlineModel(), []
+    labelled = cut_lineage(labelled)
     for value in steps:
         batch = labelled.where(F.col(step) == F.lit(value))
         after = model.learn(batch)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.session import cut_lineage
 from riskloom.settings import Retrieval
 
 BLOCK_ROWS = 20_000
@@ -40,7 +41,7 @@ def _best_of_block(fetch: int):
             step = max(1, 4_000_000 // len(ids))
             for start in range(0, len(queries), step):
                 part = queries.iloc[start:start + step]
-                scores = np.round(_unit_rows(part["vector"]) @ stored.T, TIE_DIGITS)
+                scores = _unit_rows(part["vector"]) @ stored.T
                 for key, row in zip(part["queryKey"], scores):
                     found.append(_top(key, row, ids, fetch))
         if not found:
@@ -51,15 +52,20 @@ def _best_of_block(fetch: int):
 
 
 def _top(key, row: np.ndarray, ids: np.ndarray, fetch: int) -> pd.DataFrame:
+    compared = np.round(row, TIE_DIGITS)
     if len(row) > fetch:
-        cut = np.partition(row, len(row) - fetch)[len(row) - fetch]
-        near = np.flatnonzero(row >= cut)
+        cut = np.partition(compared, len(row) - fetch)[len(row) - fetch]
+        near = np.flatnonzero(compared >= cut)
     else:
         near = np.arange(len(row))
-    order = near[np.argsort(-row[near], kind="stable")][:fetch]
+    order = near[np.argsort(-compared[near], kind="stable")][:fetch]
     return pd.DataFrame({"queryKey": key, "caseId": ids[order], "score": row[order]})
 
 
+def _nearest() -> list:
+    return [F.desc(F.round("score", TIE_DIGITS)), F.col("caseId")]
+
+
 def _parts(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
@@ -86,7 +92,7 @@ def top_candidates(queries: DataFrame, cases: DataFrame, fetch: int,
     local = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(
         _best_of_block(fetch), f"queryKey {key_type}, caseId {case_type}, score double"
     )
-    best = Window.partitionBy("queryKey").orderBy(F.desc("score"), "caseId")
+    best = Window.partitionBy("queryKey").orderBy(*_nearest())
     return local.withColumn("candidateRank", F.row_number().over(best)).where(F.col("candidateRank") <= fetch)
 
 
@@ -96,7 +102,7 @@ def own_customer_first(candidates: DataFrame, keep: int, threshold: float) -> Da
     A missing query customer leaves plain similarity order.
     """
     foreign = ~F.coalesce(F.col("caseCustomer") == F.col("queryCustomer"), F.lit(False))
-    order = Window.partitionBy("queryId").orderBy(foreign, F.desc("score"), "caseId")
+    order = Window.partitionBy("queryId").orderBy(foreign, *_nearest())
     return (
         candidates.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= keep)
@@ -115,16 +121,33 @@ def similar_cases(queries: DataFrame, cases: DataFrame, retrieval: Retrieval = R
     compared once and joined back, so copies cost nothing extra.
     """
     distinct = queries.groupBy("vector").agg(F.min("queryId").alias("queryKey"))
-    found = top_candidates(distinct, cases.select("caseId", "vector"), retrieval.fetch, block_rows, chunk_rows)
+    return _for_each_customer(queries, distinct, "vector", cases, retrieval, block_rows, chunk_rows)
+
+
+def similar_texts(queries: DataFrame, cases: DataFrame, embed, retrieval: Retrieval = Retrieval(),
+                  block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """As :func:`similar_cases` for queries that carry ``text`` instead of a vector.
+
+    ``embed`` turns a frame with ``text`` into one with ``vector``; it runs
+    once per distinct text.
+    """
+    texts = queries.groupBy("text").agg(F.min("queryId").alias("queryKey"))
+    return _for_each_customer(queries, cut_lineage(embed(texts)), "text", cases, retrieval, block_rows, chunk_rows)
+
+
+def _for_each_customer(queries, distinct, key, cases, retrieval, block_rows, chunk_rows) -> DataFrame:
+    """Candidates per distinct query, joined back and ordered for each customer."""
+    found = top_candidates(distinct.select("queryKey", "vector"), cases.select("caseId", "vector"),
+                           retrieval.fetch, block_rows, chunk_rows)
     owners = cases.select("caseId", F.col("customerId").alias("caseCustomer"))
     gathered = (
         found.join(owners, "caseId")
         .groupBy("queryKey")
         .agg(F.collect_list(F.struct("caseId", "score", "caseCustomer")).alias("hits"))
     )
-    by_vector = distinct.join(gathered, "queryKey").select(F.col("vector").alias("_vector"), "hits")
+    by_key = distinct.join(gathered, "queryKey").select(F.col(key).alias("_key"), "hits")
     candidates = (
-        queries.join(by_vector, queries["vector"] == by_vector["_vector"])
+        queries.join(by_key, F.col(key) == F.col("_key"))
         .select("queryId", F.col("customerId").alias("queryCustomer"), F.inline("hits"))
     )
     return own_customer_first(candidates, retrieval.keep, retrieval.threshold)

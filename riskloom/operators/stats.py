@@ -59,7 +59,7 @@ def feature_stats(df: DataFrame, features: list[str], size: str = "1 day", time:
     )
     wide = moments.join(exact_quantiles(long, keys, QUANTILES), keys, "left").withColumn("median", F.col("p50"))
     names = ["mean", "stddev", "median", *QUANTILES, "min", "max", "null_rate"]
-    pairs = F.array(*[F.struct(F.lit(n).alias("stat_type"), F.round(n, 4).alias("stat_value")) for n in names])
+    pairs = F.array(*[F.struct(F.lit(n).alias("stat_type"), F.col(n).alias("stat_value")) for n in names])
     return wide.select("feature_name", "window_start", "window_end", "sample_count", F.inline(pairs))
 
 

@@ -142,10 +142,10 @@ def _customers(f: Frames) -> DataFrame:
     key = F.col("c_custkey")
     return f.table("customer").select(
         F.concat(F.lit("CUST-"), key.cast("string")).alias("customer_id"),
-        (F.col("c_acctbal") / 20).cast("decimal(12,2)").alias("avg_transaction_amount"),
+        (F.col("c_acctbal") / 25).cast("decimal(12,2)").alias("avg_transaction_amount"),
         F.lower("c_mktsegment").alias("typical_merchant_category"),
         (key % 1000).cast("int").alias("account_age_days"),
-        (F.col("c_acctbal") / 80).cast("decimal(5,2)").alias("risk_score"),
+        (F.col("c_acctbal") / 125).cast("decimal(5,2)").alias("risk_score"),
         (key % 50).cast("int").alias("total_transactions"),
         (key % 7).cast("int").alias("total_fraud_cases"),
         F.lit("2023-12-31 00:00:00").cast("timestamp_ntz").alias("last_transaction_at"),
@@ -174,14 +174,15 @@ def _updates(f: Frames) -> DataFrame:
 
 
 _CUSTOMER_SQL = f"""SELECT 'CUST-' || CAST(c_custkey AS VARCHAR) AS customer_id,
-  CAST(CAST(c_acctbal AS DECIMAL(14,2)) / 20 AS DECIMAL(12,2)) AS avg_transaction_amount, lower(c_mktsegment) AS typical_merchant_category,
-  CAST(c_custkey % 1000 AS INTEGER) AS account_age_days, CAST(round(c_acctbal / 80, 2) AS DECIMAL(5,2)) AS risk_score,
+  CAST(round(c_acctbal / 25, 2) AS DECIMAL(12,2)) AS avg_transaction_amount, lower(c_mktsegment) AS typical_merchant_category,
+  CAST(c_custkey % 1000 AS INTEGER) AS account_age_days, CAST(round(c_acctbal / 125, 2) AS DECIMAL(5,2)) AS risk_score,
   CAST(c_custkey % 50 AS INTEGER) AS total_transactions, CAST(c_custkey % 7 AS INTEGER) AS total_fraud_cases,
   TIMESTAMP '2023-12-31 00:00:00' AS last_transaction_at, TIMESTAMP '2023-12-31 00:00:00' AS last_updated, 1 AS version FROM customer"""
 
 
 @query(build(f"""
-SELECT customer_id, round(CAST(CASE WHEN n_id IS NOT NULL THEN coalesce(n_avg, 0) ELSE avg_transaction_amount END AS DOUBLE), 1) AS avg_amount,
+SELECT customer_id, CAST(CASE WHEN n_id IS NOT NULL THEN coalesce(n_avg, 0) ELSE avg_transaction_amount END AS DECIMAL(12,2)) AS avg_transaction_amount,
+  CAST(CASE WHEN n_id IS NULL THEN risk_score WHEN n_id LIKE 'NEW-%' THEN 0 ELSE 25 END AS DECIMAL(5,2)) AS risk_score,
   CASE WHEN n_id IS NOT NULL THEN n_cat ELSE typical_merchant_category END AS typical_merchant_category,
   CASE WHEN n_id IS NOT NULL THEN n_age ELSE account_age_days END AS account_age_days,
   coalesce(n_total, total_transactions, 0) AS total_transactions, coalesce(total_fraud_cases, 0) AS total_fraud_cases,
@@ -196,9 +197,7 @@ FROM (SELECT coalesce(c.customer_id, n.n_id) AS customer_id, c.* EXCLUDE (custom
   ON c.customer_id = n.n_id)""", "txn"))
 def upserted_customers(f: Frames) -> DataFrame:
     moment = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    snapshot = audit.upsert_customers(_customers(f), _updates(f), moment)
-    return snapshot.withColumn("avg_amount", F.round(F.col("avg_transaction_amount").cast("double"), 1)).drop(
-        "avg_transaction_amount", "risk_score")
+    return audit.upsert_customers(_customers(f), _updates(f), moment)
 
 
 @query(build("""

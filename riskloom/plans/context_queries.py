@@ -27,8 +27,8 @@ def transactions(f: Frames) -> DataFrame:
 
 @query("""
 SELECT customerId, averageTransactionAmount, dailySpendingLimit, riskLevel, changedAt, "offset" FROM (
-  SELECT 'CUST-' || CAST(o_custkey AS VARCHAR) AS customerId, round(o_totalprice / 1000, 2) AS averageTransactionAmount,
-    round(o_totalprice / 50, 2) AS dailySpendingLimit,
+  SELECT 'CUST-' || CAST(o_custkey AS VARCHAR) AS customerId, o_totalprice / 1000 AS averageTransactionAmount,
+    o_totalprice / 50 AS dailySpendingLimit,
     CASE left(o_orderpriority, 1) WHEN '1' THEN 'HIGH' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM' ELSE 'LOW' END AS riskLevel,
     o_orderdate AS changedAt, o_orderkey AS "offset",
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,33 +29,53 @@ SCORE_CARD = ml.LinearModel(
 )
 
 
+def _once(build):
+    """Compose a frame once per :class:`Frames` and hand out the same plan after that."""
+
+    @functools.wraps(build)
+    def kept(self):
+        if build.__name__ not in self._made:
+            self._made[build.__name__] = build(self)
+        return self._made[build.__name__]
+
+    return kept
+
+
 class Frames:
     """Lazily composed frames over one folder; nothing runs until a result is read."""
 
     def __init__(self, spark: SparkSession, folder: str, size: str = DAY):
         self.spark, self.folder, self.size = spark, folder, size
+        self._made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return tables.table(self.spark, self.folder, name)
 
+    @_once
     def transactions(self) -> DataFrame:
         return tables.transactions(self.spark, self.folder)
 
+    @_once
     def profiles(self) -> DataFrame:
         return tables.profiles(self.spark, self.folder)
 
+    @_once
     def enriched(self) -> DataFrame:
         return with_context(self.transactions(), self.profiles(), self.size)
 
+    @_once
     def featured(self) -> DataFrame:
         return feat.with_features(self.enriched())
 
+    @_once
     def paneled(self) -> DataFrame:
         return panel.with_panel(self.featured())
 
+    @_once
     def decided(self) -> DataFrame:
         return routing.with_route(panel.decide(self.paneled()))
 
+    @_once
     def scored(self) -> DataFrame:
         """Decisions with the score card's model score."""
         return self.decided().withColumns({
@@ -62,12 +84,14 @@ class Frames:
             "modelVersion": F.lit("card-v1"),
         })
 
+    @_once
     def labels(self) -> DataFrame:
         return self.table("labels").select(
             F.concat(F.lit("TXN-"), F.col("doc_id").cast("string")).alias("labelledId"),
             (F.col("toxic") == 1).alias("actualFraud"), (F.col("quality") == 1).alias("qualityLabel"),
         )
 
+    @_once
     def feedback(self) -> DataFrame:
         """Automatic feedback for every decision, with a person's label where one exists."""
         labels = self.labels()
@@ -88,10 +112,12 @@ class Frames:
             F.when(labelled, wait).alias("reviewTimeSeconds"),
         )
 
+    @_once
     def predictions(self) -> DataFrame:
         return self.scored().select(
             "transactionId", "customerId", "mlFraudScore", F.col("timestamp").alias("predictedAt"), *S.FEATURES)
 
+    @_once
     def paired(self) -> DataFrame:
         return feedback.pair(self.predictions(), self.feedback())
 
@@ -148,14 +174,17 @@ class Frames:
     def _number(self):
         return F.substring("transactionId", 5, 20).cast("long")
 
+    @_once
     def audit_transactions(self) -> DataFrame:
         return audit.transaction_rows(self.featured())
 
+    @_once
     def audit_predictions(self) -> DataFrame:
         return audit.prediction_rows(
             self.scored().withColumn("topFeatures", F.array(F.struct(F.lit("none").alias("feature"), F.lit(0.0).alias("value")))),
             self._number())
 
+    @_once
     def audit_decisions(self) -> DataFrame:
         """The stored context is the vector case of the same number, where there is one."""
         vectors = self.vectors().select(
@@ -169,6 +198,7 @@ class Frames:
         })
         return audit.decision_rows(joined, self._number())
 
+    @_once
     def audit_reviews(self) -> DataFrame:
         return feedback.case_review_record(self.feedback(), self._number())
 

@@ -12,6 +12,7 @@ from riskloom.functions import text as tx
 from riskloom.plans.frames import SCORE_CARD, Frames
 from riskloom.plans.oracle import CARD, D, build
 from riskloom.plans.registry import query
+from riskloom.session import cut_lineage
 from riskloom.settings import Retrieval
 
 
@@ -106,7 +107,7 @@ def running_auc(f: Frames) -> DataFrame:
 
 
 _LONG = " UNION ALL ".join(
-    f"""SELECT '{n}' AS feature_name, date_trunc('day', "timestamp") AS window_start, CAST({n} AS DOUBLE) AS value, "timestamp" AS at FROM feat"""
+    f"""SELECT '{n}' AS feature_name, date_trunc('day', "timestamp") AS window_start, CAST({n} AS DOUBLE) AS value, "timestamp" AS moment FROM feat"""
     for n in S.FEATURES)
 _STATS = {
     "mean": "avg(value)", "stddev": "stddev_samp(value)", "median": "quantile_cont(value, 0.5)",
@@ -117,10 +118,10 @@ _STATS = {
 
 
 @query(build(" UNION ALL ".join(
-    f"""SELECT feature_name, '{t}' AS stat_type, round({e}, 4) AS stat_value, count(*) AS sample_count, CAST(window_start AS TIMESTAMP) AS window_start,
+    f"""SELECT feature_name, '{t}' AS stat_type, round({e}, 6) AS stat_value, count(*) AS sample_count, CAST(window_start AS TIMESTAMP) AS window_start,
   CAST(window_start AS TIMESTAMP) + INTERVAL 1 DAY AS window_end FROM ({_LONG}) GROUP BY feature_name, window_start""" for t, e in _STATS.items()), "feat"))
 def feature_stats(f: Frames) -> DataFrame:
-    return stats.feature_stats(f.featured(), S.FEATURES)
+    return stats.feature_stats(f.featured(), S.FEATURES).withColumn("stat_value", F.round("stat_value", 6))
 
 
 def _drift_sql() -> str:
@@ -140,7 +141,7 @@ JOIN (SELECT feature_name, sum((a - e) * ln(a / e)) AS psi FROM (
 
 
 @query(build(_drift_sql().strip(), "feat").replace(
-    "\nSELECT b.feature_name", f""",\nlng AS (SELECT feature_name, value, at >= TIMESTAMP '2024-01-16' AS recent FROM ({_LONG}))\nSELECT b.feature_name""", 1))
+    "\nSELECT b.feature_name", f""",\nlng AS (SELECT feature_name, value, moment >= TIMESTAMP '2024-01-16' AS recent FROM ({_LONG}))\nSELECT b.feature_name""", 1))
 def feature_drift(f: Frames) -> DataFrame:
     """Second half of the month against the first."""
     featured, change = f.featured(), F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
@@ -196,9 +197,10 @@ def text_case_similarity(f: Frames) -> DataFrame:
     Query texts repeat heavily, so vectors are made and compared per distinct text.
     """
     stored = case_store.confirmed_cases(f.paired(), F.col("feedbackAt"))
+    stored = cut_lineage(stored)
     embedder = ml.fit_text_embedder(stored.select("document"))
-    asked = f.featured().select(F.col("transactionId").alias("queryId"), "customerId", tx.query_text().alias("document"))
-    queries = ml.embed_text(asked, "document", embedder, output="vector").select("queryId", "customerId", "vector")
+    queries = f.featured().select(F.col("transactionId").alias("queryId"), "customerId", tx.query_text().alias("text"))
     known = ml.embed_text(stored, "document", embedder, output="vector").select(
         F.col("id").alias("caseId"), F.col("metadata.customerId").alias("customerId"), "vector")
-    return similarity.similar_cases(queries, known, Retrieval())
+    return similarity.similar_texts(
+        queries, known, lambda texts: ml.embed_text(texts, "text", embedder, output="vector"), Retrieval())

@@ -73,7 +73,7 @@ FROM ev""")
 
 cte("prof", [], """
 SELECT 'CUST-' || CAST(c_custkey AS VARCHAR) AS p_customerId,
-  round(c_acctbal / 20, 2) AS p_avg, c_acctbal AS p_limit,
+  round(c_acctbal / 25, 2) AS p_avg, c_acctbal AS p_limit,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN ['GROCERY', 'GAS_STATION'] WHEN 'BUILDING' THEN ['RETAIL', 'ONLINE']
        WHEN 'FURNITURE' THEN ['RESTAURANT', 'RETAIL'] WHEN 'HOUSEHOLD' THEN ['GROCERY', 'ONLINE']
        ELSE ['ONLINE', 'RETAIL'] END AS p_categories,
@@ -243,17 +243,17 @@ SELECT event_id AS id, transactionId AS transaction_id, coalesce(analystId, 'sys
 cte("vec", [], "SELECT vec_id AS id, embedding, 'CUST-' || CAST(vec_id % 20 AS VARCHAR) AS customerId, label FROM embeddings")
 cte("sims", ["vec"], """
 SELECT a.id AS queryId, b.id AS caseId, a.customerId AS qc, b.customerId AS cc,
-  round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score
+  list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
 FROM vec a CROSS JOIN vec b""")
 cte("cand", ["sims"], """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY queryId ORDER BY score DESC, caseId) AS candidateRank FROM sims)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY queryId ORDER BY round(score, 9) DESC, caseId) AS candidateRank FROM sims)
 WHERE candidateRank <= 20""")
 
 
 def _hits(threshold: float) -> str:
     return f"""
 SELECT queryId, caseId, round(score, 4) AS similarity, CAST("rank" AS INTEGER) AS "rank" FROM (
-  SELECT *, row_number() OVER (PARTITION BY queryId ORDER BY CASE WHEN qc = cc THEN 0 ELSE 1 END, score DESC, caseId) AS "rank"
+  SELECT *, row_number() OVER (PARTITION BY queryId ORDER BY CASE WHEN qc = cc THEN 0 ELSE 1 END, round(score, 9) DESC, caseId) AS "rank"
   FROM cand) WHERE "rank" <= 3 AND round(score, 4) >= {D(threshold)}"""
 
 

@@ -66,7 +66,7 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
 
     return table(spark, folder, "customer").where(balance >= 0).select(
         F.concat(F.lit("CUST-"), F.col("c_custkey").cast("string")).alias("customerId"),
-        F.round(balance / 20, 2).alias("averageTransactionAmount"),
+        F.round(balance / 25, 2).alias("averageTransactionAmount"),
         balance.alias("dailySpendingLimit"),
         F.when(segment == "AUTOMOBILE", pair("GROCERY", "GAS_STATION"))
         .when(segment == "BUILDING", pair("RETAIL", "ONLINE"))
@@ -84,8 +84,8 @@ def profile_changes(spark: SparkSession, folder: str) -> DataFrame:
     price, priority = F.col("o_totalprice"), F.col("o_orderpriority")
     return table(spark, folder, "orders").select(
         F.concat(F.lit("CUST-"), F.col("o_custkey").cast("string")).alias("customerId"),
-        F.round(price / 1000, 2).alias("averageTransactionAmount"),
-        F.round(price / 50, 2).alias("dailySpendingLimit"),
+        (price / 1000).alias("averageTransactionAmount"),
+        (price / 50).alias("dailySpendingLimit"),
         F.when(priority.startswith("1"), "HIGH").when(priority.startswith("2"), "HIGH")
         .when(priority.startswith("3"), "MEDIUM").otherwise("LOW").alias("riskLevel"),
         F.col("o_orderdate").alias("changedAt"),
