@@ -13,6 +13,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 COUNT = StructType([StructField("n", LongType())])
 
 
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"transactionId": pd.Series(dtype=str), "payload": pd.Series(dtype=str),
+                         "velocityCount": pd.Series(dtype="int64")})
+
+
 class WindowCounter(StatefulProcessor):
     """Numbers a customer's rows within one window, across micro-batches."""
 
@@ -22,17 +27,21 @@ class WindowCounter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["timestamp", "transactionId"], ignore_index=True)
+        end = int(batch["endMillis"].iloc[0])
+        if end <= timerValues.getCurrentWatermarkInMs():
+            # The window is over. Spark's own late filter is one batch behind.
+            yield _nothing()
+            return
         start = self.seen.get()[0] if self.seen.exists() else 0
         if start == 0:
-            self.handle.registerTimer(int(batch["windowEnd"].iloc[0].timestamp() * 1000))
+            self.handle.registerTimer(end)
         self.seen.update((start + len(batch),))
         batch["velocityCount"] = range(start + 1, start + len(batch) + 1)
         yield batch[["transactionId", "payload", "velocityCount"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
-        yield pd.DataFrame({"transactionId": pd.Series(dtype=str), "payload": pd.Series(dtype=str),
-                            "velocityCount": pd.Series(dtype="int64")})
+        yield _nothing()
 
     def close(self) -> None:
         pass
@@ -46,13 +55,12 @@ class LatestCount(StatefulProcessor):
         self.latest = handle.getValueState("latest", state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        counts = pd.concat(list(rows)).groupby("windowStart").size().sort_index()
+        counts = pd.concat(list(rows)).groupby("startMillis").size().sort_index()
         start, n = self.latest.get() if self.latest.exists() else (None, 0)
         for window, added in counts.items():
-            moment = int(window.timestamp() * 1_000_000)
-            if start is not None and moment < start:
+            if start is not None and window < start:
                 continue
-            start, n = moment, int(added) + (n if moment == start else 0)
+            start, n = int(window), int(added) + (n if window == start else 0)
         self.latest.update((start, n))
         yield pd.DataFrame({"customerId": [key[0]], "velocityCount": [n]})
 
@@ -77,6 +85,7 @@ def running_velocity(txn: DataFrame, size: str) -> DataFrame:
     keyed = (
         txn.select("customerId", "transactionId", "timestamp", F.to_json(F.struct(*columns)).alias("payload"))
         .transform(_windowed, size)
+        .withColumn("endMillis", F.unix_millis("windowEnd"))
         .withWatermark("windowEnd", size)
     )
     counted = keyed.groupBy("customerId", "windowStart").transformWithStateInPandas(
@@ -86,6 +95,6 @@ def running_velocity(txn: DataFrame, size: str) -> DataFrame:
 
 def latest_velocity(txn: DataFrame, size: str) -> DataFrame:
     """Streaming form of the last-wins count per customer (update mode)."""
-    rows = _windowed(txn, size).select("customerId", "windowStart")
+    rows = _windowed(txn, size).select("customerId", F.unix_millis("windowStart").alias("startMillis"))
     return rows.groupBy("customerId").transformWithStateInPandas(
         LatestCount(), "customerId string, velocityCount long", "Update", "None")
