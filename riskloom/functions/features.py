@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import settings as S
+from riskloom.functions.numbers import rounded_sql
 
 
 # Reading the profile, with the defaults of a customer that has none.
@@ -34,8 +35,8 @@ def feature_columns(high_velocity: int = S.HIGH_VELOCITY) -> dict[str, Column]:
     unknown = "contains(lower(location), 'unknown')"
     at_home = f"lower(location) = lower({HOME})"
     definitions = {
-        "amount_ratio": f"round(IF({AVERAGE} > 0, try_divide(amount, {AVERAGE}), 1D), 4)",
-        "daily_limit_ratio": f"round(IF({LIMIT} > 0, try_divide(amount, {LIMIT}), 0D), 4)",
+        "amount_ratio": rounded_sql(f"IF({AVERAGE} > 0, try_divide(amount, {AVERAGE}), 1D)", 4),
+        "daily_limit_ratio": rounded_sql(f"IF({LIMIT} > 0, try_divide(amount, {LIMIT}), 0D)", 4),
         "is_amount_unusual": _flag(f"amount > {AVERAGE} * {S.UNUSUAL_MULTIPLE}"),
         "velocity_count": VELOCITY,
         "velocity_squared": f"{VELOCITY} * {VELOCITY}",

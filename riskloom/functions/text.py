@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom import settings as S
 from riskloom.functions import features as feat
+from riskloom.functions.numbers import rounded
 
 # The layout of stored case text, of query text and of prompts.
 CASE_INDENT = " " * 12
@@ -123,7 +124,7 @@ def context_text(score: Column | None = None, cases: Column | None = None,
                          F.col("profile.riskLevel"), " risk.")),
     ]
     if score is not None:
-        percent = plain(F.round(score * 100, 1))
+        percent = plain(rounded(score * 100, 1))
         parts.append(F.when(score.isNotNull(), join_text(
             "ML MODEL PRE-SCREEN: XGBoost fraud score = ", percent, "%. ", ml_band(score))))
     if cases is not None:

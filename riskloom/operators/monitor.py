@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom import settings as S
 from riskloom.functions import text as tx
+from riskloom.functions.numbers import rounded
 from riskloom.operators.analytics import tally
 
 # Bucket labels (plain words; a display may decorate them).
@@ -35,12 +36,12 @@ def feed_records(paired: DataFrame) -> DataFrame:
         "transactionId",
         F.right("transactionId", F.lit(8)).alias("txnShort"),
         F.coalesce("customerId", F.lit(tx.DASH)).alias("customerId"),
-        F.round(F.coalesce("mlFraudScore", F.lit(0.0)) * 100, 1).alias("mlScorePct"),
+        rounded(F.coalesce("mlFraudScore", F.lit(0.0)) * 100, 1).alias("mlScorePct"),
         found.cast("int").alias("ragCases"),
-        F.when(found > 0, F.round(F.col("topSimilarity") * 100, 1)).otherwise(0.0).alias("topSimilarityPct"),
+        F.when(found > 0, rounded(F.col("topSimilarity") * 100, 1)).otherwise(0.0).alias("topSimilarityPct"),
         display_pattern().alias("topPattern"),
         F.coalesce("agentConsensus", F.lit(0)).cast("int").alias("agents"),
-        F.round(F.coalesce("confidence", F.lit(0.0)) * 100, 1).alias("confidencePct"),
+        rounded(F.coalesce("confidence", F.lit(0.0)) * 100, 1).alias("confidencePct"),
         feed_bucket().alias("decision"),
     )
 
@@ -58,8 +59,8 @@ def headline_metrics(records: DataFrame) -> DataFrame:
         total.alias("totalProcessed"),
         counts[FRAUD].alias("fraudCount"), counts[REVIEW].alias("reviewCount"),
         counts[APPROVED].alias("approvedCount"), hits.alias("ragHitCount"),
-        F.round(counts[FRAUD] / base * 100, 1).alias("fraudRatePct"),
-        F.round(hits / base * 100, 1).alias("ragHitRatePct"),
+        rounded(counts[FRAUD] / base * 100, 1).alias("fraudRatePct"),
+        rounded(hits / base * 100, 1).alias("ragHitRatePct"),
     )
 
 
@@ -82,12 +83,12 @@ def context_impact(records: DataFrame) -> DataFrame:
     ranked = F.when(named, F.struct("n_with", F.col("topPattern")))
     return by_pattern.agg(
         n_without.alias("coldCount"),
-        F.round(mean("confidencePct", "without"), 1).alias("coldAvgConfidence"),
+        rounded(mean("confidencePct", "without"), 1).alias("coldAvgConfidence"),
         n_with.alias("contextCount"),
-        F.round(mean("confidencePct", "with"), 1).alias("contextAvgConfidence"),
-        F.round(mean("topSimilarityPct", "with"), 1).alias("contextAvgSimilarity"),
-        F.round(mean("ragCases", "with"), 1).alias("contextAvgCases"),
-        F.round(F.try_divide(n_with * 100.0, n), 1).alias("coveragePct"),
-        F.round(mean("confidencePct", "with") - mean("confidencePct", "without"), 1).alias("confidenceDelta"),
+        rounded(mean("confidencePct", "with"), 1).alias("contextAvgConfidence"),
+        rounded(mean("topSimilarityPct", "with"), 1).alias("contextAvgSimilarity"),
+        rounded(mean("ragCases", "with"), 1).alias("contextAvgCases"),
+        rounded(F.try_divide(n_with * 100.0, n), 1).alias("coveragePct"),
+        rounded(mean("confidencePct", "with") - mean("confidencePct", "without"), 1).alias("confidenceDelta"),
         F.max(ranked)["topPattern"].alias("topPattern"),
     )

@@ -10,7 +10,7 @@ from riskloom.functions import features as feat
 from riskloom.functions import text as tx
 from riskloom.operators import enrich, quality, velocity
 from riskloom.plans.frames import Frames
-from riskloom.plans.oracle import D, build
+from riskloom.plans.oracle import D, R, build
 from riskloom.plans.registry import query
 from riskloom.sources import messages, tables
 
@@ -230,7 +230,7 @@ BAND_SQL = f"""CASE WHEN mlFraudScore >= {D(0.7)} THEN 'ML strongly indicates fr
 SCORED_CONTEXT_SQL = f"""concat_ws(chr(10),
   CASE WHEN velocityCount >= 3 THEN 'HIGH VELOCITY: ' || CAST(velocityCount AS VARCHAR) || ' transactions in the last 5 minutes' END,
   CASE WHEN has_profile THEN 'Customer baseline: $' || printf('%.2f', p_avg) || ' avg, ' || p_risk || ' risk.' END,
-  'ML MODEL PRE-SCREEN: XGBoost fraud score = ' || CAST(round(mlFraudScore * 100, 1) AS VARCHAR) || '%. ' || {BAND_SQL})"""
+  'ML MODEL PRE-SCREEN: XGBoost fraud score = ' || CAST({R('mlFraudScore * 100', 1)} AS VARCHAR) || '%. ' || {BAND_SQL})"""
 
 
 @query(build(f"""

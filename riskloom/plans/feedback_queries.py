@@ -163,19 +163,19 @@ def _count(condition: str) -> str:
 @query(build(f"""
 SELECT count(*) AS totalProcessed, {_count("decision = 'FRAUD'")} AS fraudCount, {_count("decision = 'REVIEW'")} AS reviewCount,
   {_count("decision = 'APPROVED'")} AS approvedCount, {_count("ragCases > 0")} AS ragHitCount,
-  round({_count("decision = 'FRAUD'")} / greatest(count(*), 1) * 100, 1) AS fraudRatePct,
-  round({_count("ragCases > 0")} / greatest(count(*), 1) * 100, 1) AS ragHitRatePct FROM feed""", "feed"))
+  CAST(printf('%.1f', {_count("decision = 'FRAUD'")} / greatest(count(*), 1) * 100) AS DOUBLE) AS fraudRatePct,
+  CAST(printf('%.1f', {_count("ragCases > 0")} / greatest(count(*), 1) * 100) AS DOUBLE) AS ragHitRatePct FROM feed""", "feed"))
 def headline_metrics(f: Frames) -> DataFrame:
     return monitor.headline_metrics(f.feed_records())
 
 
 @query(build(f"""
-SELECT {_count("ragCases = 0")} AS coldCount, round(avg(confidencePct) FILTER (ragCases = 0), 1) AS coldAvgConfidence,
-  {_count("ragCases > 0")} AS contextCount, round(avg(confidencePct) FILTER (ragCases > 0), 1) AS contextAvgConfidence,
-  round(avg(topSimilarityPct) FILTER (ragCases > 0), 1) AS contextAvgSimilarity,
-  round(avg(ragCases) FILTER (ragCases > 0), 1) AS contextAvgCases,
-  round({_count("ragCases > 0")} * {D(100.0)} / count(*), 1) AS coveragePct,
-  round(avg(confidencePct) FILTER (ragCases > 0) - avg(confidencePct) FILTER (ragCases = 0), 1) AS confidenceDelta,
+SELECT {_count("ragCases = 0")} AS coldCount, CAST(printf('%.1f', avg(confidencePct) FILTER (ragCases = 0)) AS DOUBLE) AS coldAvgConfidence,
+  {_count("ragCases > 0")} AS contextCount, CAST(printf('%.1f', avg(confidencePct) FILTER (ragCases > 0)) AS DOUBLE) AS contextAvgConfidence,
+  CAST(printf('%.1f', avg(topSimilarityPct) FILTER (ragCases > 0)) AS DOUBLE) AS contextAvgSimilarity,
+  CAST(printf('%.1f', avg(ragCases) FILTER (ragCases > 0)) AS DOUBLE) AS contextAvgCases,
+  CAST(printf('%.1f', {_count("ragCases > 0")} * {D(100.0)} / count(*)) AS DOUBLE) AS coveragePct,
+  CAST(printf('%.1f', avg(confidencePct) FILTER (ragCases > 0) - avg(confidencePct) FILTER (ragCases = 0)) AS DOUBLE) AS confidenceDelta,
   (SELECT topPattern FROM feed WHERE ragCases > 0 AND topPattern <> '—' GROUP BY topPattern
    ORDER BY count(*) DESC, topPattern DESC LIMIT 1) AS topPattern FROM feed""", "feed"))
 def context_impact(f: Frames) -> DataFrame:

@@ -18,6 +18,11 @@ def D(value: float) -> str:
     return f"CAST({value!r} AS DOUBLE)"
 
 
+def R(value: str, digits: int) -> str:
+    """Rounded on the exact binary value, ties to even."""
+    return f"CAST(printf('%.{digits}f', {value}) AS DOUBLE)"
+
+
 def q(text: str) -> str:
     """A string literal, newlines spelt out."""
     parts = text.replace("'", "''").split("\n")
@@ -96,8 +101,8 @@ SELECT v.*, p.*, p_customerId IS NOT NULL AS has_profile
 FROM vel{suffix} v LEFT JOIN prof p ON v.customerId = p.p_customerId""")
     cte(f"feat{suffix}", [f"enr{suffix}"], f"""
 SELECT *,
-  round(CASE WHEN avg_a > 0 THEN amount / avg_a ELSE 1.0 END, 4) AS amount_ratio,
-  round(CASE WHEN lim_a > 0 THEN amount / lim_a ELSE 0.0 END, 4) AS daily_limit_ratio,
+  {R('CASE WHEN avg_a > 0 THEN amount / avg_a ELSE 1.0 END', 4)} AS amount_ratio,
+  {R('CASE WHEN lim_a > 0 THEN amount / lim_a ELSE 0.0 END', 4)} AS daily_limit_ratio,
   {FLAG.format("amount > avg_a * 3")} AS is_amount_unusual,
   v_eff AS velocity_count, v_eff * v_eff AS velocity_squared,
   {FLAG.format("v_eff >= 3")} AS is_high_velocity,
@@ -277,13 +282,13 @@ SELECT queryId, CAST(count(*) AS INTEGER) AS casesFound, max(similarity) AS maxS
   string_agg(left(document, 200), '|' ORDER BY pos) AS summaries
 FROM (SELECT h.*, v.* EXCLUDE (id), row_number() OVER (PARTITION BY queryId ORDER BY "rank") AS pos
       FROM hits10 h JOIN vcase v ON h.caseId = v.id) GROUP BY queryId""")
-cte("feed", ["pair", "ctx"], """
+cte("feed", ["pair", "ctx"], f"""
 SELECT p.feedbackAt AS "time", p.transactionId, right(p.transactionId, 8) AS txnShort, p.customerId,
-  round(p.mlFraudScore * 100, 1) AS mlScorePct, coalesce(c.casesFound, 0) AS ragCases,
-  CASE WHEN coalesce(c.casesFound, 0) > 0 THEN round(c.simTop * 100, 1) ELSE 0 END AS topSimilarityPct,
+  {R('p.mlFraudScore * 100', 1)} AS mlScorePct, coalesce(c.casesFound, 0) AS ragCases,
+  CASE WHEN coalesce(c.casesFound, 0) > 0 THEN {R('c.simTop * 100', 1)} ELSE 0 END AS topSimilarityPct,
   CASE WHEN p.fraudPattern IS NOT NULL AND p.fraudPattern NOT IN ('', 'unknown') THEN p.fraudPattern
        WHEN coalesce(c.casesFound, 0) > 0 THEN c.patTop ELSE '—' END AS topPattern,
-  p.agentConsensus AS agents, round(p.confidence * 100, 1) AS confidencePct,
+  p.agentConsensus AS agents, {R('p.confidence * 100', 1)} AS confidencePct,
   CASE WHEN p.predictedFraud AND p.confidence >= CAST(0.8 AS DOUBLE) THEN 'FRAUD' WHEN p.predictedFraud THEN 'REVIEW' ELSE 'APPROVED' END AS decision
 FROM pair p LEFT JOIN (
   SELECT DISTINCT queryId, casesFound, first_value(similarity) OVER w AS simTop, first_value(fraudPattern) OVER w AS patTop

@@ -118,3 +118,12 @@ def test_follow_up_prompt_counts(spark):
     paneled = panel.with_panel(feat.with_features(enriched(spark))).withColumn("context", F.lit("c"))
     counts = {r["transactionId"]: r["count"] for r in prompts.follow_up_prompts(paneled).groupBy("transactionId").count().collect()}
     assert counts == {"TEST-001": 5, "TEST-002": 3, "TEST-003": 3}
+
+
+def test_rounding_matches_exact_binary_value(spark):
+    from riskloom.functions.numbers import rounded, rounded_sql
+
+    values = [n / 1000 for n in range(1, 20000, 5)] + [n / 100000 for n in range(5, 3000, 10)] + [0.0, 12.25, 12.35, 1e9 + 0.05]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(rounded(F.col("v"), 2), F.expr(rounded_sql("v", 4)), rounded(F.col("v"), 1)).collect()
+    assert [tuple(r) for r in got] == [(round(v, 2), round(v, 4), round(v, 1)) for v in values]
