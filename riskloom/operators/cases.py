@@ -9,6 +9,10 @@ from riskloom.functions import text as tx
 from riskloom.operators import feedback as fb
 
 
+KEPT_KIND = ("array<struct<rank:int,similarity:double,text:string,fraudPattern:string,confidence:double,"
+             "confirmedBy:string,embeddedAt:string,transactionId:string>>")
+
+
 def confirmed_cases(paired: DataFrame, embedded_at: Column | None = None) -> DataFrame:
     """Cases worth storing from paired feedback: id, document, metadata.
 
@@ -70,9 +74,7 @@ def kept_cases(hits: DataFrame, cases: DataFrame) -> DataFrame:
 
 def rag_context(cases: Column) -> Column:
     """Context struct carried on a prediction; the empty form when nothing was kept."""
-    found = F.coalesce(cases, F.array().cast(
-        "array<struct<rank:int,similarity:double,text:string,fraudPattern:string,confidence:double,"
-        "confirmedBy:string,embeddedAt:string,transactionId:string>>"))
+    found = F.coalesce(cases, F.array().cast(KEPT_KIND))
     summary = F.transform(found, lambda c: F.struct(
         c["similarity"].alias("similarity"), c["fraudPattern"].alias("fraudPattern"),
         c["confidence"].alias("confidence"), c["confirmedBy"].alias("confirmedBy"),

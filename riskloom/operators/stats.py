@@ -136,9 +136,9 @@ def class_report(df: DataFrame, score: str, label: str, cut: float = 0.5) -> Dat
 
 
 def binary_metrics(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFrame:
-    """Per-class report with the AUC beside it."""
+    """Per-class report with the AUC (one row, so it is broadcast) beside it."""
     area = auc(df, score, label).withColumn("_one", F.lit(1))
-    return class_report(df, score, label, cut).withColumn("_one", F.lit(1)).join(area, "_one").drop("_one")
+    return class_report(df, score, label, cut).withColumn("_one", F.lit(1)).join(F.broadcast(area), "_one").drop("_one")
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -155,7 +155,7 @@ def running_auc(df: DataFrame, score: str, label: str, step: str) -> DataFrame:
     folded = df.groupBy(F.col(step).alias("step"), F.col(score).alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
     steps = df.agg(F.sort_array(F.collect_set(step)).alias("steps"))
-    reached = folded.withColumn("_one", F.lit(1)).join(steps.withColumn("_one", F.lit(1)), "_one").select(
+    reached = folded.withColumn("_one", F.lit(1)).join(F.broadcast(steps.withColumn("_one", F.lit(1))), "_one").select(
         F.explode(F.filter("steps", lambda s: s >= F.col("step"))).alias("step"), "score", "pos", "neg")
     upto = reached.groupBy("step", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ranked = running_totals(upto, ["step"], ["score"], {"neg_upto": F.col("neg")})

@@ -227,7 +227,7 @@ def split_check(f: Frames) -> DataFrame:
     routed = per_id.agg(F.sum("n").alias("routedRows"), F.count(F.when(F.col("n") > 1, 1)).alias("routedTwice"))
     whole = decided.agg(F.count(F.lit(1)).alias("inputRows"))
     one = F.lit(1)
-    return whole.withColumn("_one", one).join(routed.withColumn("_one", one), "_one").select(
+    return whole.withColumn("_one", one).join(F.broadcast(routed.withColumn("_one", one)), "_one").select(
         "inputRows", "routedRows", "routedTwice")
 
 

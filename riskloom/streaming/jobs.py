@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,12 +16,14 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom import settings as S
 from riskloom.functions import features as feat
 from riskloom.functions import text as tx
-from riskloom.operators import audit, cases, enrich, feedback, panel, routing
+from riskloom.operators import audit, cases, enrich, feedback, panel, routing, similarity
+from riskloom.operators.ml import LinearModel, embed_text, score, top_attributions, tree_attributions
 from riskloom.operators.online import OnlineModel
 from riskloom.operators.velocity import FIVE_MINUTES
 from riskloom.sources import sinks
 from riskloom.streaming.state import running_velocity
 
+TOP_KIND = "array<struct<feature:string,value:double>>"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,21 +49,63 @@ def enriched_stream(txn: DataFrame, profiles: DataFrame, size: str = FIVE_MINUTE
     return enrich.join_profile(running_velocity(txn, size), profiles)
 
 
-def process_batch(folder: str, score: Column, model_version: str,
+Step = Callable[[DataFrame], DataFrame]
+
+
+def card_scorer(model: LinearModel, means: dict[str, float]) -> Step:
+    """Score with a linear model: mlFraudScore and the three largest contributions."""
+    return lambda featured: featured.withColumns({
+        "mlFraudScore": model.probability(), "topFeatures": top_attributions(model.contributions(means))})
+
+
+def tree_scorer(model: PipelineModel | None, baseline: dict[str, float]) -> Step:
+    """Score with a trained pipeline; without one the rows are skipped."""
+    def add(featured: DataFrame) -> DataFrame:
+        if model is None:
+            return score(None, featured).withColumn("topFeatures", F.array().cast(TOP_KIND))
+        explained = tree_attributions(model, score(model, featured), baseline)
+        return explained.withColumn("topFeatures", top_attributions(F.col("contributions"))).drop("contributions")
+
+    return add
+
+
+def case_retriever(stored: DataFrame, embedder: PipelineModel, retrieval: S.Retrieval = S.Retrieval()) -> Step:
+    """Append ``ragContext`` from the stored cases (id, document, metadata)."""
+    known = embed_text(stored, "document", embedder, output="vector").select(
+        F.col("id").alias("caseId"), F.col("metadata.customerId").alias("customerId"), "vector")
+
+    def add(featured: DataFrame) -> DataFrame:
+        queries = featured.select(F.col("transactionId").alias("queryId"), "customerId", tx.query_text().alias("text"))
+        hits = similarity.similar_texts(
+            queries, known, lambda texts: embed_text(texts, "text", embedder, output="vector"), retrieval)
+        kept = cases.kept_cases(hits, stored)
+        joined = featured.join(kept, F.col("transactionId") == F.col("queryId"), "left")
+        return joined.withColumn("ragContext", cases.rag_context(F.col("cases"))).drop("queryId", "cases")
+
+    return add
+
+
+def no_cases(featured: DataFrame) -> DataFrame:
+    """The empty context, for a store that holds nothing yet."""
+    return featured.withColumn("ragContext", cases.rag_context(F.lit(None).cast(cases.KEPT_KIND)))
+
+
+def process_batch(folder: str, scorer: Step, model_version: str, retriever: Step = no_cases,
                   audit_write: Callable | None = None) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: features, panel, decision, then every output.
+    """Per micro-batch: features, score, similar cases, panel, decision, then every output.
 
     The decided batch is cached once and read by each sink.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        featured = feat.with_features(batch)
-        decided = panel.decide(panel.with_panel(featured)).withColumn("mlFraudScore", score).persist()
+        known = retriever(scorer(feat.with_features(batch))).withColumn("casesFound", F.col("ragContext.casesFound"))
+        decided = panel.decide(panel.with_panel(known, "casesFound")).persist()
         try:
             records = decided.select(F.col("customerId").alias("key"), F.to_json(enrich.enriched_record()).alias("value"))
             sinks.write_enriched(records, f"{folder}/enriched-transactions", batch_id)
             sinks.write_messages(prediction_record(decided, model_version), "customerId", f"{folder}/ml-predictions", batch_id)
-            decisions = panel.to_decision_record(decided, F.col("mlFraudScore"), F.lit(0), tx.context_text(F.col("mlFraudScore")))
+            context = tx.context_text(F.col("mlFraudScore"), F.col("ragContext.promptContext"))
+            decisions = panel.to_decision_record(decided, F.col("mlFraudScore"), F.col("casesFound"), context)
             sinks.write_messages(decisions, "transactionId", f"{folder}/fraud-decisions", batch_id)
             sinks.write_routes(decisions, folder, batch_id)
             sinks.write_feedback(decisions, folder, batch_id)
@@ -73,17 +118,18 @@ def process_batch(folder: str, score: Column, model_version: str,
 
 def prediction_record(decided: DataFrame, model_version: str) -> DataFrame:
     """The published prediction; the sequence score is a constant zero."""
+    top = F.map_from_entries(F.transform("topFeatures", lambda t: F.struct(t["feature"], t["value"])))
     return decided.select(
         "transactionId", "customerId", "mlFraudScore", F.lit(0.0).alias("lstmSequenceScore"),
         F.col("mlFraudScore").alias("combinedScore"), F.lit(model_version).alias("modelVersion"),
-        feat.feature_map().alias("featuresUsed"), F.lit(0).cast("long").alias("inferenceLatencyMs"), "timestamp")
+        top.alias("shapExplanation"), feat.feature_map().alias("featuresUsed"), "ragContext",
+        F.lit(0).cast("long").alias("inferenceLatencyMs"), "timestamp")
 
 
 def audit_tables(decided: DataFrame, model_version: str) -> dict[str, DataFrame]:
     ready = decided.withColumns({
-        "topFeatures": F.array().cast("array<struct<feature:string,value:double>>"),
-        "latencyMs": F.lit(0), "modelVersion": F.lit(model_version), "casesFound": F.lit(0),
-        "maxSimilarity": F.lit(None).cast("double"),
+        "latencyMs": F.lit(0), "modelVersion": F.lit(model_version),
+        "maxSimilarity": cases.max_similarity(F.col("ragContext")),
         "reasoning": tx.join_text("panel consensus: ", F.col("fraudPattern")),
     })
     return {"transactions": audit.transaction_rows(ready), "model_predictions": audit.prediction_rows(ready),

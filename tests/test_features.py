@@ -123,7 +123,8 @@ def test_follow_up_prompt_counts(spark):
 def test_rounding_matches_exact_binary_value(spark):
     from riskloom.functions.numbers import rounded, rounded_sql
 
-    values = [n / 1000 for n in range(1, 20000, 5)] + [n / 100000 for n in range(5, 3000, 10)] + [0.0, 12.25, 12.35, 1e9 + 0.05]
+    values = [n / 1000 for n in range(0, 20000, 5)] + [n / 100000 for n in range(1, 3000)] + [n / 100 for n in range(5, 9000, 10)]
+    values += [0.0, 12.25, 12.35, 5e-05, 0.05, 0.005, 1e9 + 0.05]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = df.select(rounded(F.col("v"), 2), F.expr(rounded_sql("v", 4)), rounded(F.col("v"), 1)).collect()
     assert [tuple(r) for r in got] == [(round(v, 2), round(v, 4), round(v, 1)) for v in values]

@@ -78,7 +78,8 @@ def test_whole_path_to_every_sink(spark, small, tmp_path):
     txn.orderBy("timestamp").coalesce(2).write.parquet(str(tmp_path / "txn"))
     source = spark.readStream.schema(txn.schema).parquet(str(tmp_path / "txn"))
     stream = jobs.enriched_stream(source, frames.profiles(), "1 day")
-    jobs.run(stream, str(tmp_path / "c"), jobs.process_batch(str(out), SCORE_CARD.probability(), "card-v1")).awaitTermination(200)
+    scorer = jobs.card_scorer(SCORE_CARD, dict.fromkeys(SCORE_CARD.coefficients, 0.5))
+    jobs.run(stream, str(tmp_path / "c"), jobs.process_batch(str(out), scorer, "card-v1")).awaitTermination(200)
     total = txn.count()
 
     def read(name):
@@ -180,3 +181,31 @@ def test_union_is_tagged(spark, small):
     tags = feedback.union_tagged(frames.predictions(), frames.feedback()).select("topic").distinct().collect()
     assert {t[0] for t in tags} == {"ml-predictions", "analyst-feedback"}
     assert panel.AGENTS and schemas.AUDIT and feat.feature_columns()
+
+
+def test_stored_cases_reach_the_decision(spark, small, tmp_path):
+    from riskloom.operators import ml
+
+    frames = Frames(spark, small)
+    stored = cases.confirmed_cases(frames.paired(), F.col("feedbackAt")).cache()
+    embedder = ml.fit_text_embedder(stored.select("document"))
+    scorer = jobs.card_scorer(SCORE_CARD, dict.fromkeys(SCORE_CARD.coefficients, 0.5))
+    each = jobs.process_batch(str(tmp_path), scorer, "card-v1", jobs.case_retriever(stored, embedder))
+    each(frames.enriched().where("merchantCategory = 'ONLINE'"), 0)
+    sent, bad = messages.decode_predictions(spark.read.parquet(str(tmp_path / "ml-predictions")).select("value"))
+    assert bad.count() == 0
+    with_cases = sent.where("ragContext.casesFound > 0")
+    assert with_cases.count() > 0
+    row = with_cases.first()
+    assert row["ragContext"]["cases"][0]["similarity"] >= 0.4 and len(row["shapExplanation"]) == 3
+    assert row["ragContext"]["promptContext"].startswith("SIMILAR CONFIRMED FRAUD CASES")
+    told, _ = messages.decode_decisions(spark.read.parquet(str(tmp_path / "fraud-decisions")).select("value"))
+    assert told.where("riskFactors['ragCasesFound'] > 0 AND contains(detailedExplanation, 'SIMILAR CONFIRMED')").count() == with_cases.count()
+    audited = spark.read.parquet(str(tmp_path / "audit/fraud_decisions"))
+    assert audited.where("rag_context_used AND rag_similarity_score >= 0.4").count() == with_cases.count()
+
+
+def test_without_a_model_rows_are_skipped(spark, small, tmp_path):
+    each = jobs.process_batch(str(tmp_path), jobs.tree_scorer(None, {}), "none")
+    each(Frames(spark, small).enriched(), 0)
+    assert spark.read.parquet(str(tmp_path / "fraud-decisions")).count() == 0
