@@ -64,6 +64,15 @@ def decision_rows(decided: DataFrame, row_id: Column | None = None, legacy: bool
     )
 
 
+def feature_stat_rows(stats: DataFrame, now: Column | None = None) -> DataFrame:
+    """Computed feature statistics as audit rows."""
+    key = F.xxhash64("feature_name", "stat_type", "window_start")
+    return stats.select(
+        key.alias("id"), "feature_name", "stat_type", F.round("stat_value", 4).cast("decimal(12,4)").alias("stat_value"),
+        F.col("sample_count").cast("int").alias("sample_count"), "window_start", "window_end",
+        (F.current_timestamp().cast("timestamp_ntz") if now is None else now).alias("computed_at"))
+
+
 # --- lookups --------------------------------------------------------------
 
 def customer_transactions(transactions: DataFrame, customer: str | None = None, limit: int = 100) -> DataFrame:

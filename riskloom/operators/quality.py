@@ -112,6 +112,18 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
+def uniqueness_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, duplicate_keys, extra_rows) over each table's unique key."""
+    parts = []
+    for name, df in tables.items():
+        copies = duplicate_keys(df, UNIQUE_KEYS[name])
+        parts.append(copies.agg(
+            F.count(F.lit(1)).alias("duplicate_keys"),
+            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("extra_rows"),
+        ).select(F.lit(name).alias("table_name"), "duplicate_keys", "extra_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature_name, null_rate, sample_count), one pass, no unpivot of the rows."""
     rates = df.agg(

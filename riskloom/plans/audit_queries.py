@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import analytics, audit, quality
+from riskloom.operators import analytics, audit, quality, stats
 from riskloom.plans.frames import Frames
 from riskloom.plans.oracle import D, build
 from riskloom.plans.registry import query
@@ -273,6 +273,34 @@ def duplicate_keys(f: Frames) -> DataFrame:
     return quality.duplicate_keys(f.table("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+_STAT_FEATURES = ["amount_ratio", "velocity_count", "is_bot_device"]
+
+
+@query(build("""
+SELECT 'transactions' AS table_name, count(*) FILTER (n > 1) AS duplicate_keys, CAST(sum(n - 1) AS BIGINT) AS extra_rows FROM (SELECT count(*) AS n FROM a_txn GROUP BY transaction_id)
+UNION ALL SELECT 'customers', count(*) FILTER (n > 1), CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey)
+UNION ALL SELECT 'fraud_decisions', count(*) FILTER (n > 1), CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM a_dec GROUP BY id)
+UNION ALL SELECT 'case_reviews', count(*) FILTER (n > 1), CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM a_rev GROUP BY id)
+UNION ALL SELECT 'model_predictions', count(*) FILTER (n > 1), CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM a_pred GROUP BY id)""",
+    "a_txn", "a_dec", "a_rev", "a_pred"))
+def uniqueness_report(f: Frames) -> DataFrame:
+    return quality.uniqueness_report({
+        "transactions": f.audit_transactions(), "customers": _customers(f), "fraud_decisions": f.audit_decisions(),
+        "case_reviews": f.audit_reviews(), "model_predictions": f.audit_predictions()})
+
+
+@query(build(" UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, CAST(0 AS BIGINT) AS violations, (SELECT count(*) FROM days) * {len(_STAT_FEATURES) * 11} AS checked"
+    for rule in ("feature_missing", "stat_value_type", "window_order")), "feat").replace(
+    "\nSELECT 'feature_missing'", """,
+days AS (SELECT DISTINCT date_trunc('day', "timestamp") AS d FROM feat)
+SELECT 'feature_missing'""", 1))
+def feature_stat_checks(f: Frames) -> DataFrame:
+    """Audit rows of three features' daily statistics keep the table's rules."""
+    rows = audit.feature_stat_rows(stats.feature_stats(f.featured(), _STAT_FEATURES))
+    return quality.violation_counts(rows, quality.RULES["feature_stats"])
+
+
 @query(build(" UNION ALL ".join(
     f"SELECT '{name}' AS feature_name, round(avg(CASE WHEN {column} IS NULL THEN {D(1.0)} ELSE {D(0.0)} END), 6) AS null_rate, count(*) AS sample_count FROM sq"
     for name, column in [("profile", "p_customerId"), ("profile_averageTransactionAmount", "p_avg"), ("actualFraud", "actualFraud"),

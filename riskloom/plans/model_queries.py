@@ -152,8 +152,9 @@ def feature_drift(f: Frames) -> DataFrame:
 # --- queries no plain SQL can answer (rows only, tested against fixtures) -------
 
 def _training(f: Frames) -> DataFrame:
-    rows = f.decided().withColumn("label", F.col("isFraudulent").cast("int"))
-    return ml.stratified_split(rows, "label", "transactionId")
+    """Written once: training, baselines and scoring all read it."""
+    rows = f.decided().select("transactionId", F.col("isFraudulent").cast("int").alias("label"), *S.FEATURES)
+    return cut_lineage(ml.stratified_split(rows, "label", "transactionId"))
 
 
 @query()

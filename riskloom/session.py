@@ -54,6 +54,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (the figure auto-broadcast uses)."""
+    """Catalyst's size estimate of a plan (the figure auto-broadcast uses).
+
+    A remote session does not expose it; the plan then counts as large.
+    """
+    if not hasattr(df, "_jdf"):
+        return 1 << 62
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
