@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from riskloom import settings as S
 from riskloom.functions import features as feat
 from riskloom.functions import text as tx
-from riskloom.operators import audit, cases, enrich, feedback, panel, routing, similarity
+from riskloom.operators import audit, cases, enrich, feedback, panel, similarity
 from riskloom.operators.ml import LinearModel, embed_text, score, top_attributions, tree_attributions
 from riskloom.operators.online import OnlineModel
 from riskloom.operators.velocity import FIVE_MINUTES
@@ -24,7 +24,6 @@ from riskloom.sources import sinks
 from riskloom.streaming.state import running_velocity
 
 TOP_KIND = "array<struct<feature:string,value:double>>"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], *, name: str | None = None,
@@ -192,8 +191,3 @@ def load_online(spark, folder: str, batch_id: int) -> OnlineModel:
         return OnlineModel()
     rows = spark.read.parquet(f"{folder}/model/batch_id={batch_id - 1}").orderBy("member").collect()
     return OnlineModel([list(r["weights"]) for r in rows], rows[0]["updates"])
-
-
-def decision_routes(decisions: DataFrame) -> DataFrame:
-    """Route names for a decision stream that is routed on its own."""
-    return routing.with_route(decisions)

@@ -92,3 +92,23 @@ def test_missing_customer_keeps_similarity_order(spark):
     right = spark.createDataFrame([(i, "C", [1.0, i / 10]) for i in range(4)], "caseId long, customerId string, vector array<float>")
     rows = similarity.similar_cases(left, right).orderBy("rank").collect()
     assert [r["caseId"] for r in rows] == [0, 1, 2]
+
+
+def test_lsh_pairs_are_within_the_distance(spark):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(40, 6))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    left = spark.createDataFrame(rows, "queryId long, vector array<double>")
+    right = spark.createDataFrame(rows, "caseId long, vector array<double>")
+    found = {(r["queryId"], r["caseId"]) for r in similarity.lsh_candidates(left, right, 0.6).collect()}
+    close = {(i, j) for i in range(40) for j in range(40) if np.linalg.norm(points[i] - points[j]) < 0.6}
+    assert {(i, i) for i in range(40)} <= found <= close
+
+
+def test_exact_split_with_hot_classes(spark, forced):
+    from riskloom.operators import ml
+
+    rows = spark.range(3000).select("id", (F.col("id") % 5 == 0).cast("int").alias("label"))
+    parts = ml.stratified_split(rows, "label", "id").groupBy("label", "isTest").count().collect()
+    assert {(r["label"], r["isTest"]): r["count"] for r in parts} == {(0, True): 480, (0, False): 1920, (1, True): 120, (1, False): 480}
