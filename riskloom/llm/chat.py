@@ -34,7 +34,7 @@ LEARNED_ROLE = "assistant"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def escape_role(role: Column) -> Column:

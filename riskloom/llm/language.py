@@ -93,20 +93,22 @@ class CrossParser:
     def __init__(self, languages: tuple[str, ...], words: tuple[tuple[str, ...], ...]):
         self.languages = languages
         self.automata = [SuffixAutomaton(w) for w in words]
-        self.table = WordTable(self._measure, len(languages) + 1)
+        self.table = WordTable(self._measure, len(languages) + 2)
 
     def _measure(self, word: str) -> list[int]:
         parts = LETTERS.findall(word)
-        return [sum(a.phrases(p) for p in parts) for a in self.automata] + [sum(map(len, parts))]
+        return [sum(a.phrases(p) for p in parts) for a in self.automata] + [len(parts), sum(map(len, parts))]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and how often a word had to be broken: phrases beyond one a word, per letter beyond it."""
         totals = self.table.totals(text.lower().split()) if text and self.languages else [0]
         if not totals[-1]:
-            return UNKNOWN, 0.0
-        phrases = totals[:-1]
+            return UNKNOWN, 0.0, 1.0
+        *phrases, words, letters = totals.tolist()
         best = int(np.argmin(phrases))
-        rest = np.delete(phrases, best)
-        return self.languages[best], float(1 - phrases[best] / rest.min()) if len(rest) else 1.0
+        rest = min(phrases[:best] + phrases[best + 1:], default=None)
+        broken = (phrases[best] - words) / max(letters - words, 1)
+        return self.languages[best], 1 - phrases[best] / rest if rest else 1.0, broken
 
 
 @lru_cache(maxsize=2)
@@ -146,14 +148,18 @@ def identify(docs: DataFrame, model: tuple[tuple, tuple]) -> DataFrame:
                     "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: tuple[tuple, tuple], least: float) -> DataFrame:
-    """The rows, with all columns, whose text has a language with at least this score."""
+def accepted(docs: DataFrame, model: tuple[tuple, tuple], most_broken: float) -> DataFrame:
+    """The rows, with all columns, whose text has a learned language.
+
+    Text of none of them breaks into phrases of hardly more than a letter: it
+    goes if more than ``most_broken`` of the places inside its words are breaks.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def judge(texts: pd.Series) -> pd.Series:
         guess = parser(*shared.value).predict
-        return pd.Series([lang != UNKNOWN and score >= least for lang, score in map(guess, texts)], dtype=bool)
+        return pd.Series([lang != UNKNOWN and broken <= most_broken for lang, _, broken in map(guess, texts)], dtype=bool)
 
     return docs.filter(judge("text"))

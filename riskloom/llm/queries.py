@@ -101,18 +101,18 @@ SELECT conv_id, count(*) AS n_turns,
 FROM learned GROUP BY conv_id""",
     "op10_decontamination": r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w
   FROM documents WHERE text IS NOT NULL),
 i AS (
   SELECT w, min(item_id) AS item_id, count(*) AS n_items, least(len(w), 5) AS size FROM (
-    SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), x -> x <> '') AS w
+    SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w
     FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0 GROUP BY w),
 s AS (
-  SELECT DISTINCT item_id, n_items, size, unnest(list_transform(range(1, len(w) - size + 2), k -> list_slice(w, k, k + size - 1))) AS shingle
+  SELECT DISTINCT item_id, n_items, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: list_slice(w, k, k + size - 1))) AS shingle
   FROM i),
 q AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id),
 t AS (
-  SELECT DISTINCT doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), k -> list_slice(w, k, k + size - 1))) AS shingle
+  SELECT DISTINCT doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: list_slice(w, k, k + size - 1))) AS shingle
   FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size)
 SELECT doc_id, item_id, any_value(n_items) AS n_items, CAST(any_value(n_shingles) AS INTEGER) AS n_shingles,
   CAST(count(*) AS INTEGER) AS n_found, count(*) / any_value(n_shingles) AS containment
