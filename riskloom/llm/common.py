@@ -17,7 +17,9 @@ from riskloom.session import shared_folder
 #: Rows up to which a table whose size was counted may be broadcast.
 BROADCAST_ROWS = 200_000
 #: Entries a worker's memo holds before it starts anew (memory only, never results).
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
+#: Rows of a batch sent to a Python worker at most; texts may be long.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +28,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the workers once per application, so that its functions can be imported there."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_riskloom_shipped", False):
         return
@@ -76,6 +80,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+_holders: list = []
+
+
+def claim(holder) -> None:
+    """Let only this holder's memos live on in the worker; those of operators that ran before are emptied."""
+    for other in _holders:
+        if other is not holder:
+            other.forget()
+    _holders[:] = [holder]
+
+
 class Memo(dict):
     """Remembers ``work(key)``; emptied when full, so that its size is bounded."""
 
@@ -83,6 +98,9 @@ class Memo(dict):
         super().__init__()
         self.work, self.entries = work, entries
 
+    def forget(self) -> None:
+        self.clear()
+
     def __missing__(self, key):
         value = self.work(key)
         if len(self) >= self.entries:
@@ -100,9 +118,9 @@ class WordTable:
 
     def __init__(self, measure: Callable, width: int, entries: int = MEMO_ENTRIES, longest: int = 64):
         self.measure, self.width, self.entries, self.longest = measure, width, entries, longest
-        self._start()
+        self.forget()
 
-    def _start(self) -> None:
+    def forget(self) -> None:
         self.rows = np.zeros((1024, self.width), np.int64)
         self.used = 0
         self.memo = _Index(self)
@@ -120,7 +138,7 @@ class WordTable:
     def gather(self, words: list[str]) -> np.ndarray:
         """One row of measures per word."""
         if self.used >= self.entries:
-            self._start()
+            self.forget()
         index = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         return self.rows[index]
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import WordTable, held_out, map_rows, ship
+from riskloom.llm.common import WordTable, claim, held_out, map_rows, ship
 
 #: Bounds of the training sample, per language.
 TRAIN_ROWS = 40
@@ -111,7 +111,7 @@ class CrossParser:
         return self.languages[best], 1 - phrases[best] / rest if rest else 1.0, broken
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(languages: tuple, words: tuple) -> CrossParser:
     """One per worker process and model."""
     return CrossParser(languages, words)
@@ -137,6 +137,7 @@ def identify(docs: DataFrame, model: tuple[tuple, tuple]) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # bounded by TRAIN_WORDS per language
 
     def work(batches):
+        claim(parser(*shared.value).table)
         guess = parser(*shared.value).predict
         for batch in batches:
             out = [guess(t) for t in batch.column(1).to_pylist()]
@@ -159,6 +160,7 @@ def accepted(docs: DataFrame, model: tuple[tuple, tuple], most_broken: float) ->
 
     @F.pandas_udf("boolean")
     def judge(texts: pd.Series) -> pd.Series:
+        claim(parser(*shared.value).table)
         guess = parser(*shared.value).predict
         return pd.Series([lang != UNKNOWN and broken <= most_broken for lang, _, broken in map(guess, texts)], dtype=bool)
 

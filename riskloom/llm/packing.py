@@ -16,6 +16,7 @@ repeated rows are packed as often as they occur; no rows give no sequences.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -25,43 +26,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import MEMO_ENTRIES, kept, map_rows
+from riskloom.llm.common import claim, kept, map_rows
 from riskloom.llm.tokens import chunks
 
 CAPACITY = 2048
 END_TOKEN = 0
 #: Pieces dealt to one partition on average.
 PARTITION_PIECES = 20_000
+#: Chunks whose ids a worker remembers (memory only).
+KNOWN_CHUNKS = 900_000
 #: How often partitions above their bound are dealt anew.
 ROUNDS = 4
 
 
 class TokenBytes:
-    """Token ids of texts as little-endian 32-bit numbers, from the library, remembered by chunk."""
+    """Token ids of texts as 32-bit numbers in machine order (little-endian here), from the library, remembered by chunk."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(s in t for s in self.special) else chunks(t) for t in texts]
-        if len(self.known) > MEMO_ENTRIES:
-            self.known = {"": b""}
+        if len(self.known) > KNOWN_CHUNKS:
+            self.forget()
         known = self.known
-        missing = list(set(chain.from_iterable(c for c in cut if c is not None)) - known.keys())
+        missing = list(set(chain.from_iterable(c for c in cut if c is not None)).difference(known))
         for at in range(0, len(missing), 10_000):
             part = missing[at:at + 10_000]
             known.update(zip(part, self._pack(part)))
         return [b"".join(map(known.__getitem__, c)) if c is not None else self._pack([t])[0] for c, t in zip(cut, texts)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def token_bytes(path: str) -> TokenBytes:
     """One per worker process and vocabulary."""
     import os
@@ -82,10 +88,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     end = np.array([END_TOKEN], "<u4").tobytes()
 
     def work(batches):
+        claim(token_bytes(tokenizer))
         encode = token_bytes(tokenizer).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 rows = []
                 for doc, copy, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(),
                                           encode([t or "" for t in part.column(2).to_pylist()])):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordTable, held_out, kept, logistic_fit, map_rows, small
+from riskloom.llm.common import WordTable, claim, held_out, kept, logistic_fit, map_rows, small
 
 #: Bound of the classifier's sample, rows of each class.
 TRAIN_ROWS = 3000
@@ -63,6 +63,7 @@ def with_measures(docs: DataFrame, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path and the measures; texts go no further."""
 
     def work(batches):
+        claim(_words())
         for batch in batches:
             x = pa.array([measures(t) for t in batch.column(3).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], x], ["doc_id", "host", "path", "x"])

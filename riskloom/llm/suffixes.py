@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import Memo, kept, map_rows, one_row_per_id, ship, small
+from riskloom.llm.common import Memo, claim, kept, map_rows, one_row_per_id, ship, small
 
 PASSAGE = 50
 STEP = 8
@@ -56,6 +56,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _powers(n: int, made=[np.ones(1, np.uint64), np.ones(1, np.uint64)]) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse; kept for the next text."""
+    if len(made[0]) < n:
+        for k, base in enumerate((BASE, INVERSE)):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            made[k] = np.multiply.accumulate(steps)
+    return made[0][:n], made[1][:n]
+
+
 class Hashed:
     """A text as word hashes, with the hash of any run of words from running sums modulo 2^64."""
 
@@ -63,13 +73,9 @@ class Hashed:
         words = (text or "").encode().split()
         self.n = len(words)
         self.words = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, self.n)
-        powers = np.full(self.n, BASE, np.uint64)
-        powers[:1] = 1
+        powers, self.back = _powers(self.n)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(self.words * np.multiply.accumulate(powers), out=self.sums[1:])
-        back = np.full(self.n, INVERSE, np.uint64)
-        back[:1] = 1
-        self.back = np.multiply.accumulate(back)
+        np.cumsum(self.words * powers, out=self.sums[1:])
 
     def runs(self, starts: np.ndarray, size: int) -> np.ndarray:
         return _mixed((self.sums[starts + size] - self.sums[starts]) * self.back[starts])
@@ -87,31 +93,42 @@ class Hashed:
 
 
 def _suffixes(batches):
+    claim(_word_hash)
     for batch in batches:
+        docs, places, leads = [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             hashed = Hashed(text)
             at = hashed.retained()
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32)),
-                     pa.array(hashed.runs(at, LEAD).view(np.int64))], ["doc", "at", "lead"])
+            docs.append(np.full(len(at), doc, np.int64))
+            places.append(at.astype(np.int32))
+            leads.append(hashed.runs(at, LEAD).view(np.int64))
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (docs, places, leads)], ["doc", "at", "lead"])
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(parts)))
 
 
 def _contexts(batches):
+    claim(_word_hash)
     for batch in batches:
+        contexts, docs, places, before, after = [], [], [], [], []
         for doc, text, positions in zip(*(batch.column(k).to_pylist() for k in range(3))):
             hashed = Hashed(text)
             words = hashed.words.astype(np.uint32).view(np.int32)
             at = np.array(positions, np.int64)
             starts = np.unique(np.concatenate([at - left for left in range(0, WINDOW, STEP)]))
             starts = starts[(starts >= 0) & (starts + CORE <= hashed.n)]
-            if len(starts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashed.runs(starts, CORE).view(np.int64)), pa.array(np.full(len(starts), doc, np.int64)),
-                     pa.array(starts.astype(np.int32)),
-                     pa.array([words[max(0, s - STEP):s][::-1] for s in starts], pa.list_(pa.int32())),
-                     pa.array([words[s + CORE:s + CORE + STEP] for s in starts], pa.list_(pa.int32()))],
-                    ["context", "doc", "at", "before", "after"])
+            contexts.append(hashed.runs(starts, CORE).view(np.int64))
+            docs.append(np.full(len(starts), doc, np.int64))
+            places.append(starts.astype(np.int32))
+            before.extend(words[max(0, s - STEP):s][::-1] for s in starts.tolist())
+            after.extend(words[s + CORE:s + CORE + STEP] for s in starts.tolist())
+        if before:
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (contexts, docs, places)), _lists(before), _lists(after)],
+                                             ["context", "doc", "at", "before", "after"])
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -138,12 +155,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     which is then first_doc_id) and false for those that repeat it.
     """
     texts = one_row_per_id(docs)
+    classed = kept(texts.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("same"), F.length("text").alias("chars")).filter(
+        F.col("chars") >= 2 * PASSAGE - 1))
+    groups = classed.groupBy("same", "chars").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies")).filter("copies > 1")
     n_words = F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
-    classed = kept(texts.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("same"), F.length("text").alias("chars"),
-                                n_words.alias("n")).filter(F.col("n") >= PASSAGE))
-    groups = kept(classed.groupBy("same", "chars").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"),
-                                                       F.max("n").alias("n")).filter("copies > 1"))
-    copies = kept(classed.drop("n").join(groups, ["same", "chars"]).filter(F.col("doc_id") != F.col("first_doc_id")).select(
+    groups = kept(texts.join(small(kept(groups)), F.col("doc_id") == F.col("first_doc_id")).select(
+        "same", "chars", "first_doc_id", n_words.alias("n")).filter(F.col("n") >= PASSAGE))
+    copies = kept(classed.join(small(groups), ["same", "chars"]).filter(F.col("doc_id") != F.col("first_doc_id")).select(
         "doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), "first_doc_id"))
     firsts = groups.select(F.col("first_doc_id").alias("doc_id"), F.lit(0).alias("start"), F.col("n").alias("end"), "first_doc_id")
     alone = texts.join(small(copies.select(F.col("doc_id").alias("_copy"))), F.col("doc_id") == F.col("_copy"), "left_anti")

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import MEMO_ENTRIES, Memo, map_rows
+from riskloom.llm.common import MEMO_ENTRIES, Memo, claim, map_rows
 
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -68,6 +68,10 @@ class PrefixCounter:
         self.count_of_piece = Memo(lambda piece: self.piece_counts(piece.encode())[-1], MEMO_ENTRIES // 2)
         self.count_of = Memo(self._whole)
 
+    def forget(self) -> None:
+        for memo in (self.beside, self.count_of_piece, self.count_of):
+            memo.clear()
+
     def _merged(self, data: bytes) -> list[bytes]:
         """Merge rules applied in order of rank."""
         parts = [data[k:k + 1] for k in range(len(data))]
@@ -145,6 +149,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
     """doc_id, n_bytes, n_tokens and whether the limit is exceeded, one row per input row."""
 
     def work(batches):
+        claim(counter(tokenizer))
         count = counter(tokenizer).count
         for batch in batches:
             numbers = pa.array([count(t) for t in batch.column(2).to_pylist()], pa.int64())
@@ -162,6 +167,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """doc_id and ``counts``: element ``i`` (from 0) is the exact token count of the first ``i`` characters."""
 
     def work(batches):
+        claim(counter(tokenizer))
         prefixes = counter(tokenizer).prefixes
         for batch in batches:
             arrays = pa.array([prefixes(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordTable, held_out, logistic_fit, map_rows, sigmoid
+from riskloom.llm.common import WordTable, claim, held_out, logistic_fit, map_rows, sigmoid
 
 #: Bounds of the training sample (rows of each class) and of the learned lexicon.
 TRAIN_ROWS = 3000
@@ -129,7 +129,7 @@ class Grammar:
         return counts
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def grammar(insults: tuple[str, ...]) -> Grammar:
     """One per worker process and lexicon."""
     return Grammar(insults)
@@ -178,13 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tup
     gathered = words.filter(F.col("_toxic") == 1).join(F.broadcast(ranked), "word").groupBy("word", "neg").agg(
         F.collect_list("_id").alias("pos")).collect()
     insults = tuple(sorted(_cover(gathered, totals[1])))
-    machine = Grammar(insults)
     sampled = texts.select("_toxic", "text")
     x, y = [], []
     for row in _sample_evidence(sampled, insults).collect():
         x.append(row["kinds"])
         y.append(row["_toxic"])
-    del machine
     y = np.array(y, float)
     w = logistic_fit(np.array(x), y)
     share = y.mean()
@@ -194,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tup
 
 def _sample_evidence(texts: DataFrame, insults: tuple[str, ...]) -> DataFrame:
     def work(batches):
+        claim(grammar(insults).table)
         count = grammar(insults).clauses
         for batch in batches:
             kinds = [evidence(count(t)).tolist() for t in batch.column(1).to_pylist()]
@@ -207,6 +206,7 @@ def score(docs: DataFrame, model: tuple[tuple[str, ...], tuple[float, ...]]) ->
     insults, weights = model
 
     def work(batches):
+        claim(grammar(insults).table)
         count, w = grammar(insults).clauses, np.array(weights)
         for batch in batches:
             found = [count(t) for t in batch.column(1).to_pylist()]
