@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zipfile
@@ -46,9 +47,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_rows(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package on the workers."""
+    """``mapInArrow`` with the package on the workers.
+
+    The cycle collector rests meanwhile: the work makes no cycles, and each
+    collection would walk all that the memos hold.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def run(batches):
+        gc.disable()
+        try:
+            yield from work(batches)
+        finally:
+            gc.enable()
+
+    return df.mapInArrow(run, schema)
 
 
 def kept(df: DataFrame) -> DataFrame:
