@@ -174,7 +174,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     contexts = kept(map_rows(alone.join(small(partnered), F.col("doc_id") == F.col("doc")).select("doc", "text", "at"), _contexts,
                              "context long, doc long, at int, before array<int>, after array<int>"))
     heads = contexts.groupBy("context").agg(F.min(F.struct("doc", "at", "before", "after")).alias("head"), F.max("doc").alias("last"))
-    heads = heads.filter(F.col("head.doc") < F.col("last")).select(F.col("context").alias("_context"), "head")
+    # Written first, so that the join below has exchanges of its own and Spark can split a common context.
+    heads = kept(heads.filter(F.col("head.doc") < F.col("last")).select(F.col("context").alias("_context"), "head"))
     matched = kept(contexts.join(heads, F.col("context") == F.col("_context")).filter(F.col("doc") > F.col("head.doc")).select(
         "doc", "at", F.col("head.doc").alias("first"), F.col("head.at").alias("first_at"), "context",
         _agree(F.col("before"), F.col("head.before")).alias("left"), _agree(F.col("after"), F.col("head.after")).alias("right")))
