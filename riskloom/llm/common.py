@@ -18,7 +18,7 @@ from riskloom.session import shared_folder
 #: Rows up to which a table whose size was counted may be broadcast.
 BROADCAST_ROWS = 200_000
 #: Entries a worker's memo holds before it starts anew (memory only, never results).
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 #: Rows of a batch sent to a Python worker at most; texts may be long.
 BATCH_ROWS = 2_000
 
@@ -134,7 +134,7 @@ class WordTable:
         self.forget()
 
     def forget(self) -> None:
-        self.rows = np.zeros((1024, self.width), np.int64)
+        self.rows = np.zeros((1024, self.width), np.int32)
         self.used = 0
         self.memo = _Index(self)
 
@@ -146,10 +146,10 @@ class WordTable:
         return self.used - 1
 
     def totals(self, words: list[str]) -> np.ndarray:
-        return self.gather(words).sum(axis=0)
+        return self.gather(words).sum(axis=0, dtype=np.int64)
 
     def gather(self, words: list[str]) -> np.ndarray:
-        """One row of measures per word."""
+        """One row of measures per word; a measure fits in 31 bits."""
         if self.used >= self.entries:
             self.forget()
         index = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))

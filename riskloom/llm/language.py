@@ -99,6 +99,11 @@ class CrossParser:
         parts = LETTERS.findall(word)
         return [sum(a.phrases(p) for p in parts) for a in self.automata] + [len(parts), sum(map(len, parts))]
 
+    def forget(self) -> None:
+        """Called when another operator's work begins in the worker: the automata go too."""
+        self.table.forget()
+        parser.cache_clear()
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, and how often a word had to be broken: phrases beyond one a word, per letter beyond it."""
         totals = self.table.totals(text.lower().split()) if text and self.languages else [0]
@@ -137,7 +142,7 @@ def identify(docs: DataFrame, model: tuple[tuple, tuple]) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # bounded by TRAIN_WORDS per language
 
     def work(batches):
-        claim(parser(*shared.value).table)
+        claim(parser(*shared.value))
         guess = parser(*shared.value).predict
         for batch in batches:
             out = [guess(t) for t in batch.column(1).to_pylist()]
@@ -160,7 +165,7 @@ def accepted(docs: DataFrame, model: tuple[tuple, tuple], most_broken: float) ->
 
     @F.pandas_udf("boolean")
     def judge(texts: pd.Series) -> pd.Series:
-        claim(parser(*shared.value).table)
+        claim(parser(*shared.value))
         guess = parser(*shared.value).predict
         return pd.Series([lang != UNKNOWN and broken <= most_broken for lang, _, broken in map(guess, texts)], dtype=bool)
 

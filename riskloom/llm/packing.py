@@ -34,7 +34,7 @@ END_TOKEN = 0
 #: Pieces dealt to one partition on average.
 PARTITION_PIECES = 20_000
 #: Chunks whose ids a worker remembers (memory only).
-KNOWN_CHUNKS = 900_000
+KNOWN_CHUNKS = 700_000
 #: How often partitions above their bound are dealt anew.
 ROUNDS = 4
 

@@ -113,7 +113,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _contexts(batches):
     claim(_word_hash)
-    for batch in batches:
+    for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
         contexts, docs, places, before, after = [], [], [], [], []
         for doc, text, positions in zip(*(batch.column(k).to_pylist() for k in range(3))):
             hashed = Hashed(text)

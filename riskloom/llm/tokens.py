@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import MEMO_ENTRIES, Memo, claim, map_rows
+from riskloom.llm.common import Memo, claim, map_rows
 
 #: Fixed value: how the byte-level pre-tokenizer cuts a text.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Chunks whose counts a worker remembers (memory only).
+KNOWN_CHUNKS = 500_000
 ADJACENT = re.compile(r"\s\s")
 
 
@@ -64,9 +66,9 @@ class PrefixCounter:
         self.longest = max(map(len, self.tokens))
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.beside = Memo(self._stays_apart)
-        self.count_of_piece = Memo(lambda piece: self.piece_counts(piece.encode())[-1], MEMO_ENTRIES // 2)
-        self.count_of = Memo(self._whole)
+        self.beside = Memo(self._stays_apart, KNOWN_CHUNKS)
+        self.count_of_piece = Memo(lambda piece: self.piece_counts(piece.encode())[-1], KNOWN_CHUNKS // 2)
+        self.count_of = Memo(self._whole, KNOWN_CHUNKS)
 
     def forget(self) -> None:
         for memo in (self.beside, self.count_of_piece, self.count_of):
