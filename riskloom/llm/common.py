@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -9,6 +10,7 @@ import zipfile
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from riskloom.session import shared_folder
 #: Rows up to which a table whose size was counted may be broadcast.
 BROADCAST_ROWS = 200_000
 #: Entries a worker's memo holds before it starts anew (memory only, never results).
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 350_000
 #: Rows of a batch sent to a Python worker at most; texts may be long.
 BATCH_ROWS = 2_000
 
@@ -60,6 +62,7 @@ def map_rows(df: DataFrame, work: Callable, schema: str) -> DataFrame:
             yield from work(batches)
         finally:
             gc.enable()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -98,10 +101,21 @@ _holders: list = []
 
 def claim(holder) -> None:
     """Let only this holder's memos live on in the worker; those of operators that ran before are emptied."""
-    for other in _holders:
-        if other is not holder:
-            other.forget()
+    before = [other for other in _holders if other is not holder]
+    for other in before:
+        other.forget()
     _holders[:] = [holder]
+    if before:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators would keep it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Memo(dict):
