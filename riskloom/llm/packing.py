@@ -34,7 +34,7 @@ END_TOKEN = 0
 #: Pieces dealt to one partition on average.
 PARTITION_PIECES = 20_000
 #: Chunks whose ids a worker remembers (memory only).
-KNOWN_CHUNKS = 700_000
+KNOWN_CHUNKS = 600_000
 #: How often partitions above their bound are dealt anew.
 ROUNDS = 4
 
@@ -91,8 +91,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
         claim(token_bytes(tokenizer))
         encode = token_bytes(tokenizer).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):  # cut texts are many small strings
+                part = batch.slice(at, 250)
                 rows = []
                 for doc, copy, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(),
                                           encode([t or "" for t in part.column(2).to_pylist()])):
