@@ -184,6 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[tup
         x.append(row["kinds"])
         y.append(row["_toxic"])
     y = np.array(y, float)
+    if not 0 < y.sum() < len(y):  # the labelled documents of one class aren't there
+        return insults, flat
     w = logistic_fit(np.array(x), y)
     share = y.mean()
     w[-1] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))  # both classes were sampled alike
