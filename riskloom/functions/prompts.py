@@ -35,46 +35,46 @@ class Wording:
 
 WORDING = {
     panel.BEHAVIOR: Wording(
-        "analyzing customer behavioral patterns", "fraud detection specialist",
-        ("Does transaction amount deviate from customer baseline?",
-         "Does velocity pattern match normal customer behavior?",
-         "Are merchant category and channel consistent with history?",
-         "Do timing patterns suggest automated behavior?"),
-        "behavioral patterns", "velocity and spending deviation"),
+        "comparing this payment with the customer's habits", "analyst of customer behaviour",
+        ("How far is the amount from what this customer usually pays?",
+         "Is the number of recent payments normal for this customer?",
+         "Has the customer used this kind of shop and channel before?",
+         "Does the rhythm of the payments look like a person's?"),
+        "the customer's habits", "break with habit"),
     panel.PATTERN: Wording(
-        "identifying known attack signatures", "fraud pattern detection specialist",
-        ("Does velocity + amount pattern match card testing attack?",
-         "Does merchant + location combination match known fraud vectors?",
-         "Is the device ID consistent with bot/automated attack patterns?",
-         "Does rapid-fire flag combined with small amounts indicate card probing?"),
-        "known fraud attack patterns", "attack signature"),
+        "matching this payment with known schemes", "analyst of attack schemes",
+        ("Do many small payments in a row point to tested cards?",
+         "Are the shop and the place known from earlier schemes?",
+         "Could the device be a program rather than a phone or till?",
+         "Do the flags and the amount together point to probing?"),
+        "known schemes", "scheme"),
     panel.RISK: Wording(
-        "evaluating transaction risk levels", "financial risk assessment specialist",
-        ("What is the financial impact relative to customer baseline?",
-         "Does the customer risk tier increase or decrease concern?",
-         "Does velocity multiplier significantly increase fraud probability?",
-         "Is merchant risk category HIGH, MEDIUM, or LOW?"),
-        "financial risk and customer profile context", "customer risk tier and amounts"),
+        "weighing what is at stake", "analyst of financial exposure",
+        ("How large is the possible loss for this customer?",
+         "What does the customer's risk level add or take away?",
+         "By how much do recent payments raise the odds of fraud?",
+         "How risky is this kind of shop?"),
+        "exposure and risk level", "level of exposure"),
     panel.GEOGRAPHIC: Wording(
-        "finding location anomalies and VPN or proxy use", "geographic fraud analyst",
-        ("Does transaction location match customer's primary location baseline?",
-         "Does Unknown Location suggest VPN or proxy usage?",
-         "Is geographic travel between transactions physically impossible?",
-         "Does location pattern match known fraud hotspots?"),
-        "location anomalies and VPN/proxy indicators", "unknown or VPN location"),
+        "checking where this payment came from", "analyst of places",
+        ("Is this the customer's home or a place they visit?",
+         "Is the place hidden, as behind a relay?",
+         "Could one person have reached it since the last payment?",
+         "Have confirmed cases come from this place?"),
+        "places", "hidden or distant place"),
     panel.TEMPORAL: Wording(
-        "finding timing patterns and automated attacks", "temporal fraud analyst",
-        ("Are sub-second transaction intervals consistent with bot automation?",
-         "Does transaction hour match customer's typical activity window?",
-         "Does the rapid-fire flag combined with velocity indicate scripted attack?",
-         "Is the timing pattern consistent with human or automated behavior?"),
-        "timing patterns and automated attack indicators", "rapid-fire timing"),
+        "checking when this payment came", "analyst of timing",
+        ("Are the gaps between payments too short for a person?",
+         "Is this an hour at which the customer usually pays?",
+         "Do speed and number of payments point to a script?",
+         "Would a person or a program explain the timing better?"),
+        "timing", "timing"),
 }
 
 
 def precedent_line(wording: Wording) -> str:
-    return (f"\nIf the confirmed cases above show the same {wording.precedent}, "
-            "treat them as strong evidence and raise your RISK_SCORE.\n")
+    return (f"\nWhere a confirmed case above has this {wording.precedent}, "
+            "let it count for more than a first impression.\n")
 
 
 def analysis_prompt(name: str, context: Column) -> Column:
@@ -105,13 +105,13 @@ def agent_prompts(transactions: DataFrame, context: str = "context") -> DataFram
 
 
 def velocity_question(count: Column) -> Column:
-    return tx.join_text("High velocity detected (", count.cast("string"), " transactions). "
-                        "Does this align with automated attack patterns?")
+    return tx.join_text("The current window holds ", count.cast("string"), " payments of this customer. "
+                        "Would you expect that from a person?")
 
 
 def profile_question(average: Column, risk: Column) -> Column:
-    return tx.join_text("Customer profile shows $", tx.fixed(average, 0), " average transactions, ", risk,
-                        " risk level. How does this affect your analysis?")
+    return tx.join_text("This customer pays $", tx.fixed(average, 0), " on average and is rated ", risk,
+                        ". What does that change for you?")
 
 
 def consensus_prompt(context: Column, insights: Column) -> Column:
@@ -149,7 +149,7 @@ def follow_up_prompts(paneled: DataFrame, context: str = "context") -> DataFrame
 
 # The fields of an agent response.
 RISK_FIELD = r"(?i)RISK_SCORE:\s*([0-9.]+)"
-REASONING_FIELD = r"(?imsd)REASONING:\s*(.+?)(?=\nRECOMMENDATION:|RECOMMENDATION:|PATTERN:|$)"
+REASONING_FIELD = r"(?imsd)REASONING:\s*(.+?)(?=RECOMMENDATION:|PATTERN:|$)"
 RECOMMENDATION_FIELD = r"(?imsd)RECOMMENDATION:\s*([^\r\n]+)"
 PATTERN_FIELD = r"(?imsd)PATTERN:\s*(" + "|".join(S.PATTERNS) + ")"
 EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"

@@ -24,7 +24,8 @@ def within(left: str, right: str, seconds: int) -> Column:
 def pair(predictions: DataFrame, feedback: DataFrame, seconds: int | None = S.PAIRING_SECONDS) -> DataFrame:
     """Inner join on transactionId; either side may come first.
 
-    ``predictedAt`` and ``feedbackAt`` bound the pair in time, which is also
+    Batch jobs pass ``seconds=None`` and pair all feedback, however late. With a
+    bound, ``predictedAt`` and ``feedbackAt`` limit the pair in time, which is
     what lets the streaming form drop state. Columns present on both sides are
     taken from the feedback.
     """

@@ -96,6 +96,15 @@ def top_candidates(queries: DataFrame, cases: DataFrame, fetch: int,
     return local.withColumn("candidateRank", F.row_number().over(best)).where(F.col("candidateRank") <= fetch)
 
 
+def without_self(candidates: DataFrame, query: str, fetch: int) -> DataFrame:
+    """The ``fetch`` best candidates of each query other than the query itself; needs one more than that."""
+    best = Window.partitionBy(query).orderBy(*_nearest())
+    return (
+        candidates.where(F.col(query).cast("string") != F.col("caseId").cast("string"))
+        .withColumn("candidateRank", F.row_number().over(best)).where(F.col("candidateRank") <= fetch)
+    )
+
+
 def own_customer_first(candidates: DataFrame, keep: int, threshold: float) -> DataFrame:
     """Same customer first, each side by similarity; cut to ``keep``; then the threshold.
 
@@ -138,7 +147,7 @@ def similar_texts(queries: DataFrame, cases: DataFrame, embed, retrieval: Retrie
 def _for_each_customer(queries, distinct, key, cases, retrieval, block_rows, chunk_rows) -> DataFrame:
     """Candidates per distinct query, joined back and ordered for each customer."""
     found = top_candidates(distinct.select("queryKey", "vector"), cases.select("caseId", "vector"),
-                           retrieval.fetch, block_rows, chunk_rows)
+                           retrieval.fetch + 1, block_rows, chunk_rows)
     owners = cases.select("caseId", F.col("customerId").alias("caseCustomer"))
     gathered = (
         found.join(owners, "caseId")
@@ -150,7 +159,7 @@ def _for_each_customer(queries, distinct, key, cases, retrieval, block_rows, chu
         queries.join(by_key, F.col(key) == F.col("_key"))
         .select("queryId", F.col("customerId").alias("queryCustomer"), F.inline("hits"))
     )
-    return own_customer_first(candidates, retrieval.keep, retrieval.threshold)
+    return own_customer_first(without_self(candidates, "queryId", retrieval.fetch), retrieval.keep, retrieval.threshold)
 
 
 def lsh_candidates(queries: DataFrame, cases: DataFrame, distance: float, seed: int = 7) -> DataFrame:

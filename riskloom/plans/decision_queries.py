@@ -275,8 +275,8 @@ def _follow_sql(name: str, question: str) -> str:
                         q(f"\nAnswer focusing on {w.focus}.\n"), q(prompts.RESPONSE_FORMAT)])
 
 
-_VELOCITY_Q = "'High velocity detected (' || CAST(velocityCount AS VARCHAR) || ' transactions). Does this align with automated attack patterns?'"
-_PROFILE_Q = "'Customer profile shows $' || printf('%.0f', p_avg) || ' average transactions, ' || p_risk || ' risk level. How does this affect your analysis?'"
+_VELOCITY_Q = "'The current window holds ' || CAST(velocityCount AS VARCHAR) || ' payments of this customer. Would you expect that from a person?'"
+_PROFILE_Q = "'This customer pays $' || printf('%.0f', p_avg) || ' on average and is rated ' || p_risk || '. What does that change for you?'"
 _FIRST_LINES = " || chr(10) || ".join(
     f"'{a} (Risk: ' || printf('%.2f', {c}) || '): ' || left({_reason_sql(a)}, 200)" for a, r, c in _ANSWERS if r == "first")
 _CONSENSUS = " || ".join([

@@ -120,7 +120,8 @@ def top_candidates(f: Frames) -> DataFrame:
     """Twenty nearest stored cases of every stored vector."""
     queries = f.vectors().select(F.col("id").alias("queryKey"), "vector")
     stored = f.vectors().select(F.col("id").alias("caseId"), "vector")
-    found = similarity.top_candidates(queries, stored, Retrieval().fetch)
+    fetch = Retrieval().fetch
+    found = similarity.without_self(similarity.top_candidates(queries, stored, fetch + 1), "queryKey", fetch)
     return found.select(F.col("queryKey").alias("queryId"), "caseId", F.round("score", 4).alias("similarity"), "candidateRank")
 
 

@@ -119,7 +119,7 @@ class Frames:
 
     @_once
     def paired(self) -> DataFrame:
-        return feedback.pair(self.predictions(), self.feedback())
+        return feedback.pair(self.predictions(), self.feedback(), seconds=None)
 
     def vectors(self) -> DataFrame:
         key = F.col("vec_id")
@@ -146,7 +146,7 @@ class Frames:
         )
 
     def hits(self, threshold: float) -> DataFrame:
-        """Every stored vector queried against all stored cases."""
+        """Every stored vector queried against all other stored cases."""
         queries = self.vectors().select(F.col("id").alias("queryId"), "customerId", "vector")
         stored = self.vectors().select(F.col("id").alias("caseId"), "customerId", "vector")
         return similarity.similar_cases(queries, stored, Retrieval(threshold=threshold))

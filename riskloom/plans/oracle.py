@@ -204,8 +204,7 @@ FROM dec LEFT JOIN lab ON dec.transactionId = lab.labelledId""")
 cte("pair", ["sco", "fb"], """
 SELECT s.* EXCLUDE (fraudPattern), f.predictedFraud, f.actualFraud, f.confidence, f.agentConsensus, f.fraudPattern,
   f.source, f.feedbackAt, f.analystId, f.reviewTimeSeconds
-FROM sco s JOIN fb f ON s.transactionId = f.transactionId
- AND f.feedbackAt >= s."timestamp" - INTERVAL 300 SECOND AND f.feedbackAt <= s."timestamp" + INTERVAL 300 SECOND""")
+FROM sco s JOIN fb f ON s.transactionId = f.transactionId""")
 
 EMBED = """CASE WHEN actualFraud IS NOT NULL THEN actualFraud
   ELSE predictedFraud AND round(confidence, 4) >= CAST(0.7 AS DOUBLE) END"""
@@ -249,7 +248,7 @@ cte("vec", [], "SELECT vec_id AS id, embedding, 'CUST-' || CAST(vec_id % 20 AS V
 cte("sims", ["vec"], """
 SELECT a.id AS queryId, b.id AS caseId, a.customerId AS qc, b.customerId AS cc,
   list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
-FROM vec a CROSS JOIN vec b""")
+FROM vec a JOIN vec b ON a.id <> b.id""")
 cte("cand", ["sims"], """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY queryId ORDER BY round(score, 9) DESC, caseId) AS candidateRank FROM sims)
 WHERE candidateRank <= 20""")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.plans.frames import DAY, Frames
+from riskloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ANSWERS: dict[str, str] = {}
@@ -19,6 +20,7 @@ def query(sql: str | None = None, size: str = DAY, name: str | None = None):
         key = name or fn.__name__
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return fn(Frames(spark, folder, size))
 
         run.__name__, run.__doc__ = key, fn.__doc__

@@ -9,15 +9,15 @@ from pyspark.sql import types as T
 from riskloom import schemas
 
 CORRUPT = "_corrupt"
-KEPT_CHARACTERS = 200
+PREVIEW_CHARACTERS = 200
 
 
 def decode(df: DataFrame, schema: T.StructType, required: list[str], column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(valid rows opened into columns, quarantined rows with reasons).
 
     A message that does not parse, or lacks a required field (a mistyped field
-    reads as absent), is set aside with the first 200 characters of its text;
-    it never fails the job.
+    reads as absent), is set aside with its whole text, which can be
+    replayed, and a preview of 200 characters; it never fails the job.
     """
     wider = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     text = F.col(column).cast("string")
@@ -37,7 +37,7 @@ def decode(df: DataFrame, schema: T.StructType, required: list[str], column: str
     kept = [c for c in df.columns if c != column]
     valid = marked.where(F.size("reasons") == 0).select(*kept, *[field(c).alias(c) for c in schema.fieldNames()])
     quarantine = marked.where(F.size("reasons") > 0).select(
-        *kept, "reasons", F.substring(text, 1, KEPT_CHARACTERS).alias("raw"))
+        *kept, "reasons", text.alias("raw"), F.substring(text, 1, PREVIEW_CHARACTERS).alias("preview"))
     return valid, quarantine
 
 

@@ -10,39 +10,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-COUNT = StructType([StructField("n", LongType())])
-
-
-def _nothing() -> pd.DataFrame:
-    return pd.DataFrame({"transactionId": pd.Series(dtype=str), "payload": pd.Series(dtype=str),
-                         "velocityCount": pd.Series(dtype="int64")})
+LATEST = StructType([StructField("start", LongType()), StructField("n", LongType())])
+#: JSON would cut timestamps to milliseconds.
+WHOLE_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 class WindowCounter(StatefulProcessor):
-    """Numbers a customer's rows within one window, across micro-batches."""
+    """Numbers a customer's rows within the customer's newest window, across micro-batches.
+
+    A row of an older window is late: it leaves the counter as it is and goes
+    on with the customer's latest count, so no transaction is lost.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", COUNT)
+        self.latest = handle.getValueState("latest", LATEST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["timestamp", "transactionId"], ignore_index=True)
-        end = int(batch["endMillis"].iloc[0])
-        if end <= timerValues.getCurrentWatermarkInMs():
-            # The window is over. Spark's own late filter is one batch behind.
-            yield _nothing()
-            return
-        start = self.seen.get()[0] if self.seen.exists() else 0
-        if start == 0:
-            self.handle.registerTimer(end)
-        self.seen.update((start + len(batch),))
-        batch["velocityCount"] = range(start + 1, start + len(batch) + 1)
+        start, n = self.latest.get() if self.latest.exists() else (None, 0)
+        counts = []
+        for window in batch["startMillis"].tolist():
+            if start is None or window > start:
+                start, n = window, 1
+            elif window == start:
+                n += 1
+            counts.append(n)
+        self.latest.update((start, n))
+        batch["velocityCount"] = counts
         yield batch[["transactionId", "payload", "velocityCount"]]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
-        yield _nothing()
-
     def close(self) -> None:
         pass
 
@@ -51,8 +47,7 @@ class LatestCount(StatefulProcessor):
     """Last window count per customer; an old count stays until the next transaction."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        state = StructType([StructField("start", LongType()), StructField("n", LongType())])
-        self.latest = handle.getValueState("latest", state)
+        self.latest = handle.getValueState("latest", LATEST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         counts = pd.concat(list(rows)).groupby("startMillis").size().sort_index()
@@ -75,22 +70,16 @@ def _windowed(txn: DataFrame, size: str) -> DataFrame:
 
 
 def running_velocity(txn: DataFrame, size: str) -> DataFrame:
-    """Streaming form of the running count.
+    """Streaming form of the running count; every row comes out.
 
-    The watermark is on the window's end, one window behind: a row is late
-    exactly when its window ended before the newest window began. Keys are
-    (customer, window), so state of ended windows is dropped by a timer.
+    A row is late when its customer was already seen in a later window. State is
+    one small row a customer.
     """
-    columns = [c for c in txn.columns]
-    keyed = (
-        txn.select("customerId", "transactionId", "timestamp", F.to_json(F.struct(*columns)).alias("payload"))
-        .transform(_windowed, size)
-        .withColumn("endMillis", F.unix_millis("windowEnd"))
-        .withWatermark("windowEnd", size)
-    )
-    counted = keyed.groupBy("customerId", "windowStart").transformWithStateInPandas(
-        WindowCounter(), "transactionId string, payload string, velocityCount long", "Append", "EventTime")
-    return counted.select(F.from_json("payload", txn.schema).alias("t"), "velocityCount").select("t.*", "velocityCount")
+    keyed = _windowed(txn.select("customerId", "transactionId", "timestamp",
+                                 F.to_json(F.struct(*txn.columns), WHOLE_TIMES).alias("payload")), size)
+    counted = keyed.withColumn("startMillis", F.unix_millis("windowStart")).groupBy("customerId").transformWithStateInPandas(
+        WindowCounter(), "transactionId string, payload string, velocityCount long", "Append", "None")
+    return counted.select(F.from_json("payload", txn.schema, WHOLE_TIMES).alias("t"), "velocityCount").select("t.*", "velocityCount")
 
 
 def latest_velocity(txn: DataFrame, size: str) -> DataFrame:
