@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
 import uuid
-import zipfile
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import shared_folder
+from riskloom.session import shared_folder, ship_package
 
 #: Rows up to which a table whose size was counted may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -30,22 +27,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers once per application, so that its functions can be imported there."""
+    """Send the package to the workers and bound the batches they are given."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    context = spark.sparkContext
-    if getattr(context, "_riskloom_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(SparkFiles.getRootDirectory(), "riskloom-package.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
-    context.addPyFile(archive)
-    context._riskloom_shipped = True
+    ship_package(spark)
 
 
 def map_rows(df: DataFrame, work: Callable, schema: str) -> DataFrame:
