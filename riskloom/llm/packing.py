@@ -46,6 +46,7 @@ class TokenBytes:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.most_known = KNOWN_CHUNKS
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -57,12 +58,12 @@ class TokenBytes:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(s in t for s in self.special) else chunks(t) for t in texts]
-        if len(self.known) > KNOWN_CHUNKS:
+        if len(self.known) > self.most_known:
             self.forget()
         known = self.known
         missing = list(set(chain.from_iterable(c for c in cut if c is not None)).difference(known))
-        for at in range(0, len(missing), 10_000):
-            part = missing[at:at + 10_000]
+        for at in range(0, len(missing), 2_000):
+            part = missing[at:at + 2_000]
             known.update(zip(part, self._pack(part)))
         return [b"".join(map(known.__getitem__, c)) if c is not None else self._pack([t])[0] for c, t in zip(cut, texts)]
 
@@ -82,13 +83,15 @@ def cuts(size: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, size, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False,
+           known_chunks: int = KNOWN_CHUNKS) -> DataFrame:
     """doc_id, copy (numbers repeated ids), piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
     schema = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     end = np.array([END_TOKEN], "<u4").tobytes()
 
     def work(batches):
         claim(token_bytes(tokenizer))
+        token_bytes(tokenizer).most_known = known_chunks
         encode = token_bytes(tokenizer).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 250):  # cut texts are many small strings
@@ -229,6 +232,6 @@ def _union(parts: list[tuple[int, DataFrame]]) -> DataFrame:
     return out
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """All documents as pieces placed in sequences."""
-    return pack(kept(pieces(docs, tokenizer, capacity)), capacity)
+def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, known_chunks: int = KNOWN_CHUNKS) -> DataFrame:
+    """All documents as pieces placed in sequences; ``known_chunks`` bounds a worker's memory only."""
+    return pack(kept(pieces(docs, tokenizer, capacity, known_chunks=known_chunks)), capacity)

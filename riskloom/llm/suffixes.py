@@ -104,6 +104,7 @@ def _suffixes(batches):
             leads.append(hashed.runs(at, LEAD).view(np.int64))
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (docs, places, leads)], ["doc", "at", "lead"])
+    _word_hash.forget()  # cheap to make again; stages without Python follow while the worker idles
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
