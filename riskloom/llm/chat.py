@@ -79,9 +79,10 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         jumps.append(reach)
         above = reach.select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), F.col("up").alias("_up"),
                              F.col("steps").alias("_steps"), F.col("score").alias("_score"))
-        reach = kept(reach.join(above, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("up") == F.col("_id")), "left").select(
-            "tree", "id", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score")))
+        longer = reach.filter("up is not null").join(above, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("up") == F.col("_id"))).select(
+            "tree", "id", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            (F.col("score") + F.col("_score")).alias("score"))
+        reach = kept(reach.filter("up is null").union(longer))  # what has reached its root rests
     rooted = reach.filter("up is null").select(F.col("tree").alias("_tree"), F.col("id").alias("_id"), "steps",
                                                (F.col("score") / F.col("steps")).alias("mean"))
     ranked = leaves.join(rooted, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("id") == F.col("_id"))).select(
