@@ -24,7 +24,8 @@ def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.
     table, so the ranks come from :func:`running_totals`.
     """
     drawn = df.withColumn("_draw", F.md5(F.concat(F.col(key).cast("string"), F.lit(salt))))
-    ranked = running_totals(drawn, [label], ["_draw", key], {"_place": F.lit(1).cast("long")})
+    ranked = running_totals(drawn, [label], ["_draw", key], {"_place": F.lit(1).cast("long")},
+                            ranges=F.substring("_draw", 1, 4))
     sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
     joined = ranked.join(sizes, ranked[label].eqNullSafe(sizes["_label"]), "left")
     return joined.withColumn("isTest", F.col("_place") <= F.floor(F.col("_size") * test_share + 0.5)).drop(

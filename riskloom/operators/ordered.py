@@ -1,4 +1,10 @@
-"""Running totals that stay exact and parallel when one group is huge."""
+"""Running totals that stay exact and parallel when one group is huge.
+
+One plan for every size: rows are dealt by (group, range of the order value),
+each range is totalled by an aggregate that combines before the shuffle, a
+prefix over those few totals gives each range its offset, and a window inside
+the range does the rest. Nothing runs while the plan is composed.
+"""
 
 from __future__ import annotations
 
@@ -6,91 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.session import cut_lineage, estimated_bytes
-
-HOT_ROWS_KEY = "riskloom.hotGroupRows"
-SMALL_BYTES_KEY = "riskloom.smallPlanBytes"
-
-
-def _limit(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(key, str(default)))
-
-
-def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Groups with more rows than one task should sort, or None.
-
-    At most ``rows / limit`` groups can qualify, so the result is small enough
-    to broadcast. A plan whose estimated size is tiny is not counted at all.
-    """
-    if estimated_bytes(df) <= _limit(df, SMALL_BYTES_KEY, 32 << 20):
-        return None
-    limit = _limit(df, HOT_ROWS_KEY, 2_000_000)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    found = cut_lineage(counted.where(F.col("_rows") > limit).select(*keys, "_rows"))
-    return None if found.isEmpty() else found
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Column]
+    df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Column], ranges: Column | None = None
 ) -> DataFrame:
     """Append ``name = sum(measure)`` over the group up to and including each row.
 
-    ``order`` must be total within a group. Normal groups take one shuffle and
-    a window. Groups counted as hot are cut into range partitions instead, and
-    each partition adds the total of the partitions before it.
-    """
-    hot = hot_groups(df, keys)
-    if hot is None:
-        return _windowed(df, keys, order, measures)
-    if not keys:
-        return _ranged(df, keys, order, measures)
-    listed = F.broadcast(hot.drop("_rows"))
-    cold_rows = df.join(listed, _same(df, hot, keys), "left_anti")
-    hot_rows = df.join(listed, _same(df, hot, keys), "left_semi")
-    return _windowed(cold_rows, keys, order, measures).unionByName(
-        _ranged(hot_rows, keys, order, measures)
-    )
-
-
-def _windowed(df, keys, order, measures):
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({name: F.sum(value).over(frame) for name, value in measures.items()})
-
-
-def _ranged(df, keys, order, measures):
-    """Range-partitioned prefix sum.
-
-    The range shuffle is checkpointed, so partition numbers stay fixed if a
-    task is re-run. Only the first group of a partition can have started
-    earlier: the offsets are at most one row per partition.
+    ``order`` must be total within a group. ``ranges`` is a value that never
+    falls as the rows of a group go up in order: it cuts a group into the parts
+    that one task may hold. Without it a group is one part, which suits groups
+    that cannot grow with the data.
     """
+    if ranges is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(value).over(frame) for name, value in measures.items()})
     values = {f"_m_{name}": value for name, value in measures.items()}
-    spread = cut_lineage(
-        df.withColumns(values).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    )
-    totals = spread.groupBy("_part", *keys).agg(*[F.sum(name).alias(f"_t{name}") for name in values])
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        totals.withColumn("_seen", F.lag("_part").over(Window.partitionBy(*keys).orderBy("_part")))
-        .withColumns({f"_o{name}": F.sum(f"_t{name}").over(earlier) for name in values})
-        .where(F.col("_seen").isNotNull())
-        .select(F.col("_part").alias("_opart"), *[F.col(k).alias(f"_k_{k}") for k in keys],
-                *[f"_o{name}" for name in values])
-    )
-    match = F.col("_part") == F.col("_opart")
+    cut = df.withColumns({**values, "_range": ranges})
+    totals = cut.groupBy(*keys, "_range").agg(*[F.sum(name).alias(f"_t{name}") for name in values])
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        F.col("_range").alias("_orange"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[F.sum(f"_t{name}").over(earlier).alias(f"_o{name}") for name in values])
+    match = F.col("_range").eqNullSafe(F.col("_orange"))
     for key in keys:
         match = match & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = spread.join(F.broadcast(offsets), match, "left")
-    totalled = joined.withColumns({
-        name: F.sum(f"_m_{name}").over(inside) + F.coalesce(F.col(f"_o_m_{name}"), F.lit(0))
-        for name in measures
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totalled = cut.join(offsets, match, "left").withColumns({
+        name: F.sum(f"_m_{name}").over(inside) + F.coalesce(F.col(f"_o_m_{name}"), F.lit(0)) for name in measures
     })
     return totalled.select(*df.columns, *measures)

@@ -19,6 +19,12 @@ def long_features(df: DataFrame, features: list[str], extra: list[str]) -> DataF
     return df.select(*extra, F.inline(pairs))
 
 
+def value_ranges(value: Column) -> Column:
+    """Ranges that never fall as the value goes up: 4,096 between 0 and 1, as many per doubling beyond."""
+    size = F.floor(F.log2(F.abs(value) + 1.0) * 4096)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).otherwise(F.when(value < 0, -size).otherwise(size))
+
+
 def exact_quantiles(long: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group from counts of distinct values.
 
@@ -27,7 +33,8 @@ def exact_quantiles(long: DataFrame, keys: list[str], quantiles: dict[str, float
     """
     counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
     sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
-    ranked = running_totals(counts, keys, ["value"], {"upto": F.col("c")}).join(sizes, keys)
+    ranked = running_totals(
+        counts, keys, ["value"], {"upto": F.col("c")}, value_ranges(F.col("value"))).join(sizes, keys)
 
     def at(rank: Column) -> Column:
         inside = (rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto"))
@@ -108,7 +115,7 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     positive = F.col(label).cast("int")
     folded = df.groupBy(F.col(score).alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-    ranked = running_totals(folded, [], ["score"], {"neg_upto": F.col("neg")})
+    ranked = running_totals(folded, [], ["score"], {"neg_upto": F.col("neg")}, value_ranges(F.col("score")))
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return ranked.agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
@@ -158,7 +165,7 @@ def running_auc(df: DataFrame, score: str, label: str, step: str) -> DataFrame:
     reached = folded.withColumn("_one", F.lit(1)).join(F.broadcast(steps.withColumn("_one", F.lit(1))), "_one").select(
         F.explode(F.filter("steps", lambda s: s >= F.col("step"))).alias("step"), "score", "pos", "neg")
     upto = reached.groupBy("step", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = running_totals(upto, ["step"], ["score"], {"neg_upto": F.col("neg")})
+    ranked = running_totals(upto, ["step"], ["score"], {"neg_upto": F.col("neg")}, value_ranges(F.col("score")))
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return ranked.groupBy("step").agg(
         F.sum(F.col("pos") + F.col("neg")).alias("updates"),

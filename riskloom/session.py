@@ -1,4 +1,4 @@
-"""Session helpers: tuned builder, shared checkpoint folder, size estimates."""
+"""Session helpers: tuned builder, shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -74,14 +74,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a cached copy."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (the figure auto-broadcast uses).
-
-    A remote session does not expose it; the plan then counts as large.
-    """
-    if not hasattr(df, "_jdf"):
-        return 1 << 62
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))

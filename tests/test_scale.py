@@ -1,4 +1,4 @@
-"""Paths taken only when a group is too large for one task."""
+"""Groups that are too large for one task."""
 
 import numpy as np
 import pytest
@@ -10,13 +10,18 @@ from riskloom.settings import Retrieval
 
 
 @pytest.fixture
-def forced(spark):
-    """Treat every plan as large and every group above 500 rows as hot."""
-    spark.conf.set(ordered.SMALL_BYTES_KEY, "0")
-    spark.conf.set(ordered.HOT_ROWS_KEY, "500")
-    yield
-    spark.conf.unset(ordered.SMALL_BYTES_KEY)
-    spark.conf.unset(ordered.HOT_ROWS_KEY)
+def composed(monkeypatch):
+    """Compose a plan while every action is refused."""
+    def compose(build, df):
+        def refuse(*_, **__):
+            raise AssertionError("a job ran while a plan was composed")
+
+        with monkeypatch.context() as patch:
+            for action in ("checkpoint", "collect", "count", "first", "isEmpty"):
+                patch.setattr(type(df), action, refuse)
+            return build()
+
+    return compose
 
 
 def _skewed(spark, n=6000):
@@ -26,27 +31,30 @@ def _skewed(spark, n=6000):
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_running_totals_with_hot_groups(spark, forced, keys):
+@pytest.mark.parametrize("ranged", [False, True])
+def test_running_totals_with_hot_groups(spark, composed, keys, ranged):
     df = _skewed(spark)
-    assert ordered.hot_groups(df, keys) is not None
-    got = ordered.running_totals(df, keys, ["t", "id"], {"n": F.lit(1).cast("long"), "s": F.col("v")})
+    ranges = F.floor(F.col("t") / 7) if ranged else None
+    got = composed(lambda: ordered.running_totals(
+        df, keys, ["t", "id"], {"n": F.lit(1).cast("long"), "s": F.col("v")}, ranges), df)
     frame = Window.partitionBy(*keys).orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumns({"n": F.count(F.lit(1)).over(frame), "s": F.sum("v").over(frame)})
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_hot_customer_velocity(spark, forced):
+@pytest.mark.parametrize("split", [None, "5 minutes"])
+def test_hot_customer_velocity(spark, composed, split):
     txn = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("C"), (F.col("id") % 50).cast("string"))).alias("customerId"),
-        F.lit("2026-07-04 13:00:00").cast("timestamp_ntz").alias("timestamp"),
+        (F.lit("2026-07-04 13:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("timestamp"),
         F.format_string("T%05d", "id").alias("transactionId"))
-    counted = velocity.velocity_running(txn).where("customerId = 'HOT'").select("transactionId", "velocityCount").collect()
+    counted = composed(lambda: velocity.velocity_running(txn, "1 hour", split), txn).where("customerId = 'HOT'").select("transactionId", "velocityCount").collect()
     ranked = sorted(counted)
     assert [r["velocityCount"] for r in ranked] == list(range(1, 1001))
 
 
-def test_auc_and_quantiles_match_brute_force(spark, forced):
+def test_auc_and_quantiles_match_brute_force(spark):
     rng = np.random.default_rng(3)
     scores, labels = np.round(rng.random(3000), 3), rng.integers(0, 2, 3000)
     df = spark.createDataFrame([(float(s), int(y)) for s, y in zip(scores, labels)], "s double, y int")
@@ -88,7 +96,7 @@ def test_blocked_similarity_matches_brute_force(spark):
 
 
 def test_missing_customer_keeps_similarity_order(spark):
-    left = spark.createDataFrame([(1, None, [1.0, 0.0])], "queryId long, customerId string, vector array<float>")
+    left = spark.createDataFrame([(9, None, [1.0, 0.0])], "queryId long, customerId string, vector array<float>")
     right = spark.createDataFrame([(i, "C", [1.0, i / 10]) for i in range(4)], "caseId long, customerId string, vector array<float>")
     rows = similarity.similar_cases(left, right).orderBy("rank").collect()
     assert [r["caseId"] for r in rows] == [0, 1, 2]
@@ -106,9 +114,16 @@ def test_lsh_pairs_are_within_the_distance(spark):
     assert {(i, i) for i in range(40)} <= found <= close
 
 
-def test_exact_split_with_hot_classes(spark, forced):
+def test_exact_split_with_hot_classes(spark):
     from riskloom.operators import ml
 
     rows = spark.range(3000).select("id", (F.col("id") % 5 == 0).cast("int").alias("label"))
     parts = ml.stratified_split(rows, "label", "id").groupBy("label", "isTest").count().collect()
     assert {(r["label"], r["isTest"]): r["count"] for r in parts} == {(0, True): 480, (0, False): 1920, (1, True): 120, (1, False): 480}
+
+
+def test_value_ranges_never_fall(spark):
+    values = [float("-inf"), -1e300, -7.5, -1.0, -1e-9, 0.0, 1e-9, 0.25, 0.5, 1.0, 3.0, 1e300, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    found = [r["r"] for r in rows.orderBy("k").select(stats.value_ranges(F.col("v")).alias("r")).collect()]
+    assert found == sorted(found) and len(set(found)) >= 8
