@@ -109,9 +109,9 @@ def test_prompts_name_cases_only_when_present(spark):
     df = enriched(spark, [FRAUD]).withColumn("context", F.lit("nothing"))
     plain = prompts.agent_prompts(df).collect()
     assert {r["agentName"] for r in plain} == {a.name for a in panel.AGENTS}
-    assert not any("confirmed cases above" in r["prompt"] for r in plain)
+    assert not any("Where a confirmed case above" in r["prompt"] for r in plain)
     told = prompts.agent_prompts(df.withColumn("context", F.lit(tx.CASE_HEADER))).collect()
-    assert all("confirmed cases above" in r["prompt"] for r in told)
+    assert all("Where a confirmed case above" in r["prompt"] for r in told)
 
 
 def test_follow_up_prompt_counts(spark):
