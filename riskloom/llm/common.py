@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from riskloom.session import shared_folder, ship_package
 
-#: Rows up to which a table whose size was counted may be broadcast.
+#: Rows, and characters of them as JSON, up to which a table whose size was counted may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 64_000_000
 #: Entries a worker's memo holds before it starts anew (memory only, never results).
 MEMO_ENTRIES = 350_000
 #: Rows of a batch sent to a Python worker at most; texts may be long.
@@ -60,8 +61,11 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast only where its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table, marked for broadcast only where its rows are few and not wide, both as measured."""
+    if df.count() > BROADCAST_ROWS:
+        return df
+    chars = df.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 0
+    return F.broadcast(df) if chars <= BROADCAST_CHARS else df
 
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:

@@ -92,9 +92,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     """doc_id, item_id, n_items, n_shingles, n_found and containment of items that documents contain."""
     items, sketch = sketches(benchmark, shingle, threshold)
     pairs = kept(candidates(docs, sketch))
-    wanted = pairs.join(small(items), "item_id").select(F.col("doc_id").alias("_doc"), "item_id", "n_items", "size", "q", "need", "shingles")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    near = read.join(small(kept(wanted)), F.col("doc_id") == F.col("_doc"))
+    # Texts meet narrow rows first, so that words are cut once a document and items' shingles are not repeated a pair.
+    hit = kept(pairs.select(F.col("doc_id").alias("_doc")).distinct())
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        small(hit), F.col("doc_id") == F.col("_doc"), "left_semi").select("doc_id", words(F.col("text")).alias("w"))
+    near = read.join(small(pairs), "doc_id").join(small(items.drop("hashes")), "item_id")
     found = None
     for size in range(1, shingle + 1):
         here = F.col("size") == size
