@@ -10,25 +10,30 @@ from riskloom import settings as S
 ALERT, REVIEW, APPROVED = S.ROUTES
 
 
-def route() -> Column:
-    """First match wins: confident fraud, then fraud or mid confidence, else approved."""
+def predicates() -> dict[str, Column]:
+    """Condition of each route but the last; confident fraud, then fraud or mid confidence."""
     fraud, confidence = F.col("isFraudulent"), F.col("confidenceScore")
     uncertain = (confidence > S.REVIEW_LOW) & (confidence < S.REVIEW_HIGH)
-    return (
-        F.when(fraud & (confidence > S.ALERT_CONFIDENCE), ALERT)
-        .when(fraud | uncertain, REVIEW)
-        .otherwise(APPROVED)
-    )
+    return {ALERT: fraud & (confidence > S.ALERT_CONFIDENCE), REVIEW: fraud | uncertain}
+
+
+def route(conditions: dict[str, Column] | None = None, otherwise: str = APPROVED) -> Column:
+    """First match wins, in the order given; what matches nothing goes to ``otherwise``."""
+    chosen = F
+    for name, condition in (predicates() if conditions is None else conditions).items():
+        chosen = chosen.when(condition, F.lit(name))
+    return F.lit(otherwise) if chosen is F else chosen.otherwise(F.lit(otherwise))
 
 
-def with_route(decisions: DataFrame) -> DataFrame:
-    return decisions.withColumn("route", route())
+def with_route(decisions: DataFrame, conditions: dict[str, Column] | None = None, otherwise: str = APPROVED) -> DataFrame:
+    return decisions.withColumn("route", route(conditions, otherwise))
 
 
-def split(decisions: DataFrame) -> dict[str, DataFrame]:
+def split(decisions: DataFrame, conditions: dict[str, Column] | None = None, otherwise: str = APPROVED) -> dict[str, DataFrame]:
     """Disjoint, complete parts; each is a filter on the one route column."""
-    routed = with_route(decisions)
-    return {name: routed.where(F.col("route") == name) for name in S.ROUTES}
+    routed = with_route(decisions, conditions, otherwise)
+    names = S.ROUTES if conditions is None else dict.fromkeys([*conditions, otherwise])
+    return {name: routed.where(F.col("route") == name) for name in names}
 
 
 def percent(confidence: Column) -> Column:

@@ -42,8 +42,7 @@ def _best_of_block(fetch: int):
             for start in range(0, len(queries), step):
                 part = queries.iloc[start:start + step]
                 scores = _unit_rows(part["vector"]) @ stored.T
-                for key, row in zip(part["queryKey"], scores):
-                    found.append(_top(key, row, ids, fetch))
+                found.append(_top(part["queryKey"].to_numpy(), scores, ids, fetch))
         if not found:
             return pd.DataFrame({"queryKey": [], "caseId": [], "score": []})
         return pd.concat(found, ignore_index=True)
@@ -51,15 +50,19 @@ def _best_of_block(fetch: int):
     return run
 
 
-def _top(key, row: np.ndarray, ids: np.ndarray, fetch: int) -> pd.DataFrame:
-    compared = np.round(row, TIE_DIGITS)
-    if len(row) > fetch:
-        cut = np.partition(compared, len(row) - fetch)[len(row) - fetch]
-        near = np.flatnonzero(compared >= cut)
+def _top(keys: np.ndarray, scores: np.ndarray, ids: np.ndarray, fetch: int) -> pd.DataFrame:
+    """The ``fetch`` best of every row of scores, ties to the smaller id; ``ids`` are sorted."""
+    compared = np.round(scores, TIE_DIGITS)
+    if compared.shape[1] > fetch:
+        place = compared.shape[1] - fetch
+        rows, at = np.nonzero(compared >= np.partition(compared, place, axis=1)[:, place:place + 1])
     else:
-        near = np.arange(len(row))
-    order = near[np.argsort(-compared[near], kind="stable")][:fetch]
-    return pd.DataFrame({"queryKey": key, "caseId": ids[order], "score": row[order]})
+        rows, at = (found.ravel() for found in np.indices(compared.shape))
+    order = np.lexsort((at, -compared[rows, at], rows))
+    rows, at = rows[order], at[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < fetch
+    rows, at = rows[best], at[best]
+    return pd.DataFrame({"queryKey": keys[rows], "caseId": ids[at], "score": scores[rows, at]})
 
 
 def _nearest() -> list:

@@ -112,12 +112,20 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
     Scores are folded to (score, positives, negatives) before ranking.
     """
+    return _ranked_scores(df, score, label).agg(_area().alias("auc"))
+
+
+def _ranked_scores(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(score, pos, neg, neg_upto), one row per distinct score."""
     positive = F.col(label).cast("int")
     folded = df.groupBy(F.col(score).alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-    ranked = running_totals(folded, [], ["score"], {"neg_upto": F.col("neg")}, value_ranges(F.col("score")))
+    return running_totals(folded, [], ["score"], {"neg_upto": F.col("neg")}, value_ranges(F.col("score")))
+
+
+def _area() -> Column:
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
-    return ranked.agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    return F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double"))
 
 
 def confusion(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFrame:
@@ -129,6 +137,11 @@ def confusion(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFr
 
 def class_report(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFrame:
     """Precision, recall, F1 and support per class."""
+    return confusion(df, score, label, cut).select(F.inline(_class_rows()))
+
+
+def _class_rows() -> Column:
+    """One struct per class from the counts tp, fp, fn and tn."""
     def row(name: str, hit: Column, wrong: Column, missed: Column) -> Column:
         zero = F.lit(0.0)
         precision = F.coalesce(F.try_divide(hit.cast("double"), hit + wrong), zero)
@@ -138,14 +151,20 @@ def class_report(df: DataFrame, score: str, label: str, cut: float = 0.5) -> Dat
                         f1.alias("f1"), (hit + missed).alias("support"))
 
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    rows = F.array(row("fraud", tp, fp, fn), row("legitimate", tn, fn, fp))
-    return confusion(df, score, label, cut).select(F.inline(rows))
+    return F.array(row("fraud", tp, fp, fn), row("legitimate", tn, fn, fp))
 
 
 def binary_metrics(df: DataFrame, score: str, label: str, cut: float = 0.5) -> DataFrame:
-    """Per-class report with the AUC (one row, so it is broadcast) beside it."""
-    area = auc(df, score, label).withColumn("_one", F.lit(1))
-    return class_report(df, score, label, cut).withColumn("_one", F.lit(1)).join(F.broadcast(area), "_one").drop("_one")
+    """Per-class report with the AUC beside it, both from one fold of the rows by score."""
+    said = F.col("score") >= cut
+
+    def count(said: Column, of: str) -> Column:
+        return F.coalesce(F.sum(F.when(said, F.col(of))), F.lit(0))
+
+    counts = _ranked_scores(df, score, label).agg(
+        count(said, "pos").alias("tp"), count(said, "neg").alias("fp"),
+        count(~said, "pos").alias("fn"), count(~said, "neg").alias("tn"), _area().alias("auc"))
+    return counts.select(F.inline(_class_rows()), "auc")
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

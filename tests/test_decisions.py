@@ -128,3 +128,12 @@ def test_empty_feed_metrics(spark):
     row = monitor.headline_metrics(empty).first()
     assert (row["totalProcessed"], row["fraudRatePct"], row["ragHitRatePct"]) == (0, 0.0, 0.0)
     assert monitor.context_impact(empty).first()["topPattern"] is None
+
+
+def test_own_routes_are_complete_and_disjoint(paneled):
+    decided = panel.decide(paneled)
+    parts = routing.split(decided, {"held": F.col("isFraudulent"), "watched": F.col("confidenceScore") > 2}, "passed")
+    assert list(parts) == ["held", "watched", "passed"]
+    ids = {name: {r["transactionId"] for r in part.collect()} for name, part in parts.items()}
+    assert "TEST-001" in ids["held"] and "TEST-002" in ids["passed"] and not ids["watched"]
+    assert sum(map(len, ids.values())) == decided.count()
