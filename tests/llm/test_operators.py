@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskloom.llm import chat, contamination, neighbours, packing, queries, simhash, suffixes, tokens
+from riskloom.llm import chat, contamination, copies, neighbours, packing, queries, simhash, suffixes, tokens
 from riskloom.llm.components import components
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -195,6 +195,38 @@ def test_links_connect_what_is_near(spark, crowd):
     assert [got.get(b, b) for b in signed] == [signed[r] for r in want]
 
 
+def _near_texts():
+    """Texts of a few hundred words, copies of them with some words changed, and unlike texts with one common line."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    line = rng.sample(words, 12)
+    texts = []
+    for base in (rng.choices(words, k=300) for _ in range(6)):
+        for _ in range(8):
+            copy = list(base)
+            for at in rng.sample(range(300), rng.choice([1, 2, 4, 5, 6, 7, 9])):
+                copy[at] = rng.choice(words)
+            texts.append(copy)
+    texts += [rng.choices(words, k=rng.randint(3, 60)) + line for _ in range(30)] + [line, line + ["end"], ["w1"], ["w1"], []]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("crowd", [200, 3])
+def test_stage_finds_all_near_copies(spark, small, crowd):
+    texts = _near_texts()
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root, far = list(range(len(texts))), 0
+    for i, j in ((i, j) for j in range(len(texts)) for i in range(j)):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            far += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 2
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert far and 10 < len(set(root)) < len(texts) - 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in copies.near_copies(docs, crowd=crowd).collect()} == dict(enumerate(root))
+    assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, small).collect()} == set(root)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "u long, v long")
     assert {r.node: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(1, 301), 0), 1001: 1000}
