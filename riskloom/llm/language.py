@@ -8,8 +8,8 @@ once per worker and remembered, and words never seen in training still match
 by their parts.
 
 Learning reads the text and non-null lang of rows outside the held-out fold,
-from a bounded sample (``TRAIN_ROWS`` texts a language, picked by a hash of the
-text, and of those the ``TRAIN_WORDS`` most frequent words).
+from a bounded sample (``TRAIN_ROWS`` different texts a language, picked by a hash
+of the text, however many copies each has, and of those the ``TRAIN_WORDS`` most frequent words).
 
 Defined results: ``und`` with score 0 for null texts and texts without a
 letter, and for all texts where nothing could be learned; ties go to the
@@ -126,8 +126,12 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> tu
     """Languages and their sampled words; at most ``words`` per language reach the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "lang", "text")
+    first = Window.partitionBy("_lang").orderBy("_hash")
+    hashed = known.select(F.col("lang").alias("_lang"), F.xxhash64("text").alias("_hash")).distinct()
+    lowest = hashed.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= rows)
+    texts = known.join(lowest, (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_hash")), "left_semi").distinct()
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = known.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= rows)
+    sample = texts.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= rows)
     counted = (sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
                .filter(F.length("word") <= 40).groupBy("lang", "word").count())
     common = Window.partitionBy("lang").orderBy(F.desc("count"), "word")

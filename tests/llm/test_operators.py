@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from riskloom.llm import chat, contamination, copies, neighbours, packing, queries, simhash, suffixes, tokens
+from riskloom.llm import chat, contamination, copies, language, neighbours, packing, queries, simhash, suffixes, tokens
 from riskloom.llm.components import components
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -124,6 +124,16 @@ def test_labels_accuracy(spark, small, duck):
         assert sum(r.predicted == want[r.doc_id] for r in got) >= 0.85 * len(got)
 
 
+def test_sample_counts_different_texts(spark):
+    texts = [f"text {word}" for word in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta")]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    lowest = docs.orderBy(F.xxhash64("text")).first().text
+    many = docs.union(spark.range(100, 700).select("id", F.lit(lowest), F.lit("en")))
+    train = many.filter(~language.held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    want = {"text"} | {r.text.split()[1] for r in train.select("text").distinct().orderBy(F.xxhash64("text")).limit(4).collect()}
+    assert len(want) == 5 and language.fit(many, rows=4) == (("en",), (tuple(sorted(want)),))
+
+
 def test_toxic_grammar_reads_clauses():
     from riskloom.llm.toxicity import KINDS, Grammar
 
