@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from riskloom.functions import text as tx
 from riskloom.plans.frames import SCORE_CARD, Frames
 from riskloom.plans.oracle import CARD, D, build
 from riskloom.plans.registry import query
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, shared_folder
 from riskloom.settings import Retrieval
 
 
@@ -157,12 +160,33 @@ def _training(f: Frames) -> DataFrame:
     return cut_lineage(ml.stratified_split(rows, "label", "transactionId"))
 
 
-@query()
-def tree_scores(f: Frames) -> DataFrame:
-    """Boosted trees trained on the split's larger part, scoring the rest, with attributions."""
+_written: dict[tuple, str] = {}
+
+
+def _trained(f: Frames, **size: int) -> tuple[DataFrame, PipelineModel]:
+    """The split rows and the model trained on their larger part.
+
+    A model is trained once per session and content of the rows, and written
+    for the queries that share it.
+    """
     rows = _training(f)
+    content = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    key = (f.spark.sparkContext.applicationId, *content, *sorted(size.items()))
+    if key not in _written:
+        path = f"{shared_folder(f.spark)}/riskloom-trees-{uuid.uuid4().hex}"
+        ml.save_model(ml.train_classifier(rows.where(~F.col("isTest")), **size), path)
+        _written[key] = path
+    return rows, ml.load_model(_written[key])
+
+
+@query()
+def tree_scores(f: Frames, **size: int) -> DataFrame:
+    """Boosted trees trained on the split's larger part, scoring the rest, with attributions.
+
+    ``size`` (trees, depth) is for tests; without it the classifier's defaults hold.
+    """
+    rows, model = _trained(f, **size)
     train, test = rows.where(~F.col("isTest")), rows.where(F.col("isTest"))
-    model = ml.train_classifier(train, trees=5, depth=4)
     scored = ml.score(model, test).select("transactionId", "label", "mlFraudScore", *S.FEATURES)
     explained = ml.tree_attributions(model, scored, ml.feature_means(train, S.FEATURES))
     top = ml.top_attributions(F.col("contributions"))
@@ -171,8 +195,8 @@ def tree_scores(f: Frames) -> DataFrame:
 
 
 @query()
-def feature_importance(f: Frames) -> DataFrame:
-    model = ml.train_classifier(_training(f).where(~F.col("isTest")), trees=5, depth=4)
+def feature_importance(f: Frames, **size: int) -> DataFrame:
+    _, model = _trained(f, **size)
     return ml.feature_importance(model, f.spark)
 
 

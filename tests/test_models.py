@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from riskloom import settings as S
 from riskloom.operators import audit, enrich, ml, quality, stats
+from riskloom.plans import model_queries, registry
+from riskloom.plans.frames import Frames
 from riskloom.sources import generators
 
 
@@ -157,3 +159,19 @@ def test_quality_rules_find_each_violation(spark):
 def test_latest_profiles_last_offset_wins(spark):
     df = spark.createDataFrame([("A", 1, "x"), ("A", 3, "z"), ("A", 2, "y"), ("B", 1, "q")], "customerId string, offset long, v string")
     assert {r["customerId"]: r["v"] for r in enrich.latest_profiles(df).collect()} == {"A": "z", "B": "q"}
+
+
+def test_tree_queries_share_one_model_of_default_size(spark, small, monkeypatch):
+    train, sizes = ml.train_classifier, []
+
+    def fewer(rows, **size):
+        sizes.append(size)
+        return train(rows, **{"trees": 3, "depth": 3} | size)
+
+    monkeypatch.setattr(ml, "train_classifier", fewer)
+    monkeypatch.setattr(model_queries, "_written", {})
+    top = registry.QUERIES["feature_importance"](spark, small).collect()
+    scored = registry.QUERIES["tree_scores"](spark, small)
+    assert sizes == [{}] and len(top) == 5 and scored.columns[:3] == ["transactionId", "label", "mlFraudScore"]
+    model_queries.feature_importance(Frames(spark, small), trees=2, depth=2)
+    assert sizes == [{}, {"trees": 2, "depth": 2}]
