@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskloom.session import shared_folder, ship_package
 
@@ -80,6 +81,28 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
         read.join(small(again), same, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+    """Rows with ``place``, their place in the group from 0, and ``members``, the rows of the group; written.
+
+    Rows are dealt by ranges of (group, order), so a group of any size is
+    spread; each range is counted, and a prefix over those counts, at most one
+    a group and range, gives the place of its first row.
+    """
+    by = [*[F.asc_nulls_first(g) for g in groups], *order]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_number", F.monotonically_increasing_id())
+    dealt = kept(dealt.withColumns({"_range": F.shiftright("_number", 33), "_row": F.col("_number").bitwiseAND((1 << 33) - 1)}))
+    ranges = dealt.groupBy(*groups, "_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    before = F.sum("_rows").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = kept(ranges.select(
+        *[F.col(g).alias(f"_of_{g}") for g in groups], F.col("_range").alias("_of"),
+        (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_offset"), F.sum("_rows").over(whole).alias("members")))
+    match = F.col("_range") == F.col("_of")
+    for g in groups:
+        match = match & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return dealt.join(small(offsets), match).select(*df.columns, (F.col("_row") + F.col("_offset")).alias("place"), "members")
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold kept away from learning: crc32 of the id's digits, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

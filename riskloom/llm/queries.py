@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import (
     chat,
+    collocations,
     contamination,
     language,
+    manifest,
+    mixing,
     neighbours,
     packing,
     quality,
@@ -83,9 +86,25 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all rows, checked against a copy in which A-Z of every third text or so is lower-cased."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.verify(table(spark, folder, "documents"), lowered)
+
+
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources weigh 1, 2, 3, repeating; none is taken more than three times."""
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases of two to five words that occur 100 times or more, the 2,000 best of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {fn.__name__: fn for fn in (
     op1_token_counts, op2_repeated_passages, op3_language_id, op4_chat_formatting, op5_toxicity, op6_simhash, op7_nearest,
-    op8_quality, op9_best_fit_packing, op10_decontamination)}
+    op8_quality, op9_best_fit_packing, op10_decontamination, op11_merkle_manifest, op12_source_mixing, op13_collocations)}
 
 ANSWERS: dict[str, str] = {
     "op4_chat_formatting": r"""
@@ -118,4 +137,96 @@ SELECT doc_id, item_id, any_value(n_items) AS n_items, CAST(any_value(n_shingles
   CAST(count(*) AS INTEGER) AS n_found, count(*) / any_value(n_shingles) AS containment
 FROM t JOIN s USING (size, shingle) JOIN q USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= ceil(any_value(n_shingles) * 0.8 - 1e-9)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE row_of AS (SELECT *, row_number() OVER () AS id FROM documents),
+said AS (
+  SELECT id, doc_id, lang, text, CASE WHEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') <> text
+    AND xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda acc, c: list_reduce(list_concat([xor(acc, c)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 3 = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS altered,
+  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS fields FROM row_of),
+leaf AS (
+  SELECT id, doc_id, lang, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS digest,
+    sha256(fields || coalesce(strlen(altered) || ':' || altered, '-')) AS found FROM said),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM leaf),
+tree AS (
+  SELECT 0 AS level, lang, pos, digest, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM (
+    SELECT level + 1 AS level, lang, pos // 8 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM tree WHERE n > 1
+    GROUP BY level, lang, pos // 8)),
+top AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, digest, count(*) OVER () AS n FROM tree WHERE n = 1
+  UNION ALL
+  SELECT *, count(*) OVER () AS n FROM (
+    SELECT level + 1 AS level, pos // 8 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM top WHERE n > 1 GROUP BY level, pos // 8)),
+subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree_pos FROM tree WHERE n = 1),
+beside AS (
+  SELECT level, lang, pos, coalesce(string_agg(digest, '') OVER (PARTITION BY level, lang, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY level, lang, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tree WHERE n > 1),
+beside_top AS (
+  SELECT level, pos, coalesce(string_agg(digest, '') OVER (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM top WHERE n > 1),
+steps AS (
+  SELECT p.id, b.level AS step, b.l, b.r FROM placed p JOIN beside b ON b.lang IS NOT DISTINCT FROM p.lang AND b.pos = p.pos >> (3 * b.level)
+  UNION ALL
+  SELECT p.id, 1000 + b.level, b.l, b.r FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+    JOIN beside_top b ON b.pos = s.tree_pos >> (3 * b.level)),
+path AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY step) AS step, l, r FROM steps),
+fold AS (
+  SELECT id, 1 AS step, found AS digest FROM leaf
+  UNION ALL
+  SELECT f.id, f.step + 1, sha256(p.l || f.digest || p.r) FROM fold f JOIN path p ON p.id = f.id AND p.step = f.step),
+ended AS (SELECT id, max_by(digest, step) AS folded_root FROM fold GROUP BY id),
+proof AS (SELECT id, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY id)
+SELECT p.doc_id, p.digest AS leaf, s.subroot, t.digest AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, e.folded_root,
+  e.folded_root = t.digest AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN ended e USING (id) LEFT JOIN proof q USING (id) CROSS JOIN (SELECT digest FROM top WHERE n = 1) t""",
+    "op12_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(w) OVER up AS open_w, sum(3 * source_size) OVER up AS cap_up, sum(3 * source_size) OVER () AS caps
+  FROM s WINDOW up AS (ORDER BY source_size * 18 // w DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, 3 * source_size * open_w < (total - (caps - cap_up)) * w AS full_ FROM o),
+g AS (SELECT any_value(total) - coalesce(sum(3 * source_size) FILTER (full_), 0) AS rest, coalesce(sum(w) FILTER (NOT full_), 1) AS weights FROM f),
+t AS (
+  SELECT source, source_size, CASE WHEN full_ THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(rest * w AS DOUBLE) / CAST(weights AS DOUBLE) END AS target
+  FROM f, g),
+b AS (
+  SELECT *, coalesce(CAST(floor(target + 0.5) AS BIGINT) // nullif(source_size, 0), 0) AS copies,
+    CAST(floor(target + 0.5) AS BIGINT) - coalesce(CAST(floor(target + 0.5) AS BIGINT) // nullif(source_size, 0), 0) * source_size AS budget FROM t),
+c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, h) AS same, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM d)
+SELECT c.doc_id, CAST(c.size AS BIGINT) AS size, b.source_size, b.target,
+  CAST(b.copies * c.size + CASE WHEN upto <= budget THEN c.size WHEN upto - same >= budget THEN 0 ELSE (budget - (upto - same)) * c.size // same END AS BIGINT) AS taken
+FROM c JOIN b ON b.source IS NOT DISTINCT FROM c.source""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM pieces),
+grams AS (SELECT lang, list_slice(w, p, p + k - 1) AS words FROM runs, (SELECT unnest(range(1, 6)) AS k) WHERE p + k - 1 <= len(w)),
+f AS (SELECT lang, words, len(words) AS size, count(*) AS n FROM grams GROUP BY lang, words),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE size >= 2 AND n >= 100),
+cuts AS (
+  SELECT c.lang, c.words, c.size, c.n AS a, k, x.n AS l, y.n AS r, t.n, CAST(1000 AS HUGEINT) * c.n * t.n // (CAST(x.n AS HUGEINT) * y.n) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.words = list_slice(c.words, 1, k) JOIN f y ON y.lang = c.lang AND y.words = list_slice(c.words, k + 1, c.size)
+  JOIN total t ON t.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, list_slice(words, p, p + m - 1) AS words, max(n) AS longer FROM (
+    SELECT lang, words, n, size, m, unnest(range(1, size - m + 2)) AS p FROM (SELECT *, unnest(range(2, size)) AS m FROM c)) GROUP BY 1, 2),
+free AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.words = b.words WHERE i.longer IS NULL OR 100 * i.longer < 100 * b.a),
+ranked AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM free)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked
+QUALIFY rank <= 2000""",
 }
