@@ -5,11 +5,12 @@ Windows are counted, and a Spark ROLLUP over their columns sums the counts of
 all shorter prefixes: each occurrence of a phrase is the prefix of exactly one
 window, so the sums are the counts of all phrases.
 
-A window is padded, too, from a pair of neighbouring words on that occurs less
-than ``least`` times, since no phrase around that pair can be a candidate; its
-phrases still count in the windows led by their own words. Pairs are counted by
-a hash and the frequent ones marked in ``MARKS`` bits, whatever the corpus, so
-a collision can only leave a window longer than need be.
+A window is padded, too, from a pair or triple of neighbouring words on that
+occurs less than ``least`` times, since no phrase around it can be a candidate;
+its phrases still count in the windows led by their own words. Pairs, then
+triples of frequent pairs, are counted by a hash and the frequent ones marked
+in ``MARKS`` bits, whatever the corpus, so a collision can only leave a window
+longer than need be.
 
 Defined results: a null text has no words, a null language is ``und``. Rows
 count as often as they repeat. Other columns are ignored.
@@ -29,9 +30,8 @@ from riskloom.llm.common import MEMO_ENTRIES, kept, map_rows, small
 WORDS = 5
 LEAST = 100
 TOP = 2000
-#: Bits that mark frequent pairs (8 MiB): a multiple of the 32,768 of one of Spark's bitmaps.
+#: Bits that mark frequent pairs or triples (8 MiB): a multiple of the 32,768 of one of Spark's bitmaps.
 MARKS = 1 << 26
-PAIRS = 1 << 32
 #: Words that a text is cut into at a time.
 CHUNK = 400_000
 # What ends a piece, and upper case.
@@ -63,11 +63,14 @@ class Lexicon:
             self.words.append(word.decode())
         return np.fromiter(map(numbers.__getitem__, said), np.int64, len(said))
 
-    def pairs(self, at: np.ndarray, tongue: int) -> np.ndarray:
-        """Hash of each word with the next, below ``PAIRS``."""
+    def runs(self, at: np.ndarray, size: int, tongue: int) -> np.ndarray:
+        """32-bit hash of each run of ``size`` words."""
         with np.errstate(over="ignore"):
-            h = self.hashes[at]
-            mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(tongue)) * np.uint64(0xD6E8FEB86659FD93)
+            h, n = self.hashes[at], max(0, len(at) - size + 1)
+            mixed = np.full(n, tongue, np.uint64)
+            for k in range(size):
+                mixed = (mixed ^ h[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
         return (mixed >> np.uint64(32)).astype(np.int64)
 
 
@@ -86,9 +89,8 @@ def chunks(batch, overlap: int):
             said += text.replace(b".", b" . ").split()
             said.append(BREAK)
             while len(said) > CHUNK:
-                more = len(said) - CHUNK
-                yield lang, said[:CHUNK], min(overlap, more)
-                said = said[CHUNK - min(overlap, more):]
+                yield lang, said[:CHUNK], overlap
+                said = said[CHUNK - overlap:]
         if said:
             yield lang, said, 0
 
@@ -97,44 +99,59 @@ def _tongue(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang, 7)
 
 
-def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
-    """Marks of the pairs that occur ``least`` times or more; a few others share a mark."""
+def _frequent(lexicon: Lexicon, at: np.ndarray, lang: str, marks: list[np.ndarray]) -> np.ndarray:
+    """Whether the run of words that starts here is without end of piece and marked at each size; ``marks`` for 2 words, 3 words and so on."""
+    goes = at > 0
+    for size, marked in enumerate(marks, 2):
+        goes = goes[:-1] & goes[1:]
+        mark = lexicon.runs(at, size, _tongue(lang)) % MARKS
+        goes &= (marked[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
+    return goes
+
+
+def frequent(texts: DataFrame, least: int, marks: list) -> np.ndarray:
+    """Marks of the runs, one word longer than the last of ``marks``, that occur ``least`` times or more; a few others share a mark."""
+    size = len(marks) + 2
 
     def work(batches):
-        lexicon = Lexicon()
+        lexicon, known = Lexicon(), [m.value for m in marks]
         for batch in batches:
-            for lang, said, _ in chunks(batch, 1):
+            for lang, said, _ in chunks(batch, size - 1):
                 at = lexicon.read(said)
-                found = lexicon.pairs(at, _tongue(lang))[(at[:-1] > 0) & (at[1:] > 0)]
-                pairs, counts = np.unique(found, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.uint32).view(np.int32)), pa.array(counts.astype(np.int32))], ["pair", "n"])
-
-    counted = map_rows(texts, work, "pair int, n int").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    mark = F.pmod(F.col("pair").cast("long"), F.lit(MARKS))
-    bits = counted.groupBy(F.bitmap_bucket_number(mark + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark + 1)).alias("bits"))
-    marks = np.zeros(MARKS // 8, np.uint8)
+                goes = _frequent(lexicon, at, lang, known)
+                found = lexicon.runs(at, size, _tongue(lang))[goes[:-1] & goes[1:]]
+                runs, counts = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(runs.astype(np.uint32).view(np.int32)), pa.array(counts.astype(np.int32))], ["run", "n"])
+
+    counted = map_rows(texts, work, "run int, n int").groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    place = F.pmod(F.col("run").cast("long"), F.lit(MARKS)) + 1
+    bits = counted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    marked = np.zeros(MARKS // 8, np.uint8)
     for row in bits.collect():  # MARKS bits at most
-        at = (row["bucket"] - 1) * 4096
-        marks[at:at + 4096] = np.frombuffer(row["bits"], np.uint8)
-    return marks
+        first = (row["bucket"] - 1) * 4096
+        marked[first:first + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return marked
 
 
 def windows(texts: DataFrame, least: int) -> DataFrame:
-    """lang, w1 to w5 ('' where padded) and n: the counted longest windows, combined within batches only."""
-    marks = texts.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least))
+    """lang, w1 to w5 ('' where padded) and n: the longest windows, combined within chunks only."""
+    context = texts.sparkSession.sparkContext
+    marks: list = []
+    while len(marks) < 2:
+        marks.append(context.broadcast(frequent(texts, least, marks)))
 
     def work(batches):
-        lexicon = Lexicon()
+        lexicon, known = Lexicon(), [m.value for m in marks]
         for batch in batches:
             for lang, said, again in chunks(batch, WORDS - 1):
                 at = lexicon.read(said)
-                mark = lexicon.pairs(at, _tongue(lang)) % MARKS
-                on = (at[:-1] > 0) & (at[1:] > 0) & (marks.value[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
                 table = np.zeros((len(at), WORDS), np.int32)
                 table[:, 0] = at
-                goes = np.ones(len(at), bool)
-                for k in range(1, WORDS):
-                    goes = goes[:-1] & on[k - 1:]
+                pairs = _frequent(lexicon, at, lang, known[:1])
+                table[:len(pairs), 1] = np.where(pairs, at[1:], 0)
+                triples = goes = _frequent(lexicon, at, lang, known)
+                for k in range(2, WORDS):
+                    goes = triples if k == 2 else goes[:-1] & triples[k - 2:]
                     table[:len(goes), k] = np.where(goes, at[k:], 0)
                 table = table[:len(table) - again]
                 table = table[table[:, 0] > 0]
