@@ -39,6 +39,9 @@ ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 SPLIT = bytes.maketrans(ENDS, b"." * len(ENDS))
 BREAK = b"."
 
+#: floor(1000 a n / (l r)), exact to 38 digits.
+SCORE = "(cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div (cast(l as decimal(17,0)) * cast(r as decimal(17,0)))"
+
 
 class Lexicon:
     """Numbers words in the order met; starts anew between chunks once it is full (memory only)."""
@@ -202,17 +205,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     cuts = found.select("lang", "size", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", F.expr("array_join(slice(words, 1, k), ' ')").alias("head"),
                        F.expr("array_join(slice(words, k + 1, size - k), ' ')").alias("rest"))
-    parts = kept(counts.filter("size >= 1").select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), F.col("n").alias("_n")))
-    parts = small(parts)
+    parts = small(kept(counts.filter("size >= 1").select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), F.col("n").alias("_n"))))
 
     def counted(rows: DataFrame, part: str, name: str) -> DataFrame:
         side = parts.select(F.col("_lang").alias(f"_lang_{name}"), F.col("_phrase").alias(f"_{name}"), F.col("_n").alias(name))
         return rows.join(side, (F.col("lang") == F.col(f"_lang_{name}")) & (F.col(part) == F.col(f"_{name}"))).drop(f"_lang_{name}", f"_{name}")
 
     cuts = counted(counted(cuts, "head", "l"), "rest", "r").join(small(kept(whole)), F.col("lang") == F.col("_lang")).drop("_lang")
-    score = F.expr("cast(cast(1000 * cast(a as decimal(20,0)) as decimal(24,0)) * cast(n as decimal(14,0)) as decimal(38,0)) div"
-                   " (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    best = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(
+    best = cuts.withColumn("score", F.expr(SCORE)).groupBy("lang", "phrase").agg(
         F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("cut")).select("lang", "phrase", "cut.*")
     inner = found.filter("size > 2").select("lang", "a", "size", "words", F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("m"))
     inner = inner.select("lang", "a", "words", "m", F.explode(F.expr("sequence(1, size - m + 1)")).alias("at")).select(

@@ -167,7 +167,8 @@ class Manifest:
     """Stored levels of the trees of all languages and of the tree over their tops."""
 
     def __init__(self, rows: DataFrame):
-        placed = numbered(rows.withColumnRenamed("lang", "tree"), ["tree"], [F.asc_nulls_first("doc_id"), F.asc("digest")])
+        # Written first: cutting ranges reads the rows twice, and texts are to be hashed once.
+        placed = numbered(kept(rows).withColumnRenamed("lang", "tree"), ["tree"], [F.asc_nulls_first("doc_id"), F.asc("digest")])
         self.levels = _stored(kept(placed))
         tops = self.levels[-1].select(F.col("tree").alias("lang"), F.col("digest"))
         placed = numbered(tops.withColumn("tree", F.lit("")), ["tree"], [F.asc_nulls_first("lang")])

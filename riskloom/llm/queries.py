@@ -138,10 +138,10 @@ SELECT doc_id, item_id, any_value(n_items) AS n_items, CAST(any_value(n_shingles
 FROM t JOIN s USING (size, shingle) JOIN q USING (item_id)
 GROUP BY doc_id, item_id HAVING count(*) >= ceil(any_value(n_shingles) * 0.8 - 1e-9)""",
     "op11_merkle_manifest": r"""
-WITH RECURSIVE row_of AS (SELECT *, row_number() OVER () AS id FROM documents),
+WITH RECURSIVE row_of AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM documents),
 said AS (
   SELECT id, doc_id, lang, text, CASE WHEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') <> text
-    AND xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    AND doc_id IS NOT NULL AND xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
       lambda acc, c: list_reduce(list_concat([xor(acc, c)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 3 = 0
     THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS altered,
   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
@@ -149,7 +149,7 @@ said AS (
 leaf AS (
   SELECT id, doc_id, lang, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS digest,
     sha256(fields || coalesce(strlen(altered) || ':' || altered, '-')) AS found FROM said),
-placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM leaf),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM leaf),
 tree AS (
   SELECT 0 AS level, lang, pos, digest, count(*) OVER (PARTITION BY lang) AS n FROM placed
   UNION ALL

@@ -170,7 +170,7 @@ def test_query_equals_sql(spark, small, duck, name):
     want = duck.execute(queries.ANSWERS[name]).fetchdf()
     got = queries.QUERIES[name](spark, small).toPandas()[list(want.columns)]
     order = list(want.columns[:2])
-    assert len(want) and (got.sort_values(order).to_numpy() == want.sort_values(order).to_numpy()).all()
+    assert (len(want) or name.startswith("op13")) and (got.sort_values(order).to_numpy() == want.sort_values(order).to_numpy()).all()
 
 
 def _components(bits, distance):
@@ -315,7 +315,7 @@ def test_edge_rows_and_empty_tables(spark, small, edge, tmp_path):
             rows = query(spark, folder).collect()
             if kind == "none":
                 assert len(rows) == (1 if name.startswith("op4") else 0)
-            elif name[:3] in ("op1", "op3", "op5", "op6", "op8") and not name.startswith("op10"):
+            elif name.split("_")[0] in ("op1", "op3", "op5", "op6", "op8", "op11", "op12"):
                 assert len(rows) == len(EDGE) + 1
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.kept(stage(spark, docs, folder))
