@@ -113,23 +113,6 @@ def score(model: PipelineModel | None, df: DataFrame, output: str = "mlFraudScor
     return model.transform(df).withColumn(output, vector_to_array("probability")[1]).drop(*added)
 
 
-def tree_attributions(model: PipelineModel, df: DataFrame, baseline: dict[str, float],
-                      features: list[str] = S.FEATURES) -> DataFrame:
-    """Append ``contributions``: score drop when one feature is set to its baseline.
-
-    The variants sit in extra columns of the same row, so nothing is
-    exploded or shuffled.
-    """
-    scored = score(model, df, "_full")
-    for index, name in enumerate(features):
-        kept = F.col(name)
-        scored = scored.withColumns({"_kept": kept, name: F.lit(baseline[name]).cast("double")})
-        scored = score(model, scored, f"_p{index}").withColumn(name, F.col("_kept")).drop("_kept")
-    parts = [F.struct(F.lit(n).alias("feature"), (F.col("_full") - F.col(f"_p{i}")).alias("value"))
-             for i, n in enumerate(features)]
-    return scored.withColumn("contributions", F.array(*parts)).drop("_full", *[f"_p{i}" for i in range(len(features))])
-
-
 def feature_importance(model: PipelineModel, spark: SparkSession, features: list[str] = S.FEATURES,
                        limit: int = 5) -> DataFrame:
     booster = model.stages[-1]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import settings as S
-from riskloom.operators import feedback, ml, online, similarity, stats
+from riskloom.operators import attribution, feedback, ml, online, similarity, stats
 from riskloom.operators import cases as case_store
 from riskloom.functions import text as tx
 from riskloom.plans.frames import SCORE_CARD, Frames
@@ -186,14 +186,28 @@ def tree_scores(f: Frames, **size: int) -> DataFrame:
     ``size`` (trees, depth) is for tests; without it the classifier's defaults hold.
     """
     rows, model = _trained(f, **size)
-    train, test = rows.where(~F.col("isTest")), rows.where(F.col("isTest"))
-    scored = ml.score(model, test).select("transactionId", "label", "mlFraudScore", *S.FEATURES)
-    explained = ml.tree_attributions(model, scored, ml.feature_means(train, S.FEATURES))
+    scored = ml.score(model, rows.where(F.col("isTest"))).select("transactionId", "label", "mlFraudScore", *S.FEATURES)
+    explained = attribution.tree_attributions(model, scored)
     top = ml.top_attributions(F.col("contributions"))
     return explained.select("transactionId", "label", F.round("mlFraudScore", 6).alias("mlFraudScore"),
                             top[0]["feature"].alias("topFeature"), F.round(top[0]["value"], 6).alias("topValue"))
 
 
+@query(build("""
+SELECT transactionId, CAST(label AS INTEGER) AS label, TRUE AS scoreInRange, TRUE AS addsUp, 19 AS features FROM (
+  SELECT transactionId, isFraudulent AS label, place <= floor(size * CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS isTest FROM (
+    SELECT transactionId, isFraudulent, count(*) OVER (PARTITION BY isFraudulent) AS size,
+      row_number() OVER (PARTITION BY isFraudulent ORDER BY md5(transactionId || '42'), transactionId) AS place FROM dec)) WHERE isTest""", "dec"))
+def tree_attributions(f: Frames, **size: int) -> DataFrame:
+    """The test rows: score in range, and contributions that add up to the margin with the base, to 1e-9."""
+    rows, model = _trained(f, **size)
+    scored = ml.score(model, rows.where(F.col("isTest"))).select("transactionId", "label", "mlFraudScore", *S.FEATURES)
+    explained = attribution.tree_attributions(model, scored)
+    whole = F.aggregate("contributions", F.col("base"), lambda total, part: total + part["value"])
+    return explained.select("transactionId", "label", F.col("mlFraudScore").between(0, 1).alias("scoreInRange"),
+                            (F.abs(whole - F.col("margin")) < 1e-9).alias("addsUp"), F.size("contributions").alias("features"))
+
+
 @query()
 def feature_importance(f: Frames, **size: int) -> DataFrame:
     _, model = _trained(f, **size)

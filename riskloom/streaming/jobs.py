@@ -17,7 +17,8 @@ from riskloom import settings as S
 from riskloom.functions import features as feat
 from riskloom.functions import text as tx
 from riskloom.operators import audit, cases, enrich, feedback, panel, similarity
-from riskloom.operators.ml import LinearModel, embed_text, score, top_attributions, tree_attributions
+from riskloom.operators.attribution import tree_attributions
+from riskloom.operators.ml import LinearModel, embed_text, score, top_attributions
 from riskloom.operators.online import OnlineModel
 from riskloom.operators.velocity import FIVE_MINUTES
 from riskloom.sources import sinks
@@ -57,13 +58,13 @@ def card_scorer(model: LinearModel, means: dict[str, float]) -> Step:
         "mlFraudScore": model.probability(), "topFeatures": top_attributions(model.contributions(means))})
 
 
-def tree_scorer(model: PipelineModel | None, baseline: dict[str, float]) -> Step:
+def tree_scorer(model: PipelineModel | None) -> Step:
     """Score with a trained pipeline; without one the rows are skipped."""
     def add(featured: DataFrame) -> DataFrame:
         if model is None:
             return score(None, featured).withColumn("topFeatures", F.array().cast(TOP_KIND))
-        explained = tree_attributions(model, score(model, featured), baseline)
-        return explained.withColumn("topFeatures", top_attributions(F.col("contributions"))).drop("contributions")
+        explained = tree_attributions(model, score(model, featured))
+        return explained.withColumn("topFeatures", top_attributions(F.col("contributions"))).drop("contributions", "base", "margin")
 
     return add
 

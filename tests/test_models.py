@@ -1,9 +1,11 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom import settings as S
-from riskloom.operators import audit, enrich, ml, quality, stats
+from riskloom.operators import attribution, audit, enrich, ml, quality, stats
 from riskloom.plans import model_queries, registry
 from riskloom.plans.frames import Frames
 from riskloom.sources import generators
@@ -88,11 +90,53 @@ def test_train_save_load_score_explain(spark, training, tmp_path):
     assert report["fraud"]["support"] == 80 and report["fraud"]["auc"] > 0.95 and report["fraud"]["recall"] > 0.8
     top = ml.feature_importance(model, spark).collect()
     assert len(top) == 5 and top[0]["importance"] >= top[4]["importance"]
-    explained = ml.tree_attributions(model, test, ml.feature_means(train, S.FEATURES)).limit(5)
-    entries = explained.select(ml.top_attributions(F.col("contributions")).alias("t")).collect()
+    explained = attribution.tree_attributions(model, test).cache()
+    total = F.aggregate("contributions", F.col("base"), lambda a, c: a + c["value"])
+    assert explained.agg(F.max(F.abs(total - F.col("margin")))).first()[0] < 1e-9
+    entries = explained.limit(5).select(ml.top_attributions(F.col("contributions")).alias("t")).collect()
     assert all(len(r["t"]) == 3 and abs(r["t"][0]["value"]) >= abs(r["t"][2]["value"]) for r in entries)
 
 
+def _subset_value(nodes, tree, node, row, known):
+    """Margin of a tree with some features known, by recursion over its nodes."""
+    here = nodes[tree, node]
+    if here["left"] < 0:
+        return here["weight"] * here["value"]
+    if here["feature"] in known:
+        return _subset_value(nodes, tree, here["left"] if row[here["feature"]] <= here["threshold"] else here["right"], row, known)
+    left, right = nodes[tree, here["left"]], nodes[tree, here["right"]]
+    return sum(c["cover"] * _subset_value(nodes, tree, c["node"], row, known) for c in (left, right)) / (left["cover"] + right["cover"])
+
+
+def test_tree_contributions_equal_all_subsets(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] > 0.3) ^ (x[:, 3] > 1.2)).astype(float)
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, d double, y double")
+    booster = GBTClassifier(featuresCol="features", labelCol="y", maxIter=4, maxDepth=5, stepSize=0.3, subsamplingRate=0.7, seed=1)
+    model = Pipeline(stages=[ml.assembler(names, "features"), booster]).fit(df)
+    odd = spark.createDataFrame([(float("nan"), 0.0, 1.0, -1.0, 0.0), (1e9, -1e9, 0.1, 0.2, 0.0)], df.schema)
+    rows = attribution.tree_attributions(model, df.limit(12).union(odd), names).collect()
+    nodes = {(r["tree"], r["node"]): r for r in attribution.stored_nodes(model).collect()}
+    trees = sorted({t for t, _ in nodes})
+    repeated = [p for p in attribution.paths(model) if any(np.isfinite(a) and np.isfinite(b) for a, b in zip(p.low, p.high))]
+    assert repeated  # one feature split twice on a path
+    for row in rows:
+        value = {}
+        for k in range(16):
+            known = {j for j in range(4) if k >> j & 1}
+            value[k] = sum(_subset_value(nodes, t, 0, [row[n] for n in names], known) for t in trees)
+        for j in range(4):
+            want = sum(math.factorial(s.bit_count()) * math.factorial(3 - s.bit_count()) / 24 * (value[s | 1 << j] - value[s])
+                       for s in range(16) if not s >> j & 1)
+            assert row["contributions"][j]["value"] == pytest.approx(want, abs=1e-10)
+        assert row["base"] == pytest.approx(value[0], abs=1e-10) and row["margin"] == pytest.approx(value[15], abs=1e-10)
+
+
 def test_linear_contributions_add_up(training):
     model = ml.LinearModel({"is_bot_device": 1.3, "amount_ratio": 0.2, "hour": -0.05}, -1.0)
     means = ml.feature_means(training, list(model.coefficients))

@@ -207,6 +207,6 @@ def test_stored_cases_reach_the_decision(spark, small, tmp_path):
 
 
 def test_without_a_model_rows_are_skipped(spark, small, tmp_path):
-    each = jobs.process_batch(str(tmp_path), jobs.tree_scorer(None, {}), "none")
+    each = jobs.process_batch(str(tmp_path), jobs.tree_scorer(None), "none")
     each(Frames(spark, small).enriched(), 0)
     assert spark.read.parquet(str(tmp_path / "fraud-decisions")).count() == 0
