@@ -12,7 +12,8 @@ Template, one piece a message: ``<|im_start|>role`` + line end + text +
 are written as ``\\\\`` and ``\\n``, so no text can imitate a mark and reading
 back is exact. The loss mask covers the texts of assistant messages.
 
-Defined results: null roles and texts are empty; messages whose parent is
+Defined results: null roles and texts are empty; turns without a conversation id
+are one conversation, whose id stays null; messages whose parent is
 missing are roots; repeated ids keep the smallest row; messages that lead only
 into a cycle of parents have no root and give no path.
 """
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,18 +124,23 @@ def conversations_text(pieces: DataFrame) -> DataFrame:
 MESSAGE = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(STOP) + r"\n", re.S)
 
 
-def _read_back(frames):
+BACK = "tree long, leaf long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _read_back(batches):
     """Streams sorted pieces; holds one piece and the running digests."""
+    names = [part.split()[0] for part in BACK.split(", ")]
     at, state = None, None
 
     def closed():
         n, turns, chars, loss, size = state
-        return pd.DataFrame({"tree": [at[0]], "leaf": [at[1]], "n_turns": [n], "turns_sha256": [turns.hexdigest()],
-                             "loss_chars": [chars], "loss_sha256": [loss.hexdigest()], "formatted_chars": [size]})
+        return {**dict(zip(names, at)), "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars,
+                "loss_sha256": loss.hexdigest(), "formatted_chars": size}
 
-    for frame in frames:
+    for batch in batches:
         done = []
-        for tree, leaf, piece, start, end in zip(frame["tree"], frame["leaf"], frame["piece"], frame["s"], frame["e"]):
+        # Arrow, not pandas: a null id would turn the others of its batch into floating point.
+        for tree, leaf, piece, start, end in zip(*(batch.column(c).to_pylist() for c in ("tree", "leaf", "piece", "s", "e"))):
             if (tree, leaf) != at:
                 if at is not None:
                     done.append(closed())
@@ -143,14 +149,19 @@ def _read_back(frames):
                 state[1].update(f"{unescape_role(found[1])}\n{unescape(found[2])}\n".encode())
                 state[0] += 1
             if end >= 0:
-                text = unescape(piece[int(start):int(end)])
+                text = unescape(piece[start:end])
                 state[2] += len(text)
                 state[3].update(text.encode())
             state[4] += len(piece)
         if done:
-            yield pd.concat(done)
+            yield _rows(names, done)
     if at is not None:
-        yield closed()
+        yield _rows(names, [closed()])
+
+
+def _rows(names: list[str], rows: list[dict]) -> pa.RecordBatch:
+    kinds = [pa.string() if "sha256" in name else pa.int64() for name in names]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in zip(names, kinds)], names)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
@@ -159,5 +170,4 @@ def read_back(pieces: DataFrame) -> DataFrame:
     sorted_pieces = pieces.select("tree", "leaf", "depth", "piece", F.coalesce("loss_start", F.lit(-1)).alias("s"),
                                   F.coalesce("loss_end", F.lit(-1)).alias("e")).repartition("tree", "leaf").sortWithinPartitions(
         "tree", "leaf", "depth")
-    return sorted_pieces.mapInPandas(_read_back, "tree long, leaf long, n_turns long, turns_sha256 string, "
-                                     "loss_chars long, loss_sha256 string, formatted_chars long")
+    return sorted_pieces.mapInArrow(_read_back, BACK)

@@ -54,13 +54,49 @@ def map_rows(df: DataFrame, work: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+_scratch: list[list[str]] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again: lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/riskloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``make`` gives, written; the tables it wrote on the way are deleted."""
+    _scratch.append([])
+    try:
+        df = make()
+        path = f"{shared_folder(df.sparkSession)}/riskloom-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    finally:
+        made = _scratch.pop()
+    spark = df.sparkSession
+    for old in made:
+        location = spark._jvm.org.apache.hadoop.fs.Path(old)
+        location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+    if _scratch:
+        _scratch[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table, marked for broadcast only where its rows are few and not wide, both as measured."""
     if df.count() > BROADCAST_ROWS:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import WordTable, claim, held_out, map_rows, ship
+from riskloom.llm.common import WordTable, claim, held_out, kept, map_rows, ship, small
 
 #: Bounds of the training sample, per language.
 TRAIN_ROWS = 40
@@ -126,10 +126,16 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> tu
     """Languages and their sampled words; at most ``words`` per language reach the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "lang", "text")
+    hashed = kept(known.select(F.col("lang").alias("_lang"), F.xxhash64("text").alias("_hash")).distinct())
+    # Counts by range of the hash say up to which range a language's lowest hashes go, so that few are ranked.
+    spans = hashed.groupBy("_lang", F.shiftright("_hash", 52).alias("_span")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_lang").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    edges = spans.withColumn("_before", F.coalesce(upto, F.lit(0))).filter(F.col("_before") < rows).groupBy(
+        F.col("_lang").alias("_of")).agg(F.max("_span").alias("_edge"))
+    few = hashed.join(small(kept(edges)), F.col("_lang") == F.col("_of")).filter(F.shiftright("_hash", 52) <= F.col("_edge"))
     first = Window.partitionBy("_lang").orderBy("_hash")
-    hashed = known.select(F.col("lang").alias("_lang"), F.xxhash64("text").alias("_hash")).distinct()
-    lowest = hashed.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= rows)
-    texts = known.join(lowest, (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_hash")), "left_semi").distinct()
+    lowest = kept(few.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= rows).select("_lang", "_hash"))
+    texts = known.join(small(lowest), (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_hash")), "left_semi").distinct()
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     sample = texts.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= rows)
     counted = (sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import Memo, claim, kept, map_rows, one_row_per_id, ship, small
+from riskloom.llm.common import Memo, alone, claim, fresh, kept, map_rows, one_row_per_id, quoted, ship, small
 
 PASSAGE = 50
 STEP = 8
@@ -210,16 +210,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows of which nothing is left go; ``n_chars``, if there, follows the text.
     """
     ship(docs.sparkSession)
-    repeats = kept(repeated_passages(docs).filter(~F.col("kept")).groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_list(F.struct("start", "end")).alias("_spans")))
+    doc, own = fresh(docs, "_doc"), fresh(docs, "_spans")
+    repeats = alone(lambda: repeated_passages(docs).filter(~F.col("kept")).groupBy(F.col("doc_id").alias(doc)).agg(
+        F.collect_list(F.struct("start", "end")).alias(own)))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without(t, [(s["start"], s["end"]) for s in own]) if t else t for t, own in zip(texts, spans)], dtype=object)
 
-    same = F.col("doc_id") == F.col("_doc")
-    changed = docs.join(small(repeats), same).withColumn("text", cut("text", "_spans"))
+    same = F.col("doc_id") == F.col(doc)
+    changed = docs.join(small(repeats), same).withColumn("text", cut("text", own))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    changed = changed.filter(F.trim("text") != "").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.join(small(repeats.select("_doc")), same, "left_anti").unionByName(changed)
+    changed = changed.filter(F.trim("text") != "").select(*quoted(docs))
+    return docs.join(small(repeats.select(doc)), same, "left_anti").unionByName(changed)

@@ -237,6 +237,28 @@ def test_stage_finds_all_near_copies(spark, small, crowd):
     assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, small).collect()} == set(root)
 
 
+def test_stages_keep_odd_columns(spark, small):
+    """Extra columns with the names that stages use, dots and repeated ids."""
+    kinds = "doc_id long, text string, lang string, _going long, _again long, _doc string, _leak long, _spans int, `a.b` string, count int, row string"
+    text = "The river of the north was long and the people of it were many. " * 3
+    rows = [(k % 5, f"{text} {k} {'x y z ' * k}", "en", k, k, "d", k, 1, "dot", 2, "r") for k in range(8)] + [(2, None, None, *[None] * 8)]
+    docs = spark.createDataFrame(rows, kinds)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.kept(stage(spark, docs, small))
+        assert after.columns == docs.columns
+        docs = after
+    assert docs.count() > 0 and docs.filter("`a.b` = 'dot'").count() == docs.count()
+
+
+def test_null_and_large_conversation_ids(spark):
+    big = 9007199254740993
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 2, "user", "c"), (big, 0, "user", "d")],
+                                  "conv_id long, turn long, role string, text string")
+    messages = chat.reply_chain(turns)
+    got = {r.tree: r for r in chat.read_back(chat.formatted(messages, chat.paths(messages)).coalesce(1)).collect()}
+    assert set(got) == {None, big} and got[None].n_turns == 3 and got[None].loss_chars == 1
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "u long, v long")
     assert {r.node: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(1, 301), 0), 1001: 1000}
