@@ -20,8 +20,9 @@ BROADCAST_ROWS = 200_000
 BROADCAST_CHARS = 64_000_000
 #: Entries a worker's memo holds before it starts anew (memory only, never results).
 MEMO_ENTRIES = 350_000
-#: Rows of a batch sent to a Python worker at most; texts may be long.
+#: Rows, and bytes, of a batch sent to a Python worker at most; texts may be long.
 BATCH_ROWS = 2_000
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +33,7 @@ def ship(spark: SparkSession) -> None:
     """Send the package to the workers and bound the batches they are given."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     ship_package(spark)
 
 
