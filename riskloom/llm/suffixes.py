@@ -48,7 +48,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WORD = re.compile(r"[^ \t-\r]+")
 
-_word_hash = Memo(lambda word: xxhash.xxh64_intdigest(word))
+_word_hash = Memo(lambda word: xxhash.xxh64_intdigest(word), 100_000)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
