@@ -221,12 +221,16 @@ def online_scores(f: Frames) -> DataFrame:
     labelled = feedback.resolve_label(f.paired()).withColumns(
         {**inputs, "week": F.date_trunc("week", "feedbackAt").cast("date")}).select(
         "transactionId", "week", "label", *inputs)
-    weeks = [r["week"] for r in labelled.select("week").distinct().orderBy("week").collect()]
-    scored, _ = online.learn_in_steps(labelled, "week", weeks)
-    united = scored[0]
-    for part in scored[1:]:
-        united = united.unionByName(part)
-    return united.select("transactionId", "week", "label", F.round("onlineScore", 6).alias("onlineScore"))
+    labelled = cut_lineage(labelled)
+    weeks = [r["week"] for r in labelled.select("week").distinct().orderBy("week").collect()]  # one a step of learning
+    folder = f"{shared_folder(f.spark)}/riskloom-online-{uuid.uuid4().hex}"
+
+    def write(scored: DataFrame, number: int) -> None:
+        scored.select("transactionId", "week", "label", F.round("onlineScore", 6).alias("onlineScore")).write.parquet(f"{folder}/step={number}")
+
+    online.learn_in_steps(labelled, "week", weeks, write)
+    kind = "transactionId string, week date, label int, onlineScore double"
+    return f.spark.read.schema(f"{kind}, step int").parquet(folder).drop("step") if weeks else f.spark.createDataFrame([], kind)
 
 
 @query()

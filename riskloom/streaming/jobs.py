@@ -179,16 +179,14 @@ def learn_online(folder: str) -> Callable[[DataFrame, int], None]:
             after = model.learn(labelled)
         finally:
             labelled.unpersist()
-        rows = spark.createDataFrame([(m, w, after.updates) for m, w in enumerate(after.weights)],
-                                     "member int, weights array<double>, updates long")
-        sinks.write_batch(rows.coalesce(1), f"{folder}/model", batch_id)
+        model_row = spark.createDataFrame([(after.updates, after.replaced, after.dump())], "updates long, replaced int, model string")
+        sinks.write_batch(model_row.coalesce(1), f"{folder}/model", batch_id)
 
     return each
 
 
 def load_online(spark, folder: str, batch_id: int) -> OnlineModel:
-    """The model as of the batch before this one (ten rows)."""
+    """The model as of the batch before this one (one row)."""
     if batch_id == 0:
         return OnlineModel()
-    rows = spark.read.parquet(f"{folder}/model/batch_id={batch_id - 1}").orderBy("member").collect()
-    return OnlineModel([list(r["weights"]) for r in rows], rows[0]["updates"])
+    return OnlineModel.load(spark.read.parquet(f"{folder}/model/batch_id={batch_id - 1}").first()["model"])

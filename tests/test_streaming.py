@@ -162,7 +162,7 @@ def test_online_learning_improves_and_resumes(spark, small, tmp_path):
     assert loss[2] < loss[0]
     model = jobs.load_online(spark, folder, 3)
     assert model.updates == 3 * rows.count()
-    assert len(model.weights) == 10
+    assert len(model.trees) == len(model.windows) == 10 and model.load(model.dump()) == model
 
 
 def test_quarantine_keeps_reason_and_prefix(spark):
