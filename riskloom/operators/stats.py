@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskloom.operators.ordered import running_totals
 
@@ -172,20 +173,50 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def running_auc(df: DataFrame, score: str, label: str, step: str) -> DataFrame:
-    """AUC over everything seen up to each step (steps are few: days, batches).
-
-    Rows fold to counts per (step, score) first. Each folded row then counts
-    toward its own and every later step.
+    """AUC over everything seen up to each step, by counting what each step adds.
+
+    Rows fold to counts per (step, score). A positive row wins against the
+    negative ones of smaller score in its own and earlier steps, a negative row
+    loses to the positive ones of larger score in earlier steps. Those are
+    counted by divide and prefix: on every bit of the step's place, blocks of
+    steps fall into an earlier and a later half, and a running total over the
+    score counts the earlier half for the rows of the later one. Two steps part
+    on exactly one bit, so each folded row is looked at once a bit, whatever the
+    number of steps.
     """
     positive = F.col(label).cast("int")
     folded = df.groupBy(F.col(step).alias("step"), F.col(score).alias("score")).agg(
         F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-    steps = df.agg(F.sort_array(F.collect_set(step)).alias("steps"))
-    reached = folded.withColumn("_one", F.lit(1)).join(F.broadcast(steps.withColumn("_one", F.lit(1))), "_one").select(
-        F.explode(F.filter("steps", lambda s: s >= F.col("step"))).alias("step"), "score", "pos", "neg")
-    upto = reached.groupBy("step", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = running_totals(upto, ["step"], ["score"], {"neg_upto": F.col("neg")}, value_ranges(F.col("score")))
-    wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
-    return ranked.groupBy("step").agg(
-        F.sum(F.col("pos") + F.col("neg")).alias("updates"),
-        F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    steps = folded.groupBy(F.col("step").alias("_step")).agg(F.sum("pos").alias("step_pos"), F.sum("neg").alias("step_neg"))
+    whole = Window.orderBy("_step")  # one row a step
+    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+    placed = steps.withColumns({
+        "place": F.row_number().over(whole) - 1, "pos_upto": F.sum("step_pos").over(upto), "neg_upto": F.sum("step_neg").over(upto),
+        "bits": F.ceil(F.log2(F.count("*").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).cast("int")})
+    known = folded.join(placed.select("_step", "place", "bits"), F.col("step").eqNullSafe(F.col("_step")))
+    # Bit -1 is the step itself: its rows are both sides, and only positive ones are asked.
+    rows = known.select("step", "score", "pos", "neg", "place", F.explode(F.sequence(F.lit(-1), F.col("bits") - 1)).alias("bit"))
+    own, half = F.col("bit") < 0, F.expr("shiftright(place, greatest(bit, 0)) & 1")
+    rows = rows.withColumns({
+        "block": F.expr("shiftright(place, bit + 1)"), "later": own | (half == 1), "range": value_ranges(F.col("score")),
+        "left_neg": F.when(own | (half == 0), F.col("neg")).otherwise(0), "left_pos": F.when(~own & (half == 0), F.col("pos")).otherwise(0)})
+    keys, sides = ["bit", "block"], ["left_neg", "left_pos"]
+    ranges = rows.groupBy(*keys, "range").agg(*[F.sum(c).alias(c) for c in sides])
+    block = Window.partitionBy(*keys)
+    before = block.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(
+        *[F.col(k).alias(f"_{k}") for k in [*keys, "range"]], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sides],
+        F.sum("left_pos").over(block).alias("left_pos_all"))
+    met = rows.join(offsets, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "range"]])
+    inside = Window.partitionBy(*keys, "range").orderBy("score")
+    smaller, equal = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow), inside.rangeBetween(Window.currentRow, Window.currentRow)
+    met = met.withColumns({f"{c}_upto": F.sum(c).over(smaller) + F.col(f"{c}_before") for c in sides} | {f"{c}_same": F.sum(c).over(equal) for c in sides})
+    # Twice the wins, so that ties stay whole numbers.
+    gained = F.col("pos") * (2 * F.col("left_neg_upto") - F.col("left_neg_same"))
+    lost = F.when(own, 0).otherwise(F.col("neg") * (2 * (F.col("left_pos_all") - F.col("left_pos_upto")) + F.col("left_pos_same")))
+    wins = met.filter("later").groupBy("step").agg(F.sum(gained + lost).alias("wins"))
+    total = placed.join(wins, F.col("step").eqNullSafe(F.col("_step")))
+    return total.select(
+        "step", (F.col("pos_upto") + F.col("neg_upto")).alias("updates"),
+        F.try_divide(F.sum("wins").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)) / 2,
+                     (F.col("pos_upto") * F.col("neg_upto")).cast("double")).alias("auc"))

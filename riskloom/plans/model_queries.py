@@ -98,15 +98,28 @@ def binary_metrics(f: Frames) -> DataFrame:
     return report.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "auc")})
 
 
-@query(_with_labelled(build("""
+_RUNNING = """
 SELECT step, count(*) AS updates, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / CAST(2 AS DOUBLE)) / (sum(y) * (count(*) - sum(y))), 6) AS auc
 FROM (SELECT step, y, avg(pos) OVER (PARTITION BY step, s) AS r FROM (
   SELECT d.step, l.s, l.y, row_number() OVER (PARTITION BY d.step ORDER BY l.s) AS pos
-  FROM (SELECT DISTINCT step FROM lbl) d JOIN lbl l ON l.step <= d.step)) GROUP BY step""", "pair"), "SELECT step, count"))
+  FROM (SELECT DISTINCT step FROM lbl) d JOIN lbl l ON l.step <= d.step)) GROUP BY step"""
+
+
+def _running_auc(f: Frames, unit: str) -> DataFrame:
+    labelled = feedback.resolve_label(f.paired()).withColumn("step", F.date_trunc(unit, "feedbackAt").cast("timestamp_ntz"))
+    return stats.running_auc(labelled, "mlFraudScore", "label", "step").withColumn("auc", F.round("auc", 6))
+
+
+@query(_with_labelled(build(_RUNNING, "pair"), "SELECT step, count"))
 def running_auc(f: Frames) -> DataFrame:
     """AUC of everything seen up to each day."""
-    labelled = feedback.resolve_label(f.paired()).withColumn("step", F.date_trunc("day", "feedbackAt").cast("timestamp_ntz"))
-    return stats.running_auc(labelled, "mlFraudScore", "label", "step").withColumn("auc", F.round("auc", 6))
+    return _running_auc(f, "day")
+
+
+@query(_with_labelled(build(_RUNNING, "pair"), "SELECT step, count").replace("date_trunc('day', feedbackAt)", "date_trunc('hour', feedbackAt)"))
+def running_auc_hourly(f: Frames) -> DataFrame:
+    """AUC of everything seen up to each hour."""
+    return _running_auc(f, "hour")
 
 
 _LONG = " UNION ALL ".join(

@@ -137,6 +137,19 @@ def test_tree_contributions_equal_all_subsets(spark):
         assert row["base"] == pytest.approx(value[0], abs=1e-10) and row["margin"] == pytest.approx(value[15], abs=1e-10)
 
 
+@pytest.mark.parametrize("steps", [1, 2, 7, 33])
+def test_running_auc_equals_pairs(spark, steps):
+    rng = np.random.default_rng(steps)
+    rows = [(int(rng.integers(0, steps)), round(float(rng.random()), 1) * 3 - 1, int(rng.random() < 0.4)) for _ in range(150)]
+    got = {r.step: r for r in stats.running_auc(spark.createDataFrame(rows, "t int, s double, y int"), "s", "y", "t").collect()}
+    assert set(got) == {t for t, _, _ in rows}
+    for step, found in got.items():
+        pos, neg = ([s for t, s, y in rows if t <= step and y == k] for k in (1, 0))
+        assert found.updates == len(pos) + len(neg)
+        wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+        assert found.auc == (pytest.approx(wins / (len(pos) * len(neg))) if pos and neg else None)
+
+
 def test_linear_contributions_add_up(training):
     model = ml.LinearModel({"is_bot_device": 1.3, "amount_ratio": 0.2, "hour": -0.05}, -1.0)
     means = ml.feature_means(training, list(model.coefficients))
