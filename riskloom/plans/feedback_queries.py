@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text as tx
-from riskloom.operators import cases, feedback, monitor, similarity
+from riskloom.operators import cases, cells, feedback, monitor, similarity
 from riskloom.settings import Retrieval
 from riskloom.plans.context_queries import lines_sql
 from riskloom.plans.frames import Frames
@@ -125,6 +125,17 @@ def top_candidates(f: Frames) -> DataFrame:
     return found.select(F.col("queryKey").alias("queryId"), "caseId", F.round("score", 4).alias("similarity"), "candidateRank")
 
 
+@query(build('SELECT queryId, caseId, round(score, 4) AS similarity, CAST(candidateRank AS INTEGER) AS candidateRank FROM cand', "cand"))
+def certified_candidates(f: Frames) -> DataFrame:
+    """The same twenty through the cell index, complete by its bound."""
+    queries = f.vectors().select(F.col("id").alias("queryKey"), "vector")
+    stored = f.vectors().select(F.col("id").alias("caseId"), "vector")
+    fetch = Retrieval().fetch
+    found, _ = cells.certified_candidates(queries, stored, fetch + 1)
+    told = similarity.without_self(found, "queryKey", fetch)
+    return told.select(F.col("queryKey").alias("queryId"), "caseId", F.round("score", 4).alias("similarity"), "candidateRank")
+
+
 @query(build("SELECT * FROM hits40", "hits40"))
 def similar_cases(f: Frames) -> DataFrame:
     return f.hits(0.40)
