@@ -37,11 +37,12 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def map_rows(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+def map_rows(df: DataFrame, work: Callable, schema: str, lean: bool = False) -> DataFrame:
     """``mapInArrow`` with the package on the workers.
 
     The cycle collector rests meanwhile: the work makes no cycles, and each
-    collection would walk all that the memos hold.
+    collection would walk all that the memos hold. ``lean`` workers return
+    freed memory while they work, which costs some time.
     """
     ship(df.sparkSession)
 
@@ -53,9 +54,10 @@ def map_rows(df: DataFrame, work: Callable, schema: str) -> DataFrame:
 
     def run(batches):
         gc.disable()
-        pa.set_memory_pool(pa.system_memory_pool())  # returns what is freed, unlike the default one
+        if lean:
+            pa.set_memory_pool(pa.system_memory_pool())  # returns what is freed, unlike the default one
         try:
-            yield from work(calm(batches))
+            yield from work(calm(batches) if lean else batches)
         finally:
             gc.enable()
             give_back()

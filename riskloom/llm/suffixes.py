@@ -167,13 +167,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     firsts = groups.select(F.col("first_doc_id").alias("doc_id"), F.lit(0).alias("start"), F.col("n").alias("end"), "first_doc_id")
     alone = texts.join(small(copies.select(F.col("doc_id").alias("_copy"))), F.col("doc_id") == F.col("_copy"), "left_anti")
 
-    suffixes = kept(map_rows(alone, _suffixes, "doc long, at int, lead long"))
+    suffixes = kept(map_rows(alone, _suffixes, "doc long, at int, lead long", lean=True))
     shared = kept(suffixes.groupBy("lead").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select(
         F.col("lead").alias("_lead")))
     partnered = kept(suffixes.join(shared, F.col("lead") == F.col("_lead"), "left_semi").groupBy("doc").agg(
         F.collect_list("at").alias("at")))
     contexts = kept(map_rows(alone.join(small(partnered), F.col("doc_id") == F.col("doc")).select("doc", "text", "at"), _contexts,
-                             "context long, doc long, at int, before array<int>, after array<int>"))
+                             "context long, doc long, at int, before array<int>, after array<int>", lean=True))
     heads = contexts.groupBy("context").agg(F.min(F.struct("doc", "at", "before", "after")).alias("head"), F.max("doc").alias("last"))
     # Written first, so that the join below has exchanges of its own and Spark can split a common context.
     heads = kept(heads.filter(F.col("head.doc") < F.col("last")).select(F.col("context").alias("_context"), "head"))
