@@ -3,16 +3,19 @@
 Only suffixes at content-selected positions are retained: the minimisers of
 windows of ``WINDOW`` runs of ``GRAM`` words, so that texts which share a
 passage retain the same positions inside it. Retained suffixes are brought
-together by their leading words (a hash of ``LEAD`` of them) and those without
-a partner in another document are dropped. The others are compared on contexts
-that start ``0, STEP, 2 STEP ...`` words to their left and are ``core`` words
-long: every passage of ``PASSAGE`` words that two documents share holds such a
-context around a retained suffix, so none is lost, and nothing shared by fewer
-than ``PASSAGE - STEP + 1`` words is reported. Each match is then extended word
-by word, left and right, by up to ``STEP`` words, which reaches the ends of the
-passage; overlapping matches are merged.
-
-All equal contexts are compared with the smallest (doc_id, position), found by
+together by their leading words (a hash of ``LEAD`` of them stands in for the
+sorted order) and those without a partner in another document are dropped. The
+others are compared on contexts that start ``0, STEP, 2 STEP ...`` words to
+their left and are ``CORE`` words long: every run of ``PASSAGE`` words that two
+documents share holds such a context around a retained suffix.
+
+Each context is extended word by word, left and right, by up to ``REACH``
+words, and compared with its head, the occurrence of smallest (doc_id,
+position). Where it agrees with the head in ``PASSAGE`` words or more, the span
+repeats the head's. Runs of ``PASSAGE`` words around a context that disagree
+with its head are compared among themselves, each kind with its own head. So
+the words reported are exactly those of all runs of ``PASSAGE`` words that a
+document of smaller id holds too; nothing shorter is reported. Heads come from
 an aggregate that combines before the shuffle; no pairs within a group arise.
 Documents with equal texts enter once; the others of such a group repeat the
 first as a whole.
@@ -42,6 +45,8 @@ STEP = 8
 GRAM = 8
 WINDOW = 25
 CORE = PASSAGE - STEP + 1
+#: Words beside a context that a passage around it may hold.
+REACH = PASSAGE - CORE
 #: Leading words that all contexts of a retained suffix hold.
 LEAD = CORE - (WINDOW - 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -125,8 +130,8 @@ def _contexts(batches):
             contexts.append(hashed.runs(starts, CORE).view(np.int64))
             docs.append(np.full(len(starts), doc, np.int64))
             places.append(starts.astype(np.int32))
-            before.extend(words[max(0, s - STEP):s][::-1] for s in starts.tolist())
-            after.extend(words[s + CORE:s + CORE + STEP] for s in starts.tolist())
+            before.extend(words[max(0, s - REACH):s][::-1] for s in starts.tolist())
+            after.extend(words[s + CORE:s + CORE + REACH] for s in starts.tolist())
         if before:
             yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (contexts, docs, places)), _lists(before), _lists(after)],
                                              ["context", "doc", "at", "before", "after"])
@@ -149,6 +154,15 @@ def _merged(spans: DataFrame, *keys: str) -> DataFrame:
                                                F.min("first_doc_id").alias("first_doc_id")).drop("_run")
 
 
+def _heads(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """The smallest (doc, at) of each key that several documents have, keys named with a leading line.
+
+    Written, so that a join with it has exchanges of its own and Spark can split a common key.
+    """
+    heads = rows.groupBy(*keys).agg(F.min(F.struct("doc", "at", *more)).alias("head"), F.max("doc").alias("last"))
+    return kept(heads.filter(F.col("head.doc") < F.col("last")).select(*[F.col(k).alias(f"_{k}") for k in keys], "head"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (words, end excluded), first_doc_id and kept.
 
@@ -174,20 +188,36 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.collect_list("at").alias("at")))
     contexts = kept(map_rows(alone.join(small(partnered), F.col("doc_id") == F.col("doc")).select("doc", "text", "at"), _contexts,
                              "context long, doc long, at int, before array<int>, after array<int>", lean=True))
-    heads = contexts.groupBy("context").agg(F.min(F.struct("doc", "at", "before", "after")).alias("head"), F.max("doc").alias("last"))
-    # Written first, so that the join below has exchanges of its own and Spark can split a common context.
-    heads = kept(heads.filter(F.col("head.doc") < F.col("last")).select(F.col("context").alias("_context"), "head"))
-    matched = kept(contexts.join(heads, F.col("context") == F.col("_context")).filter(F.col("doc") > F.col("head.doc")).select(
-        "doc", "at", F.col("head.doc").alias("first"), F.col("head.at").alias("first_at"), "context",
+    heads = _heads(contexts, ["context"], "before", "after")
+    same = F.col("context") == F.col("_context")
+    # The head itself agrees with itself in everything and leaves no run open.
+    met = kept(contexts.join(heads, same).select(
+        "context", "doc", "at", "before", "after", F.col("head.doc").alias("first"), F.col("head.at").alias("first_at"),
         _agree(F.col("before"), F.col("head.before")).alias("left"), _agree(F.col("after"), F.col("head.after")).alias("right")))
+    matched = met.filter((F.col("doc") > F.col("first")) & (F.col("left") + F.col("right") >= REACH)).select(
+        "doc", "at", "first", "first_at", "left", "right")
+
+    def disagrees(left: Column) -> Column:
+        inside = (left <= F.size("before")) & (REACH - left <= F.size("after"))
+        return inside & ((left > F.col("left")) | (REACH - left > F.col("right")))
+
+    # A run of PASSAGE words: ``left`` words before the context, the rest after it.
+    runs = met.select("context", "doc", "at", "before", "after", F.explode(F.filter(
+        F.array(*[F.lit(k) for k in range(REACH + 1)]), disagrees)).alias("left")).select(
+        "context", "left", F.slice("before", 1, F.col("left")).alias("before"),
+        F.slice("after", 1, REACH - F.col("left")).alias("after"), "doc", "at")
+    runs = kept(runs.select("context", "left", F.xxhash64("before", "after").alias("beside"), "doc", "at"))
+    own = _heads(runs, ["context", "left", "beside"])
+    same = same & (F.col("left") == F.col("_left")) & (F.col("beside") == F.col("_beside"))
+    matched = kept(matched.union(runs.join(own, same).filter(F.col("doc") > F.col("head.doc")).select(
+        "doc", "at", F.col("head.doc"), F.col("head.at"), "left", REACH - F.col("left"))))
 
     def span(doc: str, at: str) -> list[Column]:
         return [F.col(doc).alias("doc_id"), (F.col(at) - F.col("left")).alias("start"),
                 (F.col(at) + CORE + F.col("right")).alias("end"), F.col("first").alias("first_doc_id")]
 
     repeats = matched.select(*span("doc", "at")).union(copies)
-    origins = matched.groupBy("context", "first", "first_at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    origins = origins.select(*span("first", "first_at")).union(firsts)
+    origins = matched.select("first", "first_at", "left", "right").distinct().select(*span("first", "first_at")).union(firsts)
     return _merged(repeats.withColumn("kept", F.lit(False)).union(origins.withColumn("kept", F.lit(True))), "doc_id", "kept").select(
         "doc_id", F.col("start").cast("int"), F.col("end").cast("int"), "first_doc_id", "kept")
 

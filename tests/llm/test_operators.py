@@ -87,9 +87,40 @@ def test_every_repeated_passage_is_found(spark, small, documents):
     covered = {}
     for r in got:
         covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
-        assert r.end - r.start > suffixes.PASSAGE - suffixes.STEP and r.first_doc_id < r.doc_id
+        assert r.end - r.start >= suffixes.PASSAGE and r.first_doc_id < r.doc_id
     for doc, words in _windows(documents).items():
-        assert words <= covered.get(doc, set())
+        assert words == covered.get(doc, set())
+
+
+def test_passages_of_unequal_overlap(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: [word() for _ in range(n)]
+    docs = {}
+    for k in range(60):
+        whole = fill(rng.choice([43, 45, 49, 50, 51, 57, 70]))
+        left = rng.randint(0, len(whole) - 43)
+        middle = whole[left:left + 43]
+        # The smallest document shares the middle only, the next ones share the whole, with other words around it.
+        for part in (middle, whole, whole, whole[:50] + fill(9) + whole):
+            docs[len(docs)] = fill(rng.randint(0, 70)) + part + fill(rng.randint(0, 70))
+    texts = {k: " ".join(w) for k, w in docs.items()}
+    got = {}
+    for r in suffixes.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert r.end - r.start >= suffixes.PASSAGE
+        got.setdefault((r.doc_id, r.kept), set()).update(range(r.start, r.end))
+    want = {k: w for k, w in _windows(texts).items() if w}
+    assert {k: w for (k, kept), w in got.items() if not kept} == want and len(want) > 50
+    first, several = {}, set()
+    for k, w in docs.items():
+        for at in range(len(w) - 49):
+            if first.setdefault(tuple(w[at:at + 50]), (k, at))[0] < k:
+                several.add(tuple(w[at:at + 50]))
+    kept = {}
+    for run in several:
+        k, at = first[run]
+        kept.setdefault(k, set()).update(range(at, at + 50))
+    assert {k: w for (k, is_kept), w in got.items() if is_kept} == kept
 
 
 def test_passages_planted_in_other_text(spark):
