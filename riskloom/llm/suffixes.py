@@ -5,17 +5,17 @@ windows of ``WINDOW`` runs of ``GRAM`` words, so that texts which share a
 passage retain the same positions inside it. Retained suffixes are brought
 together by their leading words (a hash of ``LEAD`` of them stands in for the
 sorted order) and those without a partner in another document are dropped. The
-others are compared on contexts that start ``0, STEP, 2 STEP ...`` words to
-their left and are ``CORE`` words long: every run of ``PASSAGE`` words that two
-documents share holds such a context around a retained suffix.
-
-Each context is extended word by word, left and right, by up to ``REACH``
-words, and compared with its head, the occurrence of smallest (doc_id,
-position). Where it agrees with the head in ``PASSAGE`` words or more, the span
-repeats the head's. Runs of ``PASSAGE`` words around a context that disagree
-with its head are compared among themselves, each kind with its own head. So
-the words reported are exactly those of all runs of ``PASSAGE`` words that a
-document of smaller id holds too; nothing shorter is reported. Heads come from
+others are compared on contexts of ``CORE`` words around them.
+
+Every run of ``PASSAGE`` words belongs to the minimiser of its first window and
+to the context that starts ``0, STEP, 2 STEP ...`` words to the left of that
+minimiser and leaves fewer than ``STEP`` words of the run before it; equal runs
+belong to equal contexts in all documents. Each context is extended word by
+word, left and right, by up to ``REACH`` words, and compared with its head, the
+occurrence of smallest (doc_id, position). Runs that agree with the head repeat
+it; those that do not are compared among themselves, each kind with its own
+head. So the words reported are exactly those of all runs of ``PASSAGE`` words
+that a document of smaller id holds too, and nothing shorter. Heads come from
 an aggregate that combines before the shuffle; no pairs within a group arise.
 Documents with equal texts enter once; the others of such a group repeat the
 first as a whole.
@@ -85,15 +85,17 @@ class Hashed:
     def runs(self, starts: np.ndarray, size: int) -> np.ndarray:
         return _mixed((self.sums[starts + size] - self.sums[starts]) * self.back[starts])
 
-    def retained(self) -> np.ndarray:
-        """Positions of the minimisers that have ``LEAD`` words from there on."""
+    def minimisers(self) -> np.ndarray:
+        """The position of each window's minimiser."""
         grams = self.n - GRAM + 1
         if grams < WINDOW:
             return np.zeros(0, np.int64)
         views = np.lib.stride_tricks.sliding_window_view(self.runs(np.arange(grams), GRAM), WINDOW)
-        at = [np.unique(views[k:k + 65536].argmin(axis=1) + np.arange(k, min(k + 65536, len(views))))
-              for k in range(0, len(views), 65536)]
-        found = np.unique(np.concatenate(at))
+        return np.concatenate([views[k:k + 65536].argmin(axis=1) + np.arange(k, min(k + 65536, len(views))) for k in range(0, len(views), 65536)])
+
+    def retained(self) -> np.ndarray:
+        """Positions of the minimisers that have ``LEAD`` words from there on."""
+        found = np.unique(self.minimisers())
         return found[found + LEAD <= self.n]
 
 
@@ -120,21 +122,26 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _contexts(batches):
     claim(_word_hash)
     for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
-        contexts, docs, places, before, after = [], [], [], [], []
+        contexts, docs, places, masks, before, after = [], [], [], [], [], []
         for doc, text, positions in zip(*(batch.column(k).to_pylist() for k in range(3))):
             hashed = Hashed(text)
             words = hashed.words.astype(np.uint32).view(np.int32)
-            at = np.array(positions, np.int64)
-            starts = np.unique(np.concatenate([at - left for left in range(0, WINDOW, STEP)]))
-            starts = starts[(starts >= 0) & (starts + CORE <= hashed.n)]
+            owner = hashed.minimisers()[:max(0, hashed.n - PASSAGE + 1)]
+            runs = np.nonzero(np.isin(owner, np.array(positions, np.int64)))[0]
+            left = (owner[runs] - runs) % STEP
+            mask = np.zeros(hashed.n + 1, np.int32)
+            np.add.at(mask, runs + left, np.int32(1) << left.astype(np.int32))
+            starts = np.nonzero(mask)[0]
             contexts.append(hashed.runs(starts, CORE).view(np.int64))
             docs.append(np.full(len(starts), doc, np.int64))
             places.append(starts.astype(np.int32))
+            masks.append(mask[starts])
             before.extend(words[max(0, s - REACH):s][::-1] for s in starts.tolist())
             after.extend(words[s + CORE:s + CORE + REACH] for s in starts.tolist())
         if before:
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in (contexts, docs, places)), _lists(before), _lists(after)],
-                                             ["context", "doc", "at", "before", "after"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.concatenate(c)) for c in (contexts, docs, places, masks)), _lists(before), _lists(after)],
+                ["context", "doc", "at", "runs", "before", "after"])
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -187,37 +194,37 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     partnered = kept(suffixes.join(shared, F.col("lead") == F.col("_lead"), "left_semi").groupBy("doc").agg(
         F.collect_list("at").alias("at")))
     contexts = kept(map_rows(alone.join(small(partnered), F.col("doc_id") == F.col("doc")).select("doc", "text", "at"), _contexts,
-                             "context long, doc long, at int, before array<int>, after array<int>", lean=True))
+                             "context long, doc long, at int, runs int, before array<int>, after array<int>", lean=True))
+    # ``runs`` has a bit for each run of the context: how many of its words lie before the context.
     heads = _heads(contexts, ["context"], "before", "after")
     same = F.col("context") == F.col("_context")
-    # The head itself agrees with itself in everything and leaves no run open.
-    met = kept(contexts.join(heads, same).select(
-        "context", "doc", "at", "before", "after", F.col("head.doc").alias("first"), F.col("head.at").alias("first_at"),
-        _agree(F.col("before"), F.col("head.before")).alias("left"), _agree(F.col("after"), F.col("head.after")).alias("right")))
-    matched = met.filter((F.col("doc") > F.col("first")) & (F.col("left") + F.col("right") >= REACH)).select(
-        "doc", "at", "first", "first_at", "left", "right")
-
-    def disagrees(left: Column) -> Column:
-        inside = (left <= F.size("before")) & (REACH - left <= F.size("after"))
-        return inside & ((left > F.col("left")) | (REACH - left > F.col("right")))
-
-    # A run of PASSAGE words: ``left`` words before the context, the rest after it.
-    runs = met.select("context", "doc", "at", "before", "after", F.explode(F.filter(
-        F.array(*[F.lit(k) for k in range(REACH + 1)]), disagrees)).alias("left")).select(
-        "context", "left", F.slice("before", 1, F.col("left")).alias("before"),
-        F.slice("after", 1, REACH - F.col("left")).alias("after"), "doc", "at")
-    runs = kept(runs.select("context", "left", F.xxhash64("before", "after").alias("beside"), "doc", "at"))
-    own = _heads(runs, ["context", "left", "beside"])
+    lefts = F.filter(F.array(*[F.lit(k) for k in range(STEP)]), lambda k: F.bit_get("runs", k) == 1)
+    met = contexts.join(heads, same).select(
+        "context", "doc", "at", "before", "after", lefts.alias("lefts"), F.col("head.doc").alias("first"), F.col("head.at").alias("first_at"),
+        _agree(F.col("before"), F.col("head.before")).alias("left"), _agree(F.col("after"), F.col("head.after")).alias("right"))
+    agrees = lambda k: (k <= F.col("left")) & (REACH - k <= F.col("right"))
+    met = kept(met.withColumns({"as_head": F.filter("lefts", agrees), "other": F.filter("lefts", lambda k: ~agrees(k))}))
+    follow = met.filter((F.col("doc") > F.col("first")) & (F.size("as_head") > 0))
+    begin, end = F.col("at") - F.col("left"), F.col("at") + F.lit(PASSAGE) - F.col("left")
+    wide = follow.select(F.col("doc").alias("doc_id"), (F.col("at") - F.array_max("as_head")).alias("start"),
+                         (F.col("at") + PASSAGE - F.array_min("as_head")).alias("end"), F.col("first").alias("first_doc_id"))
+    origins = follow.select("context", F.col("first").alias("doc"), F.col("first_at").alias("at"), "as_head").distinct().select(
+        "doc", "at", F.explode("as_head").alias("left")).distinct().select(
+        F.col("doc").alias("doc_id"), begin.alias("start"), end.alias("end"), F.col("doc").alias("first_doc_id"))
+
+    odd = met.select("context", "doc", "at", "before", "after", F.explode("other").alias("left"))
+    beside = F.xxhash64(F.slice("before", 1, F.col("left")), F.slice("after", 1, REACH - F.col("left")))
+    odd = kept(odd.select("context", "left", beside.alias("beside"), "doc", "at"))
+    own = _heads(odd, ["context", "left", "beside"])
     same = same & (F.col("left") == F.col("_left")) & (F.col("beside") == F.col("_beside"))
-    matched = kept(matched.union(runs.join(own, same).filter(F.col("doc") > F.col("head.doc")).select(
-        "doc", "at", F.col("head.doc"), F.col("head.at"), "left", REACH - F.col("left"))))
-
-    def span(doc: str, at: str) -> list[Column]:
-        return [F.col(doc).alias("doc_id"), (F.col(at) - F.col("left")).alias("start"),
-                (F.col(at) + CORE + F.col("right")).alias("end"), F.col("first").alias("first_doc_id")]
-
-    repeats = matched.select(*span("doc", "at")).union(copies)
-    origins = matched.select("first", "first_at", "left", "right").distinct().select(*span("first", "first_at")).union(firsts)
+    single = odd.join(own, same).filter(F.col("doc") > F.col("head.doc")).select(
+        F.col("doc").alias("doc_id"), begin.alias("start"), end.alias("end"), F.col("head.doc").alias("first_doc_id"))
+    left = F.col("_left")
+    odd_origins = own.select(F.col("head.doc").alias("doc_id"), (F.col("head.at") - left).alias("start"),
+                             (F.col("head.at") + PASSAGE - left).alias("end"), F.col("head.doc").alias("first_doc_id"))
+
+    repeats = wide.union(single).union(copies)
+    origins = origins.union(odd_origins).union(firsts)
     return _merged(repeats.withColumn("kept", F.lit(False)).union(origins.withColumn("kept", F.lit(True))), "doc_id", "kept").select(
         "doc_id", F.col("start").cast("int"), F.col("end").cast("int"), "first_doc_id", "kept")
 

@@ -315,6 +315,38 @@ def test_neighbours_recall_and_ties(spark):
     assert hits >= 0.9 * 5 * 120 and 9001 not in got
 
 
+def _exact(rows, k=5):
+    """(query id, rank, id) of the nearest by brute force; ``rows`` are (id, vector) and ids may repeat."""
+    out = []
+    for q, v in rows:
+        if q % 50 == 0:
+            v = np.array(v)
+            score = [(-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12), i) for i, w in rows if i != q]
+            out += [(q, at + 1, i) for at, (_, i) in enumerate(sorted(score)[:k])]
+    return out
+
+
+def test_neighbours_with_few_candidates_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    few = [(0, rng.normal(size=16).tolist()), (7, [1.0] * 16), (7, [1.0] * 16), (7, [2.0] * 16), (8, [-1.0] * 16)]
+    opposite = [(k, (rng.normal(size=16) * 0.01 + (1 if k else -1)).tolist()) for k in range(40)]  # far from what is asked
+    for rows in (few, few[:1], opposite, []):
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        for probes in (1, neighbours.PROBES):
+            got = neighbours.nearest(vectors, F.col("id") % 50 == 0, tables=1, probes=probes).collect()
+            want = _exact(rows)
+            assert len(got) == len(want)
+            if probes > 1 or len(rows) < 6 or rows is opposite:
+                assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)
+
+
+def test_neighbours_recall_on_small_tables(spark, small, duck):
+    rows = [(i, [float(x) for x in v]) for i, v in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()]
+    got = {(r.query_id, r.vec_id) for r in queries.op7_nearest(spark, small).collect()}
+    want = {(q, i) for q, _, i in _exact(rows)}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_packing(spark, small, documents, library):
     rows = queries.op9_best_fit_packing(spark, small).collect()
     sequences, docs = {}, {}
