@@ -11,10 +11,11 @@ Every run of ``PASSAGE`` words belongs to the minimiser of its first window and
 to the context that starts ``0, STEP, 2 STEP ...`` words to the left of that
 minimiser and leaves fewer than ``STEP`` words of the run before it; equal runs
 belong to equal contexts in all documents. Each context is extended word by
-word, left and right, by up to ``REACH`` words, and compared with its head, the
-occurrence of smallest (doc_id, position). Runs that agree with the head repeat
-it; those that do not are compared among themselves, each kind with its own
-head. So the words reported are exactly those of all runs of ``PASSAGE`` words
+word, left and right, by up to ``REACH`` words; occurrences that agree in all of
+it are one kind and repeat the kind's first. Kinds of a context are compared
+with its head, the one of smallest (doc_id, position): runs that agree with the
+head repeat it, and those that do not are compared among themselves, each with
+a head of its own. So the words reported are exactly those of all runs of ``PASSAGE`` words
 that a document of smaller id holds too, and nothing shorter. Heads come from
 an aggregate that combines before the shuffle; no pairs within a group arise.
 Documents with equal texts enter once; the others of such a group repeat the
@@ -162,11 +163,11 @@ def _merged(spans: DataFrame, *keys: str) -> DataFrame:
 
 
 def _heads(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
-    """The smallest (doc, at) of each key that several documents have, keys named with a leading line.
+    """The smallest (doc, at) of each key that several documents have (the largest is ``last``), keys named with a leading line.
 
     Written, so that a join with it has exchanges of its own and Spark can split a common key.
     """
-    heads = rows.groupBy(*keys).agg(F.min(F.struct("doc", "at", *more)).alias("head"), F.max("doc").alias("last"))
+    heads = rows.groupBy(*keys).agg(F.min(F.struct("doc", "at", *more)).alias("head"), F.max("last").alias("last"))
     return kept(heads.filter(F.col("head.doc") < F.col("last")).select(*[F.col(k).alias(f"_{k}") for k in keys], "head"))
 
 
@@ -194,36 +195,52 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     partnered = kept(suffixes.join(shared, F.col("lead") == F.col("_lead"), "left_semi").groupBy("doc").agg(
         F.collect_list("at").alias("at")))
     contexts = kept(map_rows(alone.join(small(partnered), F.col("doc_id") == F.col("doc")).select("doc", "text", "at"), _contexts,
-                             "context long, doc long, at int, runs int, before array<int>, after array<int>", lean=True))
+                             "context long, doc long, at int, runs int, before array<int>, after array<int>", lean=True).withColumn(
+        "kind", F.xxhash64(F.size("before"), "before", "after")))
     # ``runs`` has a bit for each run of the context: how many of its words lie before the context.
-    heads = _heads(contexts, ["context"], "before", "after")
+    kinds = kept(contexts.groupBy("context", "kind").agg(
+        F.min(F.struct("doc", "at")).alias("own"), F.max("doc").alias("last"),
+        *[F.first(c).alias(c) for c in ("runs", "before", "after")]).select(
+        "context", "kind", "own.doc", "own.at", "last", "runs", "before", "after"))
     same = F.col("context") == F.col("_context")
     lefts = F.filter(F.array(*[F.lit(k) for k in range(STEP)]), lambda k: F.bit_get("runs", k) == 1)
-    met = contexts.join(heads, same).select(
-        "context", "doc", "at", "before", "after", lefts.alias("lefts"), F.col("head.doc").alias("first"), F.col("head.at").alias("first_at"),
+    met = kinds.join(_heads(kinds, ["context"], "before", "after"), same).select(
+        "context", "kind", "doc", "at", "last", "before", "after", lefts.alias("lefts"),
+        F.col("head.doc").alias("first"), F.col("head.at").alias("first_at"),
         _agree(F.col("before"), F.col("head.before")).alias("left"), _agree(F.col("after"), F.col("head.after")).alias("right"))
     agrees = lambda k: (k <= F.col("left")) & (REACH - k <= F.col("right"))
     met = kept(met.withColumns({"as_head": F.filter("lefts", agrees), "other": F.filter("lefts", lambda k: ~agrees(k))}))
-    follow = met.filter((F.col("doc") > F.col("first")) & (F.size("as_head") > 0))
-    begin, end = F.col("at") - F.col("left"), F.col("at") + F.lit(PASSAGE) - F.col("left")
-    wide = follow.select(F.col("doc").alias("doc_id"), (F.col("at") - F.array_max("as_head")).alias("start"),
-                         (F.col("at") + PASSAGE - F.array_min("as_head")).alias("end"), F.col("first").alias("first_doc_id"))
-    origins = follow.select("context", F.col("first").alias("doc"), F.col("first_at").alias("at"), "as_head").distinct().select(
-        "doc", "at", F.explode("as_head").alias("left")).distinct().select(
-        F.col("doc").alias("doc_id"), begin.alias("start"), end.alias("end"), F.col("doc").alias("first_doc_id"))
-
-    odd = met.select("context", "doc", "at", "before", "after", F.explode("other").alias("left"))
+
     beside = F.xxhash64(F.slice("before", 1, F.col("left")), F.slice("after", 1, REACH - F.col("left")))
-    odd = kept(odd.select("context", "left", beside.alias("beside"), "doc", "at"))
+    odd = met.select("context", "kind", "doc", "at", "last", "before", "after", F.explode("other").alias("left"))
+    odd = kept(odd.select("context", "left", beside.alias("beside"), "kind", "doc", "at", "last"))
     own = _heads(odd, ["context", "left", "beside"])
     same = same & (F.col("left") == F.col("_left")) & (F.col("beside") == F.col("_beside"))
-    single = odd.join(own, same).filter(F.col("doc") > F.col("head.doc")).select(
-        F.col("doc").alias("doc_id"), begin.alias("start"), end.alias("end"), F.col("head.doc").alias("first_doc_id"))
-    left = F.col("_left")
-    odd_origins = own.select(F.col("head.doc").alias("doc_id"), (F.col("head.at") - left).alias("start"),
-                             (F.col("head.at") + PASSAGE - left).alias("end"), F.col("head.doc").alias("first_doc_id"))
-
-    repeats = wide.union(single).union(copies)
+    more = kept(odd.join(own, same).filter(F.col("doc") > F.col("head.doc")).groupBy("context", "kind").agg(
+        F.collect_set("left").alias("_more"), F.min("head.doc").alias("_first")).withColumnsRenamed({"context": "_context", "kind": "_kind"}))
+
+    # All runs of a kind repeat its first occurrence; those in ``early`` repeat an earlier kind's, in the first one too.
+    none = F.array().cast("array<int>")
+    after_head = (F.col("doc") > F.col("first")) & (F.size("as_head") > 0)
+    early = F.concat(F.when(after_head, F.col("as_head")).otherwise(none), F.coalesce("_more", none))
+    told = met.join(more, (F.col("context") == F.col("_context")) & (F.col("kind") == F.col("_kind")), "left").select(
+        F.col("context").alias("_context"), F.col("kind").alias("_kind"), F.col("doc").alias("own"), "lefts", early.alias("early"),
+        F.least("doc", F.when(after_head, F.col("first")), "_first").alias("first"), "last")
+    told = kept(told.filter((F.col("last") > F.col("own")) | (F.size("early") > 0)).drop("last"))
+    repeated = F.when(F.col("doc") > F.col("own"), F.col("lefts")).otherwise(F.col("early"))
+    # Runs of a context overlap, so the outermost ones bound the words of all.
+    wide = contexts.select("context", "kind", "doc", "at").join(
+        told, (F.col("context") == F.col("_context")) & (F.col("kind") == F.col("_kind"))).withColumn("lefts", repeated).filter(
+        F.size("lefts") > 0).select(F.col("doc").alias("doc_id"), (F.col("at") - F.array_max("lefts")).alias("start"),
+                                    (F.col("at") + PASSAGE - F.array_min("lefts")).alias("end"), F.col("first").alias("first_doc_id"))
+    origins = met.filter((F.col("last") > F.col("first")) & (F.size("as_head") > 0)).groupBy("context", "first", "first_at").agg(
+        F.max(F.array_max("as_head")).alias("most"), F.min(F.array_min("as_head")).alias("least")).select(
+        F.col("first").alias("doc_id"), (F.col("first_at") - F.col("most")).alias("start"),
+        (F.col("first_at") + PASSAGE - F.col("least")).alias("end"), F.col("first").alias("first_doc_id"))
+    odd_origins = own.select(F.col("head.doc").alias("doc_id"), (F.col("head.at") - F.col("_left")).alias("start"),
+                             (F.col("head.at") + PASSAGE - F.col("_left")).alias("end"), F.col("head.doc").alias("first_doc_id"))
+
+    repeats = wide.union(copies)
     origins = origins.union(odd_origins).union(firsts)
     return _merged(repeats.withColumn("kept", F.lit(False)).union(origins.withColumn("kept", F.lit(True))), "doc_id", "kept").select(
         "doc_id", F.col("start").cast("int"), F.col("end").cast("int"), "first_doc_id", "kept")
