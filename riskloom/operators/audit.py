@@ -26,17 +26,13 @@ def transaction_rows(featured: DataFrame) -> DataFrame:
     )
 
 
-def _attributions(column: str = "topFeatures") -> Column:
-    return F.col(column)
-
-
 def prediction_rows(scored: DataFrame, row_id: Column | None = None, model: str = "xgboost") -> DataFrame:
     """Expects mlFraudScore, topFeatures, latencyMs, modelVersion and timestamp."""
     return scored.select(
         (F.xxhash64("transactionId") if row_id is None else row_id).alias("id"),
         F.col("transactionId").alias("transaction_id"), F.lit(model).alias("model_type"),
         F.col("mlFraudScore").cast("decimal(5,4)").alias("prediction_score"),
-        _attributions().alias("top_features"),
+        F.col("topFeatures").alias("top_features"),
         F.col("latencyMs").cast("int").alias("prediction_time_ms"), F.col("timestamp").alias("predicted_at"),
         F.col("modelVersion").alias("model_version"), F.lit(None).cast("boolean").alias("actual_label"),
         F.lit(None).cast("boolean").alias("prediction_correct"),
@@ -52,7 +48,7 @@ def decision_rows(decided: DataFrame, row_id: Column | None = None, legacy: bool
         (F.xxhash64("transactionId") if row_id is None else row_id).alias("id"),
         F.col("transactionId").alias("transaction_id"),
         F.col("mlFraudScore").cast("decimal(5,4)").alias("ml_score"),
-        F.lit("xgboost").alias("ml_model_type"), _attributions().alias("shap_top_features"),
+        F.lit("xgboost").alias("ml_model_type"), F.col("topFeatures").alias("shap_top_features"),
         confidence.cast("decimal(5,2)").alias("llm_confidence"),
         F.col("fraudPattern").alias("fraud_pattern"), F.col("reasoning"),
         recommendation(confidence).alias("recommendation"),

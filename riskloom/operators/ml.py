@@ -63,19 +63,32 @@ class LinearModel:
         margin = " + ".join([f"{self.intercept}D", *(f"{w}D * {name}" for name, w in self.coefficients.items())])
         return F.expr(f"round(1D / (1D + exp(-({margin}))), {digits})")
 
-    def contributions(self, means: dict[str, float]) -> Column:
-        """``array<struct<feature,value>>``: coefficient times distance from the mean."""
-        return F.array(*[
-            F.struct(F.lit(name).alias("feature"),
-                     (F.lit(weight) * (F.col(name) - F.lit(means[name]))).alias("value"))
-            for name, weight in self.coefficients.items()
-        ])
+    def contributions(self, means: dict[str, float] | str) -> Column:
+        """``array<struct<feature,value>>``: coefficient times distance from the mean.
+
+        ``means`` holds the numbers, or names a struct column that does.
+        """
+        mean = {name: f"{means}.{name}" if isinstance(means, str) else f"{float(means[name])!r}D" for name in self.coefficients}
+        parts = [f"named_struct('feature', '{name}', 'value', {weight}D * ({name} - {mean[name]}))"
+                 for name, weight in self.coefficients.items()]
+        return F.expr(f"array({', '.join(parts)})")
 
 
 def feature_means(df: DataFrame, features: list[str]) -> dict[str, float]:
     return df.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()
 
 
+def with_attributions(df: DataFrame, model: LinearModel, output: str = "topFeatures") -> DataFrame:
+    """Append the largest contributions to a linear score.
+
+    The means are a scalar subquery over the same rows, so nothing runs until a
+    result that needs them is read.
+    """
+    averages = ", ".join(f"'{name}', avg({name})" for name in model.coefficients)
+    centred = df.withColumn("_means", df.agg(F.expr(f"named_struct({averages})").alias("means")).scalar())
+    return centred.withColumn(output, top_attributions(model.contributions("_means"))).drop("_means")
+
+
 def top_attributions(contributions: Column, keep: int = 3) -> Column:
     """The ``keep`` entries of largest magnitude, sign kept; ties by name."""
     ranked = F.transform(contributions, lambda c: F.struct(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,8 +69,9 @@ def _nearest() -> list:
     return [F.desc(F.round("score", TIE_DIGITS)), F.col("caseId")]
 
 
-def _parts(df: DataFrame, rows: int) -> int:
-    return max(1, -(-df.count() // rows))
+def _parts(df: DataFrame, rows: int) -> Column:
+    """Into how many parts of about ``rows`` rows a frame is cut, as a scalar subquery: composing a plan runs no job."""
+    return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("parts")).scalar()
 
 
 def top_candidates(queries: DataFrame, cases: DataFrame, fetch: int,
@@ -82,13 +83,13 @@ def top_candidates(queries: DataFrame, cases: DataFrame, fetch: int,
     blocks, chunks = _parts(cases, block_rows), _parts(queries, chunk_rows)
     left = queries.select(
         "queryKey", "vector",
-        F.pmod(F.xxhash64("queryKey"), F.lit(chunks)).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64("queryKey"), chunks).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
     )
     right = cases.select(
         "caseId", "vector",
-        F.pmod(F.xxhash64("caseId"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+        F.pmod(F.xxhash64("caseId"), blocks).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"),
     )
     key_type = queries.schema["queryKey"].dataType.simpleString()
     case_type = cases.schema["caseId"].dataType.simpleString()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import text as tx
 from riskloom.operators import analytics, audit, quality, stats
+from riskloom.plans import decision_queries  # noqa: F401 - the audit answers build on its expressions
 from riskloom.plans.frames import Frames
 from riskloom.plans.oracle import D, build
 from riskloom.plans.registry import query
@@ -94,10 +96,11 @@ def audit_transactions(f: Frames) -> DataFrame:
 
 
 @query(build("""
-SELECT id, transaction_id, ml_score, llm_confidence, fraud_pattern, reasoning, recommendation, rag_context_used,
+SELECT id, transaction_id, ml_score, shap_top_features, llm_confidence, fraud_pattern, reasoning, recommendation, rag_context_used,
   rag_similarity_score, rag_cases_retrieved, decision, decided_at FROM a_dec""", "a_dec"))
 def audit_decisions(f: Frames) -> DataFrame:
-    return f.audit_decisions().drop("ml_model_type", "shap_top_features")
+    shown = F.array_join(F.transform("shap_top_features", lambda t: F.concat(t["feature"], F.lit(":"), tx.fixed(t["value"], 6))), ",")
+    return f.audit_decisions().drop("ml_model_type").withColumn("shap_top_features", shown)
 
 
 @query(build("""
@@ -203,6 +206,7 @@ def upserted_customers(f: Frames) -> DataFrame:
 @query(build("""
 SELECT 'decision without transaction' AS relation, (SELECT count(*) FROM a_dec d WHERE NOT EXISTS (SELECT 1 FROM a_txn t WHERE t.transaction_id = d.transaction_id)) AS orphans
 UNION ALL SELECT 'review without decision', (SELECT count(*) FROM a_rev r WHERE NOT EXISTS (SELECT 1 FROM a_dec d WHERE d.transaction_id = r.transaction_id))
+UNION ALL SELECT 'review without transaction', (SELECT count(*) FROM a_rev r WHERE NOT EXISTS (SELECT 1 FROM a_txn t WHERE t.transaction_id = r.transaction_id))
 UNION ALL SELECT 'customer without transaction', (SELECT count(*) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM a_txn t WHERE t.customer_id = 'CUST-' || CAST(c_custkey AS VARCHAR)))
 UNION ALL SELECT 'prediction without review', (SELECT count(*) FROM a_pred p WHERE NOT EXISTS (SELECT 1 FROM a_rev r WHERE r.transaction_id = p.transaction_id AND r.analyst_id <> 'system'))""",
     "a_dec", "a_txn", "a_rev", "a_pred"))
@@ -211,6 +215,7 @@ def orphan_report(f: Frames) -> DataFrame:
     found = {
         "decision without transaction": audit.orphans(decisions, transactions, "transaction_id"),
         "review without decision": audit.orphans(reviews, decisions, "transaction_id"),
+        "review without transaction": audit.orphans(reviews, transactions, "transaction_id"),
         "customer without transaction": audit.orphans(_customers(f), transactions, "customer_id"),
         "prediction without review": audit.orphans(
             f.audit_predictions(), reviews.where(F.col("analyst_id") != "system"), "transaction_id"),

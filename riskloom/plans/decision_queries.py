@@ -10,7 +10,7 @@ from riskloom.functions import prompts, text as tx
 from riskloom.operators import panel, routing
 from riskloom.plans.context_queries import SCORED_CONTEXT_SQL
 from riskloom.plans.frames import Frames
-from riskloom.plans.oracle import D, W, build, q
+from riskloom.plans.oracle import CARD, D, W, build, cte, q
 from riskloom.plans.registry import query
 
 
@@ -144,8 +144,19 @@ def recommendation_codes(f: Frames) -> DataFrame:
 # --- decision records, payloads ---------------------------------------------
 
 def _records(f: Frames) -> DataFrame:
-    scored = f.scored()
-    return panel.to_decision_record(scored, F.col("mlFraudScore"), F.lit(0), tx.context_text(F.col("mlFraudScore")))
+    return panel.to_decision_record(f.investigated(), F.col("mlFraudScore"), F.col("casesFound"), F.col("context"))
+
+
+# What a decision was made on: streaming context with the retrieved cases, and the largest contributions.
+cte("inv", ["sco", "ctx"], f"""
+SELECT s.*, coalesce(c.casesFound, 0) AS casesFound, c.maxSimilarity, concat_ws(chr(10), {SCORED_CONTEXT_SQL}, c.promptContext) AS context
+FROM sco s LEFT JOIN ctx c ON s.event_id = c.queryId""")
+_PARTS = " UNION ALL ".join(
+    f"SELECT transactionId, '{name}' AS feature, {D(w)} * ({name} - (SELECT avg({name}) FROM feat)) AS value FROM feat" for name, w in CARD)
+cte("att", ["feat"], f"""
+SELECT transactionId, string_agg(feature || ':' || printf('%.6f', value), ',' ORDER BY place) AS topFeatures FROM (
+  SELECT *, row_number() OVER (PARTITION BY transactionId ORDER BY round(abs(value), 9) DESC, feature) AS place FROM ({_PARTS}))
+WHERE place <= 3 GROUP BY transactionId""")
 
 
 _SHORT_TXN_SQL = """'ID: ' || transactionId || chr(10) || 'Amount: $' || CAST(amount AS VARCHAR) || ' ' || currency || chr(10)
@@ -154,24 +165,36 @@ _SHORT_TXN_SQL = """'ID: ' || transactionId || chr(10) || 'Amount: $' || CAST(am
 _INSIGHT_LINES = f"""SELECT transactionId, string_agg('- ' || agentName || ' (Risk: ' || printf('%.1f', riskScore * 100) || '%): '
     || left(reasoning, 150), chr(10) ORDER BY seq) AS lines FROM ({insights_sql('sco')}) GROUP BY transactionId"""
 EXPLANATION_SQL = f"""{q(tx.EXPLANATION_TITLE)} || chr(10) || 'TRANSACTION:' || chr(10) || {_SHORT_TXN_SQL} || chr(10) || chr(10)
-  || 'STREAMING CONTEXT:' || chr(10) || {SCORED_CONTEXT_SQL} || chr(10) || chr(10) || 'AGENT ANALYSIS:' || chr(10) || l.lines
+  || 'STREAMING CONTEXT:' || chr(10) || context || chr(10) || chr(10) || 'AGENT ANALYSIS:' || chr(10) || l.lines
   || chr(10) || chr(10) || 'FINAL RISK SCORE: ' || printf('%.1f', finalRiskScore * 100) || '%' || chr(10) || 'DECISION: '
   || CASE WHEN isFraudulent THEN 'FRAUD DETECTED' ELSE 'LEGITIMATE' END"""
 RECORD_SQL = f"""SELECT s.*, {EXPLANATION_SQL} AS explanation,
   CASE WHEN isFraudulent THEN 'AI agents with streaming intelligence detected fraud' ELSE 'Transaction appears legitimate' END AS reason,
   CAST(floor(confidenceScore * 100 + {D(0.5)}) AS BIGINT) AS pct, CAST(epoch_us("timestamp") // 1000 AS BIGINT) AS ms
-FROM sco s JOIN ({_INSIGHT_LINES}) l USING (transactionId)"""
+FROM inv s JOIN ({_INSIGHT_LINES}) l USING (transactionId)"""
+cte("rec", ["inv"], RECORD_SQL)
+cte("a_dec", ["rec", "att"], f"""
+SELECT event_id AS id, transactionId AS transaction_id, CAST(mlFraudScore AS DECIMAL(5,4)) AS ml_score, a.topFeatures AS shap_top_features,
+  CAST(CAST(confidenceScore AS DECIMAL(6,3)) AS DECIMAL(5,2)) AS llm_confidence, fraudPattern AS fraud_pattern,
+  explanation AS reasoning,
+  CASE WHEN confidenceScore >= {D(0.8)} THEN 'FRAUD_ALERT' WHEN confidenceScore >= {D(0.6)} THEN 'HUMAN_REVIEW' ELSE 'APPROVE' END AS recommendation,
+  casesFound > 0 AS rag_context_used,
+  CASE WHEN casesFound > 0 THEN CAST(maxSimilarity AS DECIMAL(5,4)) END AS rag_similarity_score,
+  CAST(casesFound AS INTEGER) AS rag_cases_retrieved,
+  CASE WHEN confidenceScore >= {D(0.8)} THEN 'BLOCK' WHEN confidenceScore >= {D(0.6)} THEN 'REVIEW' ELSE 'APPROVE' END AS decision,
+  "timestamp" AS decided_at
+FROM rec JOIN att a USING (transactionId)""")
 
 
-@query(build(f"SELECT transactionId, explanation FROM ({RECORD_SQL})", "sco"))
+@query(build(f"SELECT transactionId, explanation FROM rec", "rec"))
 def explanations(f: Frames) -> DataFrame:
     return _records(f).select("transactionId", F.col("detailedExplanation").alias("explanation"))
 
 
 @query(build(f"""
 SELECT transactionId, isFraudulent, confidenceScore, reason AS primaryReason, md5(explanation) AS explanationHash,
-  agentCount AS insights, round(finalRiskScore, 6) AS finalRisk, mlFraudScore AS mlScore, {D(0.0)} AS casesFound, fraudPattern
-FROM ({RECORD_SQL})""", "sco"))
+  agentCount AS insights, round(finalRiskScore, 6) AS finalRisk, mlFraudScore AS mlScore, CAST(casesFound AS DOUBLE) AS casesFound, fraudPattern
+FROM rec""", "rec"))
 def decision_records(f: Frames) -> DataFrame:
     factors = F.col("riskFactors")
     return _records(f).select(
@@ -188,14 +211,14 @@ def _at() -> object:
 
 @query(build(f"""
 SELECT 'AI_FRAUD_ALERT' AS type, transactionId, pct AS confidence, fraudPattern, reason, agentCount,
-  explanation AS aiExplanation, ms AS "timestamp", 'HIGH' AS priority FROM ({RECORD_SQL}) WHERE route = 'fraud-alerts'""", "sco"))
+  explanation AS aiExplanation, ms AS "timestamp", 'HIGH' AS priority FROM rec WHERE route = 'fraud-alerts'""", "rec"))
 def alert_payloads(f: Frames) -> DataFrame:
     return routing.alert_payload(routing.split(_records(f))[routing.ALERT], _at())
 
 
 @query(build(f"""
 SELECT 'AI_REVIEW_CASE' AS type, transactionId, pct AS confidence, fraudPattern, explanation, agentCount AS insights,
-  'PENDING_HUMAN_REVIEW' AS status, ms AS "timestamp" FROM ({RECORD_SQL}) WHERE route = 'human-review'""", "sco"))
+  'PENDING_HUMAN_REVIEW' AS status, ms AS "timestamp" FROM rec WHERE route = 'human-review'""", "rec"))
 def review_payloads(f: Frames) -> DataFrame:
     payload = routing.review_payload(routing.split(_records(f))[routing.REVIEW], _at())
     return payload.withColumn("insights", F.size("agentInsights")).drop("agentInsights")
@@ -203,7 +226,7 @@ def review_payloads(f: Frames) -> DataFrame:
 
 @query(build(f"""
 SELECT 'AI_APPROVAL' AS type, transactionId, pct AS confidence, 'APPROVED_BY_AI' AS status, agentCount,
-  ms AS "timestamp" FROM ({RECORD_SQL}) WHERE route = 'approved-transactions'""", "sco"))
+  ms AS "timestamp" FROM rec WHERE route = 'approved-transactions'""", "rec"))
 def approval_payloads(f: Frames) -> DataFrame:
     return routing.approval_payload(routing.split(_records(f))[routing.APPROVED], _at())
 
@@ -250,29 +273,19 @@ def _analysis_sql(name: str, context: str) -> str:
         q(prompts.RESPONSE_FORMAT)])
 
 
-# Every rapid-fire transaction carries a case block here, so both prompt forms occur.
-_PROMPT_CONTEXT = f"CASE WHEN rapidFire THEN {q(tx.CASE_HEADER)} || chr(10) || {SCORED_CONTEXT_SQL} ELSE {SCORED_CONTEXT_SQL} END"
-
-
-def _with_context(df: DataFrame) -> DataFrame:
-    plain = tx.context_text(F.col("mlFraudScore"))
-    return df.withColumn("context", F.when(
-        F.col("metadata.rapidFire"), F.concat_ws("\n", F.lit(tx.CASE_HEADER), plain)).otherwise(plain))
-
-
 @query(build("SELECT transactionId, agentName, length(prompt) AS characters, md5(prompt) AS promptHash FROM (" + " UNION ALL ".join(
-    f"SELECT transactionId, '{a.name}' AS agentName, {_analysis_sql(a.name, 'context')} AS prompt FROM ctxd" for a in panel.AGENTS)
-    + ")", "sco").replace("\nSELECT transactionId, agentName", f",\nctxd AS (SELECT *, {_PROMPT_CONTEXT} AS context FROM sco)\nSELECT transactionId, agentName", 1))
+    f"SELECT transactionId, '{a.name}' AS agentName, {_analysis_sql(a.name, 'context')} AS prompt FROM inv" for a in panel.AGENTS)
+    + ")", "inv"))
 def agent_prompts(f: Frames) -> DataFrame:
-    asked = prompts.agent_prompts(_with_context(f.scored()))
+    asked = prompts.agent_prompts(f.investigated())
     return asked.select("transactionId", "agentName", F.length("prompt").cast("long").alias("characters"),
                         F.md5("prompt").alias("promptHash"))
 
 
 def _follow_sql(name: str, question: str) -> str:
     w = prompts.WORDING[name]
-    return " || ".join([q(f"You are a {w.title}. A colleague asks:\n\n"), question, q("\n\nTRANSACTION:\n"), _LONG_TXN_SQL,
-                        q(f"\nAnswer focusing on {w.focus}.\n"), q(prompts.RESPONSE_FORMAT)])
+    return " || ".join([q(f"Desk: {w.title}.\nOpen question on this payment:\n\n"), question, q("\n\nTRANSACTION:\n"), _LONG_TXN_SQL,
+                        q(f"\nKeep to {w.focus}.\n"), q(prompts.RESPONSE_FORMAT)])
 
 
 _VELOCITY_Q = "'The current window holds ' || CAST(velocityCount AS VARCHAR) || ' payments of this customer. Would you expect that from a person?'"
@@ -280,21 +293,20 @@ _PROFILE_Q = "'This customer pays $' || printf('%.0f', p_avg) || ' on average an
 _FIRST_LINES = " || chr(10) || ".join(
     f"'{a} (Risk: ' || printf('%.2f', {c}) || '): ' || left({_reason_sql(a)}, 200)" for a, r, c in _ANSWERS if r == "first")
 _CONSENSUS = " || ".join([
-    q("You are the lead fraud investigator.\n\nSTREAMING CONTEXT:\n"), "context", q("\n\nTRANSACTION:\n"), _SHORT_TXN_SQL,
+    q("Close this case for the desk.\n\nSTREAMING CONTEXT:\n"), "context", q("\n\nTRANSACTION:\n"), _SHORT_TXN_SQL,
     q("\n\nAGENT FINDINGS:\n"), _FIRST_LINES,
-    q("\n\nWeigh streaming context, agent findings and similar confirmed cases, then answer."), q(prompts.RESPONSE_FORMAT),
+    q("\n\nSet what the stream shows, what the desk found and what earlier cases proved against each other."), q(prompts.RESPONSE_FORMAT),
     q("\nPATTERN: [" + "|".join(S.PATTERNS) + "]")])
 _FOLLOW = " UNION ALL ".join(
-    [f"SELECT transactionId, 'velocity' AS \"round\", '{n}' AS agentName, {_follow_sql(n, _VELOCITY_Q)} AS prompt FROM ctxd WHERE is_high_velocity = 1"
+    [f"SELECT transactionId, 'velocity' AS \"round\", '{n}' AS agentName, {_follow_sql(n, _VELOCITY_Q)} AS prompt FROM inv WHERE is_high_velocity = 1"
      for n in panel.VELOCITY_ROUND]
-    + [f"SELECT transactionId, 'profile', '{n}', {_follow_sql(n, _PROFILE_Q)} FROM ctxd WHERE has_profile" for n in panel.PROFILE_ROUND]
-    + [f"SELECT transactionId, 'consensus', '{panel.CONSENSUS}', {_CONSENSUS} FROM ctxd"])
+    + [f"SELECT transactionId, 'profile', '{n}', {_follow_sql(n, _PROFILE_Q)} FROM inv WHERE has_profile" for n in panel.PROFILE_ROUND]
+    + [f"SELECT transactionId, 'consensus', '{panel.CONSENSUS}', {_CONSENSUS} FROM inv"])
 
 
-@query(build(f'SELECT transactionId, "round", agentName, length(prompt) AS characters, md5(prompt) AS promptHash FROM ({_FOLLOW})', "sco")
-       .replace('\nSELECT transactionId, "round", agentName, length', f',\nctxd AS (SELECT *, {_PROMPT_CONTEXT} AS context FROM sco)\nSELECT transactionId, "round", agentName, length', 1))
+@query(build(f'SELECT transactionId, "round", agentName, length(prompt) AS characters, md5(prompt) AS promptHash FROM ({_FOLLOW})', "inv"))
 def follow_up_prompts(f: Frames) -> DataFrame:
-    asked = prompts.follow_up_prompts(_with_context(f.scored()))
+    asked = prompts.follow_up_prompts(f.investigated())
     return asked.select("transactionId", "round", "agentName", F.length("prompt").cast("long").alias("characters"),
                         F.md5("prompt").alias("promptHash"))
 

@@ -178,25 +178,36 @@ class Frames:
     def audit_transactions(self) -> DataFrame:
         return audit.transaction_rows(self.featured())
 
+    @_once
+    def attributed(self) -> DataFrame:
+        """Scored decisions with the largest contributions to the score."""
+        return ml.with_attributions(self.scored(), SCORE_CARD)
+
+    @_once
+    def investigated(self) -> DataFrame:
+        """Scored decisions with what they were decided on: attributions and the similar confirmed cases.
+
+        The transaction and the vector of the same number belong together. The
+        join key is the contexts' grouping key, so Spark drops the join, and the
+        search with it, where no context column is read.
+        """
+        contexts, attributed = self.contexts(), self.attributed()
+        joined = attributed.join(contexts, self._number() == contexts["queryId"], "left")
+        return joined.withColumn("ragContext", F.col("context")).withColumns({
+            "casesFound": F.coalesce("ragContext.casesFound", F.lit(0)),
+            "maxSimilarity": cases.max_similarity(F.col("ragContext")),
+            "context": tx.context_text(F.col("mlFraudScore"), F.col("ragContext.promptContext")),
+        }).drop("queryId")
+
     @_once
     def audit_predictions(self) -> DataFrame:
-        return audit.prediction_rows(
-            self.scored().withColumn("topFeatures", F.array(F.struct(F.lit("none").alias("feature"), F.lit(0.0).alias("value")))),
-            self._number())
+        return audit.prediction_rows(self.attributed(), self._number())
 
     @_once
     def audit_decisions(self) -> DataFrame:
-        """The stored context is the vector case of the same number, where there is one."""
-        vectors = self.vectors().select(
-            F.concat(F.lit("TXN-"), F.col("id").cast("string")).alias("vectorId"), F.col("label").alias("vectorLabel"))
-        scored = self.scored()
-        joined = scored.join(vectors, scored["transactionId"] == vectors["vectorId"], "left").withColumns({
-            "casesFound": F.coalesce(F.col("vectorLabel") % 4, F.lit(0)),
-            "maxSimilarity": F.round(F.col("vectorLabel") * 0.05 + 0.4, 2),
-            "reasoning": tx.join_text("panel consensus: ", F.col("fraudPattern")),
-            "topFeatures": F.array(F.struct(F.lit("none").alias("feature"), F.lit(0.0).alias("value"))),
-        })
-        return audit.decision_rows(joined, self._number())
+        """Every decision with its computed attributions, retrieved cases and explanation."""
+        told = tx.explanation(F.col("context"), panel.insights_array(), F.col("finalRiskScore"))
+        return audit.decision_rows(self.investigated().withColumn("reasoning", told), self._number())
 
     @_once
     def audit_reviews(self) -> DataFrame:

@@ -221,17 +221,6 @@ cte("a_pred", ["sco"], """
 SELECT event_id AS id, transactionId AS transaction_id, 'xgboost' AS model_type,
   CAST(mlFraudScore AS DECIMAL(5,4)) AS prediction_score, CAST(latencyMs AS INTEGER) AS prediction_time_ms,
   "timestamp" AS predicted_at, 'card-v1' AS model_version FROM sco""")
-cte("a_dec", ["sco"], f"""
-SELECT event_id AS id, transactionId AS transaction_id, CAST(mlFraudScore AS DECIMAL(5,4)) AS ml_score,
-  CAST(CAST(confidenceScore AS DECIMAL(6,3)) AS DECIMAL(5,2)) AS llm_confidence, fraudPattern AS fraud_pattern,
-  'panel consensus: ' || fraudPattern AS reasoning,
-  CASE WHEN confidenceScore >= {D(0.8)} THEN 'FRAUD_ALERT' WHEN confidenceScore >= {D(0.6)} THEN 'HUMAN_REVIEW' ELSE 'APPROVE' END AS recommendation,
-  coalesce(e.label % 4 > 0, FALSE) AS rag_context_used,
-  CASE WHEN coalesce(e.label % 4 > 0, FALSE) THEN CAST(round(e.label * {D(0.05)} + {D(0.4)}, 2) AS DECIMAL(5,4)) END AS rag_similarity_score,
-  CAST(coalesce(e.label % 4, 0) AS INTEGER) AS rag_cases_retrieved,
-  CASE WHEN confidenceScore >= {D(0.8)} THEN 'BLOCK' WHEN confidenceScore >= {D(0.6)} THEN 'REVIEW' ELSE 'APPROVE' END AS decision,
-  "timestamp" AS decided_at
-FROM sco LEFT JOIN embeddings e ON sco.transactionId = 'TXN-' || CAST(e.vec_id AS VARCHAR)""")
 OUTCOME = """CASE WHEN actualFraud THEN 'CONFIRMED_FRAUD' WHEN NOT actualFraud THEN 'FALSE_POSITIVE'
   WHEN predictedFraud THEN 'CONFIRMED_FRAUD' ELSE 'LEGITIMATE' END"""
 LEVEL = f"CASE WHEN confidence >= {D(0.8)} THEN 'HIGH' WHEN confidence >= {D(0.6)} THEN 'MEDIUM' ELSE 'LOW' END"

@@ -9,7 +9,8 @@ from tools.check import rows_of
 # One query of each family; tools/check.py compares all of them.
 SAMPLE = ["decoded_messages", "velocity_lagged_day", "features", "case_reviews", "confirmed_cases", "similar_cases",
           "retrieved_contexts", "transaction_history", "upserted_customers", "audit_violations", "running_auc",
-          "stratified_split", "top_attributions", "follow_up_prompts", "review_payloads"]
+          "stratified_split", "top_attributions", "follow_up_prompts", "review_payloads", "audit_decisions",
+          "agent_prompts", "decision_records", "orphan_report", "online_inputs"]
 
 
 @pytest.fixture(scope="module")
