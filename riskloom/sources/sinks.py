@@ -9,7 +9,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.operators import routing
 from riskloom.sources import messages
@@ -24,6 +24,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet", b
     writer.save(f"{path}/batch_id={batch_id}")
 
 
+def drop_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove what a batch wrote, once no later batch reads it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_enriched(record: DataFrame, path: str, batch_id: int) -> None:
     """Enriched records as (key, value) messages keyed by customer."""
     write_batch(record.select("key", "value"), path, batch_id)

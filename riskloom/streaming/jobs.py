@@ -5,6 +5,7 @@ Every transform is the batch function; only this package knows about streams.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -22,12 +23,14 @@ from riskloom.operators.ml import LinearModel, embed_text, score, top_attributio
 from riskloom.operators.online import OnlineModel
 from riskloom.operators.velocity import FIVE_MINUTES
 from riskloom.sources import sinks
-from riskloom.streaming.state import running_velocity
+from riskloom.streaming.state import number_batch
 
 TOP_KIND = "array<struct<feature:string,value:double>>"
+Each = Callable[[DataFrame, int], None]
+Step = Callable[[DataFrame], DataFrame]
 
 
-def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], *, name: str | None = None,
+def run(stream: DataFrame, checkpoint: str, each: Each, *, name: str | None = None,
         mode: str = "append", every: str | None = None) -> StreamingQuery:
     """Start a query: all available input once, or every ``every`` interval."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
@@ -44,12 +47,16 @@ def velocity_counts(txn: DataFrame, size: str = FIVE_MINUTES) -> DataFrame:
         F.count(F.lit(1)).alias("velocityCount")).select("customerId", F.col("w.start").alias("windowStart"), "velocityCount")
 
 
-def enriched_stream(txn: DataFrame, profiles: DataFrame, size: str = FIVE_MINUTES) -> DataFrame:
-    """Transactions with running velocity and a profile snapshot."""
-    return enrich.join_profile(running_velocity(txn, size), profiles)
+def enriched_batches(folder: str, profiles: DataFrame, each: Each, size: str = FIVE_MINUTES, part: str = "10 seconds") -> Each:
+    """Running velocity and a profile snapshot for every batch of transactions, then ``each``.
+
+    Counts are kept in ``folder``, as long as the query's checkpoint.
+    """
 
+    def enriched(batch: DataFrame, batch_id: int) -> None:
+        each(enrich.join_profile(number_batch(batch, batch_id, folder, size, part), profiles), batch_id)
 
-Step = Callable[[DataFrame], DataFrame]
+    return enriched
 
 
 def card_scorer(model: LinearModel, means: dict[str, float]) -> Step:
@@ -94,22 +101,27 @@ def process_batch(folder: str, scorer: Step, model_version: str, retriever: Step
                   audit_write: Callable | None = None) -> Callable[[DataFrame, int], None]:
     """Per micro-batch: features, score, similar cases, panel, decision, then every output.
 
-    The decided batch is cached once and read by each sink.
+    The decided batch is cached once and read by each sink. ``latencyMs`` is the
+    measured time from the start of the batch to its decisions, which is what
+    each of its transactions waited.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        began = time.monotonic()
         known = retriever(scorer(feat.with_features(batch))).withColumn("casesFound", F.col("ragContext.casesFound"))
         decided = panel.decide(panel.with_panel(known, "casesFound")).persist()
         try:
+            decided.count()  # fills the cache that every sink reads
+            timed = decided.withColumn("latencyMs", F.lit(int((time.monotonic() - began) * 1000)))
             records = decided.select(F.col("customerId").alias("key"), F.to_json(enrich.enriched_record()).alias("value"))
             sinks.write_enriched(records, f"{folder}/enriched-transactions", batch_id)
-            sinks.write_messages(prediction_record(decided, model_version), "customerId", f"{folder}/ml-predictions", batch_id)
+            sinks.write_messages(prediction_record(timed, model_version), "customerId", f"{folder}/ml-predictions", batch_id)
             context = tx.context_text(F.col("mlFraudScore"), F.col("ragContext.promptContext"))
             decisions = panel.to_decision_record(decided, F.col("mlFraudScore"), F.col("casesFound"), context)
             sinks.write_messages(decisions, "transactionId", f"{folder}/fraud-decisions", batch_id)
             sinks.write_routes(decisions, folder, batch_id)
             sinks.write_feedback(decisions, folder, batch_id)
-            sinks.write_audit(audit_tables(decided, model_version), f"{folder}/audit", batch_id, audit_write)
+            sinks.write_audit(audit_tables(timed, model_version), f"{folder}/audit", batch_id, audit_write)
         finally:
             decided.unpersist()
 
@@ -123,14 +135,14 @@ def prediction_record(decided: DataFrame, model_version: str) -> DataFrame:
         "transactionId", "customerId", "mlFraudScore", F.lit(0.0).alias("lstmSequenceScore"),
         F.col("mlFraudScore").alias("combinedScore"), F.lit(model_version).alias("modelVersion"),
         top.alias("shapExplanation"), feat.feature_map().alias("featuresUsed"), "ragContext",
-        F.lit(0).cast("long").alias("inferenceLatencyMs"), "timestamp")
+        F.col("latencyMs").cast("long").alias("inferenceLatencyMs"), "timestamp")
 
 
 def audit_tables(decided: DataFrame, model_version: str) -> dict[str, DataFrame]:
+    context = tx.context_text(F.col("mlFraudScore"), F.col("ragContext.promptContext"))
     ready = decided.withColumns({
-        "latencyMs": F.lit(0), "modelVersion": F.lit(model_version),
-        "maxSimilarity": cases.max_similarity(F.col("ragContext")),
-        "reasoning": tx.join_text("panel consensus: ", F.col("fraudPattern")),
+        "modelVersion": F.lit(model_version), "maxSimilarity": cases.max_similarity(F.col("ragContext")),
+        "reasoning": tx.explanation(context, panel.insights_array(), F.col("finalRiskScore")),
     })
     return {"transactions": audit.transaction_rows(ready), "model_predictions": audit.prediction_rows(ready),
             "fraud_decisions": audit.decision_rows(ready)}

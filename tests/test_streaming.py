@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -25,6 +26,18 @@ def drain(stream, checkpoint, mode="append"):
     return rows
 
 
+def numbered(stream, folder, size, *columns):
+    """Number every batch of a stream and gather the rows."""
+    rows = []
+
+    def each(batch, batch_id):
+        counted = state.number_batch(batch, batch_id, str(folder / "kept"), size)
+        rows.extend((batch_id, *r) for r in counted.select(*columns, "velocityCount").collect())
+
+    jobs.run(stream, str(folder / "c"), each).awaitTermination(120)
+    return rows
+
+
 def stream_of(spark, folder, files=1):
     valid, _ = messages.decode_transactions(streams.read_messages(spark, str(folder), files_per_trigger=files))
     return valid
@@ -34,12 +47,12 @@ def test_running_velocity_over_batches(spark, tmp_path):
     inbox = tmp_path / "in"
     put(inbox, "1.json", message(1, "A", "2026-07-04T10:00:00"), message(2, "B", "2026-07-04T10:01:00"))
     put(inbox, "2.json", message(3, "A", "2026-07-04T10:04:59"))
-    first = drain(state.running_velocity(stream_of(spark, inbox), "5 minutes").select("transactionId", "velocityCount"), tmp_path / "c")
+    first = numbered(stream_of(spark, inbox), tmp_path, "5 minutes", "transactionId")
     assert sorted(r[1:] for r in first) == [("T-001", 1), ("T-002", 1), ("T-003", 2)]
     # The same query goes on from its checkpoint: a new window starts, and then the old one is over.
     put(inbox, "3.json", message(4, "A", "2026-07-04T10:05:00"))
     put(inbox, "4.json", message(5, "A", "2026-07-04T10:04:00"), message(6, "A", "2026-07-04T10:06:00"))
-    later = drain(state.running_velocity(stream_of(spark, inbox), "5 minutes").select("transactionId", "velocityCount"), tmp_path / "c")
+    later = numbered(stream_of(spark, inbox), tmp_path, "5 minutes", "transactionId")
     assert sorted(r[1:] for r in later) == [("T-004", 1), ("T-005", 1), ("T-006", 2)]  # 5 is late: uncounted, not lost
 
 
@@ -48,12 +61,48 @@ def test_streaming_velocity_equals_batch(spark, small, tmp_path):
     files = str(tmp_path / "txn")
     txn.orderBy("timestamp").coalesce(1).write.parquet(files)
     source = spark.readStream.schema(txn.schema).parquet(files)
-    columns = ["transactionId", "velocityCount", "timestamp", "amount", "metadata.sequence"]
-    got = drain(state.running_velocity(source, "1 day").select(*columns), tmp_path / "c")
-    want = velocity.velocity_running(txn, "1 day").select(*columns)
+    columns = ["transactionId", "timestamp", "amount", "metadata.sequence"]
+    got = numbered(source, tmp_path, "1 day", *columns)
+    want = velocity.velocity_running(txn, "1 day").select(*columns, "velocityCount")
     assert sorted(r[1:] for r in got) == sorted(map(tuple, want.collect()))
 
 
+def test_busy_customer_is_cut_before_rows_are_numbered(spark, tmp_path):
+    """One customer with a third of a backlog: rows equal the batch form, and no task gets their rows."""
+    rows = 300_000
+    customer = F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("C"), F.col("id") % 5_000))
+    txn = spark.range(rows).select(
+        customer.alias("customerId"), F.concat(F.lit("T"), F.col("id")).alias("transactionId"),
+        F.timestamp_millis(F.lit(1_767_225_600_000) + F.col("id") * 7).alias("timestamp")).withColumn(
+        "half", (F.col("timestamp") >= F.timestamp_millis(F.lit(1_767_225_600_000 + rows * 7 // 2))).cast("int"))
+    txn.repartition(4).write.partitionBy("half").parquet(str(tmp_path / "t"))
+    halves = [spark.read.parquet(str(tmp_path / "t")).where(F.col("half") == h).drop("half") for h in (0, 1)]
+    got = None
+    for batch_id, half in enumerate(halves):
+        part = state.number_batch(half, batch_id, str(tmp_path / "kept"), "1 hour", "10 seconds")
+        got = part if got is None else got.unionByName(part)
+    want = velocity.velocity_running(txn.drop("half"), "1 hour")
+    columns = ["customerId", "transactionId", "velocityCount"]
+    assert got.select(*columns).exceptAll(want.select(*columns)).isEmpty() and got.count() == rows
+    pieces = halves[0].groupBy("customerId", F.window("timestamp", "10 seconds")).count()
+    assert pieces.agg(F.max("count")).first()[0] < rows // 500
+
+
+def test_replayed_batch_is_numbered_as_before(spark, tmp_path):
+    schema = "customerId string, transactionId string, timestamp timestamp"
+    at = lambda minute: datetime.datetime(2026, 7, 4, 10, minute)
+    first = spark.createDataFrame([("A", "1", at(0)), (None, "2", at(1))], schema)
+    second = spark.createDataFrame([("A", "3", at(2)), ("A", "4", at(9)), (None, "5", at(3))], schema)
+    state.number_batch(first, 0, str(tmp_path), "5 minutes").collect()
+    tries = [sorted((r["transactionId"], r["velocityCount"]) for r in state.number_batch(second, 1, str(tmp_path), "5 minutes").collect())
+             for _ in range(2)]
+    assert tries[0] == tries[1] == [("3", 2), ("4", 1), ("5", 2)]
+    empty = state.number_batch(first.limit(0), 2, str(tmp_path), "5 minutes")
+    assert empty.collect() == [] and not (tmp_path / "batch_id=0").exists()
+    kept = state.stored_counts(spark, str(tmp_path), 3).collect()
+    assert {(r["customerId"], r["n"]) for r in kept} == {("A", 1), (None, 2)}
+
+
 def test_latest_velocity_keeps_old_counts(spark, tmp_path):
     inbox = tmp_path / "in"
     put(inbox, "1.json", message(1, "A", "2026-07-04T10:00:00"), message(2, "A", "2026-07-04T10:01:00"), message(3, "B", "2026-07-04T10:01:00"))
@@ -78,9 +127,9 @@ def test_whole_path_to_every_sink(spark, small, tmp_path):
     txn, out = frames.transactions(), tmp_path / "out"
     txn.orderBy("timestamp").coalesce(2).write.parquet(str(tmp_path / "txn"))
     source = spark.readStream.schema(txn.schema).parquet(str(tmp_path / "txn"))
-    stream = jobs.enriched_stream(source, frames.profiles(), "1 day")
     scorer = jobs.card_scorer(SCORE_CARD, dict.fromkeys(SCORE_CARD.coefficients, 0.5))
-    jobs.run(stream, str(tmp_path / "c"), jobs.process_batch(str(out), scorer, "card-v1")).awaitTermination(200)
+    each = jobs.enriched_batches(str(tmp_path / "kept"), frames.profiles(), jobs.process_batch(str(out), scorer, "card-v1"), "1 day")
+    jobs.run(source, str(tmp_path / "c"), each).awaitTermination(200)
     total = txn.count()
 
     def read(name):
@@ -99,6 +148,9 @@ def test_whole_path_to_every_sink(spark, small, tmp_path):
     assert routing.with_route(decisions).groupBy("route").count().count() == 3
     back, bad = messages.decode_enriched(read("enriched-transactions").select("value"))
     assert back.count() == total and bad.count() == 0
+    assert read("audit/model_predictions").where("prediction_time_ms > 0").count() == total
+    streamed = read("audit/fraud_decisions").where("NOT rag_context_used").select("transaction_id", "llm_confidence", "decision")
+    assert streamed.exceptAll(frames.audit_decisions().select(*streamed.columns)).isEmpty()
     newest = streams.read_audit(spark, str(out / "audit"), "fraud_decisions", newest_first="decided_at", limit=5, decision="REVIEW")
     assert newest.count() == 5
 
