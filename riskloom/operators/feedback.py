@@ -85,6 +85,12 @@ def case_review_record(feedback: DataFrame, review_id: Column | None = None) ->
     )
 
 
+def with_prediction_score(feedback: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Every feedback row, with the score of its prediction where there is one."""
+    scores = predictions.select(F.col("transactionId").alias("_txn"), "mlFraudScore")
+    return feedback.drop("mlFraudScore").join(scores, F.col("transactionId") == F.col("_txn"), "left").drop("_txn")
+
+
 def resolve_label(feedback: DataFrame) -> DataFrame:
     """A person's label when present, else the system's own prediction."""
     actual = F.col("actualFraud")

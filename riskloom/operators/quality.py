@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +72,14 @@ RULES = {
         Rule("window_order", "window_end <= window_start"),
     ],
 }
+NOW = "localtimestamp()"
+
+
+def rules_at(table: str, moment: str = NOW) -> list[Rule]:
+    """The table's rules as of a moment (a SQL expression); replayed data is judged by its own time."""
+    return [replace(rule, broken=rule.broken.replace(NOW, moment)) for rule in RULES[table]]
+
+
 UNIQUE_KEYS = {
     "transactions": ["transaction_id"], "customers": ["customer_id"], "fraud_decisions": ["id"],
     "case_reviews": ["id"], "model_predictions": ["id"],
@@ -89,9 +97,9 @@ def violation_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return counted.select(F.inline(pairs), F.col("_rows").alias("checked"))
 
 
-def audit_violations(tables: dict[str, DataFrame]) -> DataFrame:
+def audit_violations(tables: dict[str, DataFrame], moment: str = NOW) -> DataFrame:
     parts = [
-        violation_counts(df, RULES[name]).select(F.lit(name).alias("table_name"), "rule", "violations", "checked")
+        violation_counts(df, rules_at(name, moment)).select(F.lit(name).alias("table_name"), "rule", "violations", "checked")
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -260,7 +260,8 @@ def _violations_sql(table: str, source: str, rules: list[tuple[str, str]]) -> st
 def audit_violations(f: Frames) -> DataFrame:
     return quality.audit_violations({
         "transactions": f.audit_transactions(), "customers": _customers(f), "fraud_decisions": f.audit_decisions(),
-        "case_reviews": f.audit_reviews(), "model_predictions": f.audit_predictions()})
+        "case_reviews": f.audit_reviews(), "model_predictions": f.audit_predictions()},
+        "timestamp_ntz'2026-01-01 00:00:00'")
 
 
 @query(f"SELECT customer_id, concat_ws(',', CASE WHEN risk_score < 0 OR risk_score > 100 THEN 'risk_score_range' END, "

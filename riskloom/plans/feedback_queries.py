@@ -57,12 +57,17 @@ def case_reviews(f: Frames) -> DataFrame:
 @query(build(f"""
 SELECT transactionId, CAST(coalesce(actualFraud, predictedFraud, FALSE) AS INTEGER) AS label,
   CASE WHEN actualFraud IS NOT NULL THEN 'HUMAN_CONFIRMED' ELSE 'AUTO_PREDICTED' END AS labelSource,
-  confidence, CAST(agentConsensus AS DOUBLE) AS agent_consensus, coalesce(mlFraudScore, {D(0.5)}) AS ml_fraud_score,
-  CASE WHEN source = 'AUTO_SYSTEM' THEN {D(1.0)} ELSE {D(0.0)} END AS source_auto FROM pair""", "pair"))
+  coalesce(confidence, {D(0.5)}) AS confidence, CAST(coalesce(agentConsensus, 0) AS DOUBLE) AS agent_consensus, coalesce(mlFraudScore, {D(0.5)}) AS ml_fraud_score,
+  CASE WHEN source = 'AUTO_SYSTEM' THEN {D(1.0)} ELSE {D(0.0)} END AS source_auto
+FROM (SELECT f.*, s.mlFraudScore FROM (
+    SELECT transactionId, actualFraud, predictedFraud, confidence, agentConsensus, source FROM fb
+    UNION ALL SELECT labelledId, actualFraud, NULL, NULL, NULL, 'ANALYST' FROM lab
+      WHERE NOT EXISTS (SELECT 1 FROM fb WHERE fb.transactionId = lab.labelledId)) f
+  LEFT JOIN sco s ON f.transactionId = s.transactionId)""", "fb", "sco", "lab"))
 def online_features(f: Frames) -> DataFrame:
-    """Labels and inputs of the online model; the score comes from the paired prediction."""
+    """Labels and inputs of the online model for all feedback; without a prediction the score reads as 0.5."""
     inputs = feedback.feedback_features()
-    return feedback.resolve_label(f.paired()).select(
+    return feedback.resolve_label(feedback.with_prediction_score(f.all_feedback(), f.predictions())).select(
         "transactionId", "label", "labelSource", *[c.alias(n) for n, c in inputs.items()])
 
 

@@ -121,6 +121,14 @@ class Frames:
     def paired(self) -> DataFrame:
         return feedback.pair(self.predictions(), self.feedback(), seconds=None)
 
+    @_once
+    def all_feedback(self) -> DataFrame:
+        """Feedback on every decision, and people's labels for transactions that were never decided."""
+        labels, decided = self.labels(), self.feedback()
+        unseen = labels.join(decided, labels["labelledId"] == decided["transactionId"], "left_anti").select(
+            F.col("labelledId").alias("transactionId"), "actualFraud", F.lit("ANALYST").alias("source"))
+        return decided.unionByName(unseen, allowMissingColumns=True)
+
     def vectors(self) -> DataFrame:
         key = F.col("vec_id")
         return self.table("embeddings").select(

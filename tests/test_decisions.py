@@ -137,3 +137,14 @@ def test_own_routes_are_complete_and_disjoint(paneled):
     ids = {name: {r["transactionId"] for r in part.collect()} for name, part in parts.items()}
     assert "TEST-001" in ids["held"] and "TEST-002" in ids["passed"] and not ids["watched"]
     assert sum(map(len, ids.values())) == decided.count()
+
+
+def test_feedback_without_a_prediction_reads_as_even(spark):
+    predictions = spark.createDataFrame([("T1", 0.9), ("T9", 0.1)], "transactionId string, mlFraudScore double")
+    given = spark.createDataFrame(
+        [("T1", 0.8, 6, "AUTO_SYSTEM", None, True), ("T2", None, None, "ANALYST", True, None)],
+        "transactionId string, confidence double, agentConsensus int, source string, actualFraud boolean, predictedFraud boolean")
+    inputs = feedback.feedback_features()
+    rows = feedback.resolve_label(feedback.with_prediction_score(given, predictions)).select(
+        "transactionId", "label", *[c.alias(n) for n, c in inputs.items()]).orderBy("transactionId").collect()
+    assert [tuple(r) for r in rows] == [("T1", 1, 0.8, 6.0, 0.9, 1.0), ("T2", 1, 0.5, 0.0, 0.5, 0.0)]

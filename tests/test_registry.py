@@ -10,7 +10,7 @@ from tools.check import rows_of
 SAMPLE = ["decoded_messages", "velocity_lagged_day", "features", "case_reviews", "confirmed_cases", "similar_cases",
           "retrieved_contexts", "transaction_history", "upserted_customers", "audit_violations", "running_auc",
           "stratified_split", "top_attributions", "follow_up_prompts", "review_payloads", "audit_decisions",
-          "agent_prompts", "decision_records", "orphan_report", "online_inputs"]
+          "agent_prompts", "decision_records", "orphan_report", "online_features"]
 
 
 @pytest.fixture(scope="module")
