@@ -21,7 +21,9 @@ def decode(df: DataFrame, schema: T.StructType, required: list[str], column: str
     """
     wider = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     text = F.col(column).cast("string")
-    opened = df.withColumn("_message", F.from_json(text, wider, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    parsed = F.from_json(text, wider, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # A one-row generator keeps the parse in one place: as a plain column it is copied into every use of a field.
+    opened = df.select("*", F.explode(F.array(parsed)).alias("_message"))
 
     def field(path: str) -> Column:
         return F.col(f"_message.{path}")
