@@ -1,5 +1,9 @@
 """Steps whose cost must not grow faster than their input."""
 
+import numpy as np
+import pandas as pd
+
+from riskloom.operators import similarity
 from riskloom.sources import messages
 from tests.fixtures import message
 
@@ -15,3 +19,22 @@ def test_a_message_is_parsed_once(spark):
     assert sorted(",".join(r["reasons"]) for r in quarantine.collect()) == ["currency_missing", "malformed", "malformed"]
     for side in (valid, quarantine):
         assert plan_of(side).count("from_json") == 1
+
+
+def test_a_product_is_held_in_small_tiles(monkeypatch):
+    rng = np.random.default_rng(5)
+    # Few different values, so that many similarities tie.
+    stored, asked = (np.sign(rng.normal(size=(n, 6))) * rng.integers(1, 3, (n, 1)) for n in (9_000, 300))
+    shapes, best = [], similarity._top
+
+    def top(keys, scores, ids, fetch):
+        shapes.append(scores.size)
+        return best(keys, scores, ids, fetch)
+
+    monkeypatch.setattr(similarity, "_top", top)
+    found = similarity._best_of_block(21)(
+        pd.DataFrame({"queryKey": range(300), "vector": list(asked)}), pd.DataFrame({"caseId": range(9_000), "vector": list(stored)}))
+    assert max(shapes) <= 1_000_000
+    score = np.round(similarity._unit_rows(asked) @ similarity._unit_rows(stored).T, 9)
+    for key, rows in found.groupby("queryKey"):
+        assert rows["caseId"].tolist() == np.lexsort((np.arange(9_000), -score[key]))[:21].tolist()
