@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from riskloom.operators import similarity
+from riskloom.settings import Retrieval
 from riskloom.sources import messages
 from tests.fixtures import message
 
@@ -38,3 +40,33 @@ def test_a_product_is_held_in_small_tiles(monkeypatch):
     score = np.round(similarity._unit_rows(asked) @ similarity._unit_rows(stored).T, 9)
     for key, rows in found.groupby("queryKey"):
         assert rows["caseId"].tolist() == np.lexsort((np.arange(9_000), -score[key]))[:21].tolist()
+
+
+def test_cases_of_one_vector_are_compared_once(spark):
+    rng = np.random.default_rng(6)
+    values = np.sign(rng.normal(size=(40, 4))).astype(float)
+    cases = [(f"C{i:03d}", f"CUST-{i % 3}", values[i % 40].tolist()) for i in range(400)]
+    queries = [(f"C{i:03d}" if i % 2 else f"Q{i:03d}", f"CUST-{i % 4}", rng.normal(size=4).round(1).tolist()) for i in range(60)]
+    queries += queries[:5]
+    stored = spark.createDataFrame(cases, "caseId string, customerId string, vector array<double>")
+    asked = spark.createDataFrame(queries, "queryId string, customerId string, vector array<double>")
+    best = similarity.top_candidates(asked.select(F.col("queryId").alias("queryKey"), "vector").distinct(), stored, 21, block_rows=7)
+    got = {}
+    for r in best.orderBy("queryKey", "candidateRank").collect():
+        got.setdefault(r["queryKey"], []).append(r["caseId"])
+    vectors = np.array([c[2] for c in cases])
+    for key, _, vector in queries:
+        score = np.round(similarity._unit_rows([vector])[0] @ similarity._unit_rows(vectors).T, 9)
+        assert got[key] == [cases[k][0] for k in np.lexsort((np.arange(400), -score))[:21]]
+    # At most 16 different vectors reach the product.
+    plan = similarity.top_candidates(asked.select(F.col("queryId").alias("queryKey"), "vector"), stored, 21)
+    assert "ids" in plan_of(plan)
+    found = similarity.similar_cases(asked, stored, Retrieval(threshold=-1.0)).collect()
+    times = {q[0]: sum(q[0] == o[0] for o in queries) for q in queries}
+    for key, customer, vector in queries:
+        score = similarity._unit_rows([vector])[0] @ similarity._unit_rows(vectors).T
+        order = [k for k in np.lexsort((np.arange(400), -np.round(score, 9))) if cases[k][0] != key]
+        order = [k for k in order[:21] for _ in range(times[key])][:20]
+        order.sort(key=lambda k: (cases[k][1] != customer, -np.round(score[k], 9), k))
+        want = [(cases[k][0], n + 1) for n, k in enumerate(order[:3])]
+        assert sorted((r["caseId"], r["rank"]) for r in found if r["queryId"] == key) == sorted(want)
