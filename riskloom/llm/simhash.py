@@ -52,7 +52,11 @@ def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """Bit i is set if it is set in over half of the shingles' hashes."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles(text, size)], np.uint64)
+    return majority(np.array([digest(s, 42) for s in shingles(text, size)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
         block = hashes[at:at + BLOCK].view(np.uint8).reshape(-1, 8)

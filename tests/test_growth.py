@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from riskloom.llm import copies
 from riskloom.operators import similarity
 from riskloom.settings import Retrieval
 from riskloom.sources import messages
@@ -70,3 +71,13 @@ def test_cases_of_one_vector_are_compared_once(spark):
         order.sort(key=lambda k: (cases[k][1] != customer, -np.round(score[k], 9), k))
         want = [(cases[k][0], n + 1) for n, k in enumerate(order[:3])]
         assert sorted((r["caseId"], r["rank"]) for r in found if r["queryId"] == key) == sorted(want)
+
+
+def test_near_copies_come_through_fingerprints(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[200:]), "quite another text of a few words", None]
+    docs = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    asked, pairs = [], copies.simhash.links
+    monkeypatch.setattr(copies.simhash, "links", lambda nodes, *a: asked.append(nodes.count()) or pairs(nodes, *a))
+    assert sorted(tuple(r) for r in copies.near_copies(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
+    assert asked and asked[0] >= 4
