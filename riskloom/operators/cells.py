@@ -6,7 +6,8 @@ query's similarity to a case of a cell is at most the cosine of (its angle to
 the centroid minus the cell's largest angle). Cells are visited in turns by
 that bound: once a query's ``fetch``-th best similarity found is above the
 bounds of all cells it has not visited, its answer is proved complete and it
-leaves. In the worst case a query visits every cell, and the answer is still
+leaves. A visit returns only cases that reach the query's ``fetch``-th best of
+the turns before. In the worst case a query visits every cell, and the answer is still
 exact. Large cells are cut into parts by a hash, so no task holds a cell that
 grows with the data.
 """
@@ -84,6 +85,21 @@ def _ordered_cells(queries: DataFrame, centroids: np.ndarray, cells: pd.DataFram
     return queries.select("queryKey", "vector").mapInPandas(work, f"queryKey {kind}, vector {vector}, order array<int>, bounds array<double>")
 
 
+def _best_above(fetch: int):
+    """As the blocked product, without cases below ``floor``, what the query's answer has reached already."""
+    best = _best_of_block(fetch)
+
+    def run(queries: pd.DataFrame, cases: pd.DataFrame) -> pd.DataFrame:
+        found = best(queries, cases)
+        floors = queries[queries["floor"].notna() & queries["queryKey"].notna()].drop_duplicates("queryKey")
+        if not len(found) or not len(floors):
+            return found
+        floor = found["queryKey"].map(floors.set_index("queryKey")["floor"])
+        return found[~(found["score"] < floor - 2 * SLACK)]
+
+    return run
+
+
 def certified_candidates(queries: DataFrame, cases: DataFrame, fetch: int, cells: int | None = None, visits: int = 4,
                          part_rows: int = PART_ROWS) -> tuple[DataFrame, int]:
     """(queryKey, caseId, score), the ``fetch`` best cases per query, and the number of products that took.
@@ -99,34 +115,35 @@ def certified_candidates(queries: DataFrame, cases: DataFrame, fetch: int, cells
     centroids = fit_centroids(cases, cells or max(1, int(total**0.5 / 2)))
     dealt = cut_lineage(_dealt(cases, centroids))
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).orderBy("cell").toPandas()  # one row a cell
-    open_ = cut_lineage(_ordered_cells(queries, centroids, sizes))
+    open_ = cut_lineage(_ordered_cells(queries, centroids, sizes).withColumn("floor", F.lit(None).cast("double")))
     known = spark.createDataFrame([(int(c), int(n), max(1, -(-int(n) // part_rows))) for c, n in zip(sizes["cell"], sizes["n"])],
                                   "cell int, n long, parts int")
     order = Window.partitionBy("queryKey").orderBy(*_nearest())
     found, seen, products = None, 0, 0
     while True:
         upto = min(len(sizes), seen + visits)
-        visit = open_.select("queryKey", "vector", F.explode(F.slice("order", seen + 1, upto - seen)).alias("cell"))
+        visit = open_.select("queryKey", "vector", "floor", F.explode(F.slice("order", seen + 1, upto - seen)).alias("cell"))
         # Queries of a popular cell are dealt to several tasks, and so are the cases of a large one.
         asked = visit.groupBy("cell").agg(F.count("*").alias("asked")).join(F.broadcast(known), "cell")
         asked = cut_lineage(asked.withColumn("chunks", F.ceil(F.col("asked") / part_rows).cast("int")))
         products += asked.agg(F.sum(F.col("asked") * F.col("n"))).first()[0] or 0
         deal = F.broadcast(asked.select("cell", "parts", "chunks"))  # one row a cell
         left = visit.join(deal, "cell").select(
-            "queryKey", "vector", "cell", F.pmod(F.xxhash64("queryKey"), F.col("chunks")).cast("int").alias("chunk"),
+            "queryKey", "vector", "floor", "cell", F.pmod(F.xxhash64("queryKey"), F.col("chunks")).cast("int").alias("chunk"),
             F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         right = dealt.join(deal, "cell").select(
             "caseId", "vector", "cell", F.pmod(F.xxhash64("caseId"), F.col("parts")).cast("int").alias("part"),
             F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         by = ["cell", "chunk", "part"]
-        local = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_best_of_block(fetch), kind)
+        local = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_best_above(fetch), kind)
         both = local if found is None else found.union(local)
         found = cut_lineage(both.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= fetch).drop("_rank"))
         if upto == len(sizes):
             return found, products
         worst = found.groupBy(F.col("queryKey").alias("_key")).agg(F.count("*").alias("_n"), F.min("score").alias("_worst"))
         proved = F.coalesce((F.col("_n") >= fetch) & (F.element_at("bounds", upto + 1) < F.col("_worst") - SLACK), F.lit(False))
-        open_ = cut_lineage(open_.join(worst, F.col("queryKey") == F.col("_key"), "left").where(~proved).drop("_key", "_n", "_worst"))
+        open_ = cut_lineage(open_.join(worst, F.col("queryKey") == F.col("_key"), "left").where(~proved)
+                            .withColumn("floor", F.when(F.col("_n") >= fetch, F.col("_worst"))).drop("_key", "_n", "_worst"))
         if open_.isEmpty():
             return found, products
         seen, visits = upto, 2 * visits

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from riskloom.llm import copies
-from riskloom.operators import similarity
+from riskloom.operators import cells, similarity
 from riskloom.settings import Retrieval
 from riskloom.sources import messages
 from tests.fixtures import message
@@ -81,3 +81,16 @@ def test_near_copies_come_through_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(copies.simhash, "links", lambda nodes, *a: asked.append(nodes.count()) or pairs(nodes, *a))
     assert sorted(tuple(r) for r in copies.near_copies(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
     assert asked and asked[0] >= 4
+
+
+def test_visits_return_only_cases_that_can_be_among_the_best():
+    rng = np.random.default_rng(8)
+    stored, asked = rng.normal(size=(500, 5)), rng.normal(size=(20, 5))
+    score = similarity._unit_rows(asked) @ similarity._unit_rows(stored).T
+    floors = [None if k % 5 == 0 else np.sort(score[k])[-4] for k in range(20)]
+    found = cells._best_above(6)(
+        pd.DataFrame({"queryKey": range(20), "vector": list(asked), "floor": np.array(floors, float)}),
+        pd.DataFrame({"caseId": range(500), "vector": list(stored)}))
+    assert found.groupby("queryKey").size().tolist() == [6 if k % 5 == 0 else 4 for k in range(20)]
+    for key, rows in found.groupby("queryKey"):
+        assert rows["caseId"].tolist() == np.argsort(-score[key])[:len(rows)].tolist()
