@@ -190,7 +190,8 @@ def running_auc(df: DataFrame, score: str, label: str, step: str) -> DataFrame:
     steps = folded.groupBy(F.col("step").alias("_step")).agg(F.sum("pos").alias("step_pos"), F.sum("neg").alias("step_neg"))
     whole = Window.orderBy("_step")  # one row a step
     upto = whole.rowsBetween(Window.unboundedPreceding, 0)
-    placed = steps.withColumns({
+    # Always true; it reads the sums, so that every use of ``folded`` has the same columns and Spark makes it once.
+    placed = steps.where(F.coalesce(F.col("step_pos") + F.col("step_neg"), F.lit(0)) >= 0).withColumns({
         "place": F.row_number().over(whole) - 1, "pos_upto": F.sum("step_pos").over(upto), "neg_upto": F.sum("step_neg").over(upto),
         "bits": F.ceil(F.log2(F.count("*").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).cast("int")})
     known = folded.join(placed.select("_step", "place", "bits"), F.col("step").eqNullSafe(F.col("_step")))

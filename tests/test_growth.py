@@ -1,11 +1,13 @@
 """Steps whose cost must not grow faster than their input."""
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from riskloom.llm import copies
-from riskloom.operators import cells, similarity
+from riskloom.operators import cells, similarity, stats
 from riskloom.settings import Retrieval
 from riskloom.sources import messages
 from tests.fixtures import message
@@ -94,3 +96,18 @@ def test_visits_return_only_cases_that_can_be_among_the_best():
     assert found.groupby("queryKey").size().tolist() == [6 if k % 5 == 0 else 4 for k in range(20)]
     for key, rows in found.groupby("queryKey"):
         assert rows["caseId"].tolist() == np.argsort(-score[key])[:len(rows)].tolist()
+
+
+def test_running_auc_folds_its_rows_once(spark):
+    df = spark.range(300).select((F.col("id") % 7).alias("step"), (F.col("id") % 11 / 11).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    df = df.union(spark.createDataFrame([(3, 0.5, None), (9, 0.5, None)], df.schema))
+    found = stats.running_auc(df, "score", "label", "step")
+    plan = [re.sub(r"#\d+L?", "", line).strip(" :+-") for line in plan_of(found).splitlines()]
+    steps = [line for line in plan if line.startswith("Aggregate [step], [step AS _step")]
+    # Steps without their sums would be counted from rows folded once more.
+    assert len(steps) > 1 and all("sum(pos)" in line for line in steps)
+    rows = df.where("label is not null").collect()
+    for r in found.collect():
+        seen = [x for x in rows if x["step"] <= r["step"]]
+        wins = [(p["score"] > n["score"]) + 0.5 * (p["score"] == n["score"]) for p in seen if p["label"] for n in seen if not n["label"]]
+        assert abs(r["auc"] - sum(wins) / len(wins)) < 1e-12
