@@ -78,7 +78,7 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def alone(make: Callable[[], DataFrame]) -> DataFrame:
-    """The frame that ``make`` gives, written; the tables it wrote on the way are deleted."""
+    """The frame that ``make`` gives, written; the tables it wrote and the rows it shuffled on the way are deleted."""
     _scratch.append([])
     try:
         df = make()
@@ -86,13 +86,15 @@ def alone(make: Callable[[], DataFrame]) -> DataFrame:
         df.write.parquet(path)
     finally:
         made = _scratch.pop()
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
+    del df
     for old in made:
         location = spark._jvm.org.apache.hadoop.fs.Path(old)
         location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
     if _scratch:
         _scratch[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # shuffle files stay until the driver finds that no frame needs them
+    return spark.read.schema(schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import kept
 
 
-def _star(edges: DataFrame) -> DataFrame:
+#: Edges up to which a step is not cut into as many tasks as the corpus, and its tasks then.
+FEW = 40_000
+TASKS = 8
+
+
+def _star(edges: DataFrame, few: bool = False) -> DataFrame:
+    def fit(df: DataFrame) -> DataFrame:
+        return df.coalesce(TASKS) if few else df
+
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    least = fit(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
     large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.filter("u <> v").distinct()
-    lower = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+    large = fit(fit(large.filter("u <> v")).distinct())
+    lower = fit(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
     joined = large.join(lower, F.col("u") == F.col("k"))
     small = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v")
-    return small.union(lower.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+    return fit(fit(small.union(lower.select(F.col("k").alias("u"), F.col("m").alias("v")))).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,4 +41,4 @@ def components(edges: DataFrame) -> DataFrame:
         if found["n"] == 0 or (found["n"], found["s"]) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = (found["n"], found["s"])
-        edges = kept(_star(edges))
+        edges = kept(_star(edges, found["n"] <= FEW))

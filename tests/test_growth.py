@@ -111,3 +111,20 @@ def test_running_auc_folds_its_rows_once(spark):
         seen = [x for x in rows if x["step"] <= r["step"]]
         wins = [(p["score"] > n["score"]) + 0.5 * (p["score"] == n["score"]) for p in seen if p["label"] for n in seen if not n["label"]]
         assert abs(r["auc"] - sum(wins) / len(wins)) < 1e-12
+
+
+def test_a_text_travels_once_to_each_pair(spark, monkeypatch):
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words), *(" ".join(words[:-k]) for k in range(1, 8)), *(" ".join(words[k:]) for k in (30, 50)), "x y z", " ".join(words[:-2])]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    sets = copies.kept(docs.distinct().select(F.col("doc_id").alias("set"), F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("first")))
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 12)] + [(0, 2), (4, 5), (10, 11)], "u long, v long")
+    sent, run = [], copies.map_rows
+    monkeypatch.setattr(copies, "SHARE", 3)
+    monkeypatch.setattr(copies, "map_rows", lambda df, *a, **k: sent.append(df) or run(df, *a, **k))
+    near = {tuple(r) for r in copies._verified(pairs, sets, copies._each_once(docs, docs.select("doc_id", F.xxhash64("text").alias("mark"))), 5).collect()}
+    shingles = [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    asked = {(0, k) for k in range(1, 12)} | {(4, 5), (10, 11)}
+    assert near == {(a, b) for a, b in asked if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])}
+    assert [c for c, kind in sent[0].dtypes if kind == "string"] == ["text"]
