@@ -7,7 +7,9 @@ does the row take the path?) or the share of weight that takes it (unknown). So
 every path is a game of its few features alone, and its Shapley values depend
 on the row only through which of its features take the path: one table of
 values a path and pattern, worked out once from the stored nodes, one lookup a
-row and path afterwards. Contributions add up to margin minus base.
+row and path afterwards. Contributions add up to margin minus base. Of the rows
+of a batch only those that a tree tells apart, by its own few thresholds, are
+looked up in its tables.
 
 Nodes are read from the stored model, at most trees x 2 ^ (depth + 1) of them,
 whatever the data.
@@ -35,13 +37,14 @@ MOST = 12
 
 @dataclass(frozen=True)
 class Path:
-    """One leaf: its value, and for each feature on the way the interval (low, high] and the share of weight that takes it."""
+    """One leaf: its value, for each feature on the way the interval (low, high] and the share of weight that takes it, and its tree."""
 
     value: float
     features: tuple[int, ...]
     low: tuple[float, ...]
     high: tuple[float, ...]
     share: tuple[float, ...]
+    tree: int = 0
 
 
 def stored_nodes(model: PipelineModel) -> DataFrame:
@@ -66,7 +69,7 @@ def paths(model: PipelineModel) -> list[Path]:
     def walk(tree: int, node: int, way: dict[int, tuple[float, float, float]]) -> None:
         here = nodes[tree, node]
         if here["left"] < 0:
-            found.append(Path(here["weight"] * here["value"], tuple(way), *(tuple(x[k] for x in way.values()) for k in range(3))))
+            found.append(Path(here["weight"] * here["value"], tuple(way), *(tuple(x[k] for x in way.values()) for k in range(3)), tree))
             return
         low, high, share = way.get(here["feature"], (-math.inf, math.inf, 1.0))
         left, right = nodes[tree, here["left"]], nodes[tree, here["right"]]
@@ -107,21 +110,46 @@ def pattern_values(path: Path) -> np.ndarray:
 
 
 class Explainer:
-    """Tables of all paths; those of equal features and intervals are added up."""
+    """Tables of all paths by tree, and the thresholds that a tree splits each of its features at."""
 
     def __init__(self, all_paths: list[Path]):
         self.base = base(all_paths)
-        self.tables = {}
+        self.tables, cuts = {}, {}
         for path in all_paths:
             if path.features:
-                key = (path.features, path.low, path.high)
-                values = pattern_values(path)
-                self.tables[key] = self.tables[key] + values if key in self.tables else values
+                self.tables.setdefault(path.tree, []).append((path.features, path.low, path.high, pattern_values(path)))
+                for feature, *ends in zip(path.features, path.low, path.high):
+                    cuts.setdefault(path.tree, {}).setdefault(feature, set()).update(e for e in ends if math.isfinite(e))
+        self.cuts = {tree: {f: np.array(sorted(t)) for f, t in of.items()} for tree, of in cuts.items()}
+        every = {f: [of[f] for of in self.cuts.values() if f in of] for f in {f for of in self.cuts.values() for f in of}}
+        self.every = {f: np.unique(np.concatenate(t)) for f, t in every.items()}
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """Per row and feature, for rows of model inputs."""
         out = np.zeros(x.shape)
-        for (features, low, high), values in self.tables.items():
+        # How many thresholds lie below an input; not a number lies above all, and goes right as in the model.
+        below = {f: np.searchsorted(cuts, x[:, f]) for f, cuts in self.every.items()}
+        for tree, tables in self.tables.items():
+            first, kind = self._kinds(tree, below, len(x))
+            out += self._of_tree(tables, x[first])[kind]
+        return out
+
+    def _kinds(self, tree: int, below: dict[int, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first row of each kind that all splits of a tree send the same way, and each row's kind."""
+        kind, most = np.zeros(rows, dtype=np.int64), 1
+        for feature, cuts in self.cuts[tree].items():
+            if most * (len(cuts) + 1) >= 1 << 62:
+                kind = np.unique(kind, return_inverse=True)[1]
+                most = rows
+            places = np.searchsorted(cuts, np.append(self.every[feature], np.inf))
+            kind = kind * (len(cuts) + 1) + places[below[feature]]
+            most *= len(cuts) + 1
+        return np.unique(kind, return_index=True, return_inverse=True)[1:]
+
+    @staticmethod
+    def _of_tree(tables: list, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape)
+        for features, low, high, values in tables:
             columns = list(features)
             inputs = x[:, columns]
             # Not a number goes right at every split, as in the model.

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from riskloom.llm import copies
-from riskloom.operators import cells, similarity, stats
+from riskloom.operators import attribution, cells, similarity, stats
 from riskloom.settings import Retrieval
 from riskloom.sources import messages
 from tests.fixtures import message
@@ -128,3 +128,24 @@ def test_a_text_travels_once_to_each_pair(spark, monkeypatch):
     asked = {(0, k) for k in range(1, 12)} | {(4, 5), (10, 11)}
     assert near == {(a, b) for a, b in asked if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])}
     assert [c for c, kind in sent[0].dtypes if kind == "string"] == ["text"]
+
+
+def test_only_rows_a_tree_tells_apart_are_explained(monkeypatch):
+    inf = float("inf")
+    paths = [
+        attribution.Path(1.0, (0,), (-inf,), (0.5,), (0.25,), 0), attribution.Path(2.0, (0, 1), (0.5, -inf), (inf, 3.0), (0.75, 0.5), 0),
+        attribution.Path(-1.0, (0, 1), (0.5, 3.0), (inf, inf), (0.75, 0.5), 0),
+        attribution.Path(0.5, (1,), (-inf,), (7.0,), (0.5,), 1), attribution.Path(4.0, (1,), (7.0,), (inf,), (0.5,), 1)]
+    looked, of_tree = [], attribution.Explainer._of_tree
+    monkeypatch.setattr(attribution.Explainer, "_of_tree", staticmethod(lambda tables, x: looked.append(len(x)) or of_tree(tables, x)))
+    x = np.random.default_rng(2).choice([-1.0, 0.5, 0.6, 3.0, 5.0, 7.0, 9.0, np.nan, np.inf], size=(500, 3))
+    explainer = attribution.Explainer(paths)
+    found = explainer.contributions(x)
+    # The first tree sends rows three thresholds apart four ways at most, the second two.
+    assert looked == [4, 2]
+    margin = np.where(x[:, 0] <= 0.5, 1.0, np.where(x[:, 1] <= 3.0, 2.0, -1.0)) + np.where(x[:, 1] <= 7.0, 0.5, 4.0)
+    assert np.allclose(found.sum(axis=1) + explainer.base, margin) and not found[:, 2].any()
+    one = attribution.Explainer([p for p in paths if p.tree == 0])
+    monkeypatch.setattr(one, "_kinds", lambda tree, below, rows: (np.arange(rows), np.arange(rows)))
+    other = attribution.Explainer([p for p in paths if p.tree == 1])
+    assert np.allclose(found, one.contributions(x) + other.contributions(x))
