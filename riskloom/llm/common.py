@@ -20,9 +20,14 @@ BROADCAST_ROWS = 200_000
 BROADCAST_CHARS = 64_000_000
 #: Entries a worker's memo holds before it starts anew (memory only, never results).
 MEMO_ENTRIES = 350_000
-#: Rows, and bytes, of a batch sent to a Python worker at most; texts may be long.
+#: Rows, and bytes, of a batch sent to a Python worker at most; texts may be long. With larger batches the
+#: native memory of an executor grew and stayed (memory only, never results).
 BATCH_ROWS = 2_000
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 1_000_000
+#: Batches after which a lean worker returns freed memory.
+GIVE_BACK = 32
+#: Rows of a table that a scan holds at once; with texts, Spark's 4,096 fill arrays of tens of megabytes.
+SCAN_ROWS = 1_024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,10 +35,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers and bound the batches they are given."""
+    """Send the package to the workers and bound the batches that are read and that they are given."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > SCAN_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
     ship_package(spark)
 
 
@@ -48,7 +55,7 @@ def map_rows(df: DataFrame, work: Callable, schema: str, lean: bool = False) ->
 
     def calm(batches):
         for number, batch in enumerate(batches):
-            if number % 4 == 3:
+            if number % GIVE_BACK == GIVE_BACK - 1:
                 give_back()
             yield batch
 

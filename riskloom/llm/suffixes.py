@@ -273,7 +273,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return pd.Series([without(t, [(s["start"], s["end"]) for s in own]) if t else t for t, own in zip(texts, spans)], dtype=object)
 
     same = F.col("doc_id") == F.col(doc)
-    changed = docs.join(small(repeats), same).withColumn("text", cut("text", own))
+    # Else the filter below would be moved before the cut with a second cut, in a second worker a task.
+    changed = docs.join(small(repeats), same).withColumn("text", cut.asNondeterministic()("text", own))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     changed = changed.filter(F.trim("text") != "").select(*quoted(docs))
