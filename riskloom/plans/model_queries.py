@@ -15,7 +15,7 @@ from riskloom.functions import text as tx
 from riskloom.plans.frames import SCORE_CARD, Frames
 from riskloom.plans.oracle import CARD, D, build
 from riskloom.plans.registry import query
-from riskloom.session import cut_lineage, shared_folder
+from riskloom.session import compiled, cut_lineage, shared_folder
 from riskloom.settings import Retrieval
 
 
@@ -168,8 +168,10 @@ def feature_drift(f: Frames) -> DataFrame:
 # --- queries no plain SQL can answer (rows only, tested against fixtures) -------
 
 def _training(f: Frames) -> DataFrame:
-    """Written once: training, baselines and scoring all read it."""
+    """Written once: training, baselines and scoring all read it, and the split reads the decisions three times."""
     rows = f.decided().select("transactionId", F.col("isFraudulent").cast("int").alias("label"), *S.FEATURES)
+    with compiled(f.spark):
+        rows = cut_lineage(rows)
     return cut_lineage(ml.stratified_split(rows, "label", "transactionId"))
 
 

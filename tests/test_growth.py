@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import copies
 from riskloom.operators import attribution, cells, similarity, stats
+from riskloom.plans import model_queries
+from riskloom.plans.frames import Frames
 from riskloom.settings import Retrieval
 from riskloom.sources import messages
 from tests.fixtures import message
@@ -149,3 +151,17 @@ def test_only_rows_a_tree_tells_apart_are_explained(monkeypatch):
     monkeypatch.setattr(one, "_kinds", lambda tree, below, rows: (np.arange(rows), np.arange(rows)))
     other = attribution.Explainer([p for p in paths if p.tree == 1])
     assert np.allclose(found, one.contributions(x) + other.contributions(x))
+
+
+def test_the_split_for_training_reads_written_rows(spark, small, monkeypatch):
+    seen, split = [], model_queries.ml.stratified_split
+    monkeypatch.setattr(model_queries.ml, "stratified_split", lambda df, *a: seen.append(df) or split(df, *a))
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    rows = model_queries._training(Frames(spark, small))
+    # Decisions need windows and joins, and the split reads its rows three times.
+    assert "Window" not in plan_of(seen[0]) and "Join" not in plan_of(seen[0])
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+    decided = Frames(spark, small).decided()
+    assert rows.count() == decided.count()
+    told = decided.select("transactionId", F.col("isFraudulent").cast("int").alias("label"))
+    assert rows.select("transactionId", "label").exceptAll(told).isEmpty()
