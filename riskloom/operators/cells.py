@@ -7,8 +7,8 @@ the centroid minus the cell's largest angle). Cells are visited in turns by
 that bound: once a query's ``fetch``-th best similarity found is above the
 bounds of all cells it has not visited, its answer is proved complete and it
 leaves. A visit returns only cases that reach the query's ``fetch``-th best of
-the turns before. In the worst case a query visits every cell, and the answer is still
-exact. Large cells are cut into parts by a hash, so no task holds a cell that
+the turns before. In the worst case a query visits every cell, or, once that sends
+less, the blocks of the plain product, and the answer is still exact. Large cells are cut into parts by a hash, so no task holds a cell that
 grows with the data.
 """
 
@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.operators.similarity import _best_of_block, _nearest
-from riskloom.session import cut_lineage
+from riskloom.operators.similarity import BLOCK_ROWS, CHUNK_ROWS, SMALL_PARTS, _best_of_block, _nearest, _parts, top_candidates
+from riskloom.session import cut_lineage, discard, written
 
 #: Cases that centroids are fitted on at most (which cells there are, not what is found), and rounds of fitting.
 SAMPLE = 20_000
 ROUNDS = 8
 #: Rows of a cell's part in one task.
 PART_ROWS = 20_000
+#: Queries whose cells are ordered at once.
+ORDERED = 1_000
 #: Slack of the bound against rounding.
 SLACK = 1e-9
 
@@ -69,20 +71,25 @@ def _dealt(cases: DataFrame, centroids: np.ndarray) -> DataFrame:
     return cases.select("caseId", "vector").mapInPandas(work, f"caseId {kind}, vector {vector}, cell int, angle double")
 
 
-def _ordered_cells(queries: DataFrame, centroids: np.ndarray, cells: pd.DataFrame) -> DataFrame:
-    """queryKey, vector and the cells by falling bound: order (cell numbers) and bounds."""
+def _next_cells(queries: DataFrame, centroids: np.ndarray, cells: pd.DataFrame, seen: int, upto: int) -> DataFrame:
+    """The rows with ``visited``, their cells from ``seen`` to ``upto`` by falling bound, and ``next``, the bound of the one after.
+
+    Worked out again in each turn: kept, the order of all cells would be a table of queries times cells.
+    """
     shared = queries.sparkSession.sparkContext.broadcast((centroids[cells["cell"]], cells["cell"].to_numpy(), cells["angle"].to_numpy()))
 
     def work(frames):
         centres, numbers, angles = shared.value
-        for frame in frames:
+        for frame in (f.iloc[k:k + ORDERED] for f in frames for k in range(0, len(f), ORDERED)):
             away = np.arccos(np.clip(_unit(frame["vector"]) @ centres.T, -1, 1))
             bound = np.cos(np.maximum(away - angles, 0)) + SLACK
             order = np.argsort(-bound, axis=1, kind="stable")
-            yield frame.assign(order=list(numbers[order].astype(np.int32)), bounds=list(np.take_along_axis(bound, order, axis=1)))
+            after = bound[np.arange(len(frame)), order[:, upto]] if upto < len(numbers) else np.nan
+            yield frame.assign(visited=list(numbers[order[:, seen:upto]].astype(np.int32)), next=after)
 
     kind, vector = (queries.schema[c].dataType.simpleString() for c in ("queryKey", "vector"))
-    return queries.select("queryKey", "vector").mapInPandas(work, f"queryKey {kind}, vector {vector}, order array<int>, bounds array<double>")
+    return queries.select("queryKey", "vector", "floor").mapInPandas(
+        work, f"queryKey {kind}, vector {vector}, floor double, visited array<int>, next double")
 
 
 def _best_above(fetch: int):
@@ -105,7 +112,8 @@ def certified_candidates(queries: DataFrame, cases: DataFrame, fetch: int, cells
     """(queryKey, caseId, score), the ``fetch`` best cases per query, and the number of products that took.
 
     The first turn visits ``visits`` cells, each further turn twice as many,
-    for the queries that are not proved yet.
+    for the queries that are not proved yet. Queries that are still open when a
+    turn would send more vectors than the blocked product meet all cases there.
     """
     spark, total = queries.sparkSession, cases.count()
     key_type, case_type = queries.schema["queryKey"].dataType.simpleString(), cases.schema["caseId"].dataType.simpleString()
@@ -115,35 +123,51 @@ def certified_candidates(queries: DataFrame, cases: DataFrame, fetch: int, cells
     centroids = fit_centroids(cases, cells or max(1, int(total**0.5 / 2)))
     dealt = cut_lineage(_dealt(cases, centroids))
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).orderBy("cell").toPandas()  # one row a cell
-    open_ = cut_lineage(_ordered_cells(queries, centroids, sizes).withColumn("floor", F.lit(None).cast("double")))
     known = spark.createDataFrame([(int(c), int(n), max(1, -(-int(n) // part_rows))) for c, n in zip(sizes["cell"], sizes["n"])],
                                   "cell int, n long, parts int")
     order = Window.partitionBy("queryKey").orderBy(*_nearest())
-    found, seen, products = None, 0, 0
+    open_ = queries.select("queryKey", "vector", F.lit(None).cast("double").alias("floor"))
+    found, held, products, seen = None, [], 0, 0
     while True:
-        upto = min(len(sizes), seen + visits)
-        visit = open_.select("queryKey", "vector", "floor", F.explode(F.slice("order", seen + 1, upto - seen)).alias("cell"))
-        # Queries of a popular cell are dealt to several tasks, and so are the cases of a large one.
-        asked = visit.groupBy("cell").agg(F.count("*").alias("asked")).join(F.broadcast(known), "cell")
-        asked = cut_lineage(asked.withColumn("chunks", F.ceil(F.col("asked") / part_rows).cast("int")))
-        products += asked.agg(F.sum(F.col("asked") * F.col("n"))).first()[0] or 0
-        deal = F.broadcast(asked.select("cell", "parts", "chunks"))  # one row a cell
-        left = visit.join(deal, "cell").select(
-            "queryKey", "vector", "floor", "cell", F.pmod(F.xxhash64("queryKey"), F.col("chunks")).cast("int").alias("chunk"),
-            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        right = dealt.join(deal, "cell").select(
-            "caseId", "vector", "cell", F.pmod(F.xxhash64("caseId"), F.col("parts")).cast("int").alias("part"),
-            F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        by = ["cell", "chunk", "part"]
-        local = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_best_above(fetch), kind)
-        both = local if found is None else found.union(local)
-        found = cut_lineage(both.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= fetch).drop("_rank"))
-        if upto == len(sizes):
-            return found, products
-        worst = found.groupBy(F.col("queryKey").alias("_key")).agg(F.count("*").alias("_n"), F.min("score").alias("_worst"))
-        proved = F.coalesce((F.col("_n") >= fetch) & (F.element_at("bounds", upto + 1) < F.col("_worst") - SLACK), F.lit(False))
-        open_ = cut_lineage(open_.join(worst, F.col("queryKey") == F.col("_key"), "left").where(~proved)
-                            .withColumn("floor", F.when(F.col("_n") >= fetch, F.col("_worst"))).drop("_key", "_n", "_worst"))
-        if open_.isEmpty():
+        if seen and visits > max(SMALL_PARTS, _sent_in_blocks(open_, dealt, total)):
+            whole = top_candidates(open_.select("queryKey", "vector"), dealt.select("caseId", "vector"), fetch)
+            closed = found.join(open_.select(F.col("queryKey").alias("_key")).distinct(), F.col("queryKey").eqNullSafe(F.col("_key")), "left_anti")
+            both, products, upto = closed.union(whole.select(*found.columns)), products + open_.count() * total, len(sizes)
+        else:
+            upto = min(len(sizes), seen + visits)
+            ordered = _next_cells(open_, centroids, sizes, seen, upto)
+            visit = ordered.select("queryKey", "vector", "floor", F.explode("visited").alias("cell"))
+            # Queries of a popular cell are dealt to several tasks, and so are the cases of a large one.
+            asked = visit.groupBy("cell").agg(F.count("*").alias("asked")).join(F.broadcast(known), "cell")
+            asked = cut_lineage(asked.withColumn("chunks", F.ceil(F.col("asked") / part_rows).cast("int")))
+            products += asked.agg(F.sum(F.col("asked") * F.col("n"))).first()[0] or 0
+            deal = F.broadcast(asked.select("cell", "parts", "chunks"))  # one row a cell
+            left = visit.join(deal, "cell").select(
+                "queryKey", "vector", "floor", "cell", F.pmod(F.xxhash64("queryKey"), F.col("chunks")).cast("int").alias("chunk"),
+                F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            right = dealt.join(deal, "cell").select(
+                "caseId", "vector", "cell", F.pmod(F.xxhash64("caseId"), F.col("parts")).cast("int").alias("part"),
+                F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+            by = ["cell", "chunk", "part"]
+            local = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_best_above(fetch), kind)
+            both = local if found is None else found.union(local)
+        found, path = written(both.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= fetch).drop("_rank"))
+        old, held = held, [path]
+        if upto < len(sizes):
+            worst = found.groupBy(F.col("queryKey").alias("_key")).agg(F.count("*").alias("_n"), F.min("score").alias("_worst"))
+            proved = F.coalesce((F.col("_n") >= fetch) & (F.col("_next") < F.col("_worst") - SLACK), F.lit(False))
+            # Rows that share a key share its answer, so they leave together.
+            told = ordered.join(worst, F.col("queryKey") == F.col("_key"), "left").withColumn("_next", F.max("next").over(Window.partitionBy("queryKey")))
+            open_, path = written(told.where(~proved).select("queryKey", "vector", F.when(F.col("_n") >= fetch, F.col("_worst")).alias("floor")))
+            held.append(path)
+        for path in old:
+            discard(spark, path)
+        if upto == len(sizes) or open_.isEmpty():
             return found, products
         seen, visits = upto, 2 * visits
+
+
+def _sent_in_blocks(open_: DataFrame, dealt: DataFrame, total: int) -> float:
+    """Vectors that the blocked product of the open queries with all cases sends, for each query."""
+    row = open_.agg(F.count("*").alias("n")).select("n", _parts(dealt, BLOCK_ROWS).alias("blocks"), _parts(open_, CHUNK_ROWS).alias("chunks")).first()
+    return row["blocks"] + row["chunks"] * total / max(1, row["n"])

@@ -1,5 +1,7 @@
 """The certified cell index against brute force."""
 
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +48,26 @@ def test_without_structure_every_cell_is_visited(spark, n):
     left, right = frames(spark, queries, cases)
     found, products = cells.certified_candidates(left, right, 20)
     assert answers(found) == ({} if n == 0 else brute(queries, cases, 20)) and products <= n * 12
+
+
+def test_open_queries_meet_blocks_once_cells_would_send_more(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    cases, queries = rng.normal(size=(400, 16)), rng.normal(size=(420, 16))
+    cases[10:40] = cases[10]  # ties
+    left, right = frames(spark, queries, cases)
+    left = left.union(spark.createDataFrame([(3, cases[10].tolist())], left.schema))  # a key of two vectors
+    met, product, kept, write = [], cells.top_candidates, [], cells.written
+    monkeypatch.setattr(cells, "top_candidates", lambda q, c, n: met.append(q.count()) or product(q, c, n))
+    monkeypatch.setattr(cells, "written", lambda df: kept.append(write(df)) or kept[-1])
+    found, _ = cells.certified_candidates(left, right, 20, cells=60)
+    want = brute(queries, cases, 20)
+    got = answers(found)
+    assert met and met[0] <= 421 and {k: v for k, v in got.items() if k != 3} == {k: v for k, v in want.items() if k != 3}
+    unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (queries[3:4], cases[10:11], cases)]
+    score = np.round(np.concatenate([unit[0] @ unit[2].T, unit[1] @ unit[2].T]), similarity.TIE_DIGITS)
+    assert got[3] == (np.lexsort((np.tile(np.arange(400), 2), -score.ravel()))[:20] % 400).tolist()
+    # No table of queries times cells, and only the last answer stays written.
+    for df, _ in kept:
+        assert not [name for name, kind in df.dtypes if name != "vector" and kind.startswith("array")]
+    files = [pathlib.Path(path).exists() for _, path in kept]
+    assert files[-1] and not any(files[:-1])
