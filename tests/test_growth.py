@@ -165,3 +165,28 @@ def test_the_split_for_training_reads_written_rows(spark, small, monkeypatch):
     assert rows.count() == decided.count()
     told = decided.select("transactionId", F.col("isFraudulent").cast("int").alias("label"))
     assert rows.select("transactionId", "label").exceptAll(told).isEmpty()
+
+
+def test_many_rows_make_larger_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(260, 4))
+    rows, asked = (spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], f"{key} long, vector array<double>") for key in ("caseId", "queryKey"))
+    count = [spark.range(1).select(similarity._parts(df, 10).alias("n")).first()["n"] for df in (rows, rows.limit(75), rows.limit(0))]
+    assert count == [16, 8, 1]
+    monkeypatch.setattr(similarity, "PART_VALUES", 50)
+    assert spark.range(1).select(similarity._parts(rows, 10).alias("n")).first()["n"] == 21
+    monkeypatch.setattr(similarity, "SMALL_PARTS", 2)
+    monkeypatch.setattr(similarity, "PART_VALUES", 400)
+    got = {}
+    for r in similarity.top_candidates(asked, rows, 5, block_rows=10, chunk_rows=10).orderBy("queryKey", "candidateRank").collect():
+        got.setdefault(r["queryKey"], []).append(r["caseId"])
+    score = np.round(similarity._unit_rows(vectors) @ similarity._unit_rows(vectors).T, 9)
+    assert got == {k: np.lexsort((np.arange(260), -score[k]))[:5].tolist() for k in range(260)}
+
+
+def test_contexts_join_transactions_before_they_are_decided_on(spark, small):
+    plan = plan_of(Frames(spark, small).audit_decisions()).splitlines()
+    decided = next(k for k, line in enumerate(plan) if "Generate inline(array(struct(finalRiskScore" in line)
+    joined = next(k for k, line in enumerate(plan) if "Join LeftOuter" in line and "substring(transactionId" in line)
+    assert decided < joined  # rows above a line are made of those below it
+    assert "FlatMapCoGroups" not in plan_of(Frames(spark, small).investigated().select("transactionId", "route"))
